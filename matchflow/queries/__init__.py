@@ -1,8 +1,8 @@
 """The library's operators run on the shared test tables, each with an SQL statement of the same result."""
 
-from . import q_ordered
+from . import q_align, q_fields, q_indices, q_ordered, q_segment
 
-MODULES = (q_ordered,)
+MODULES = (q_ordered, q_align, q_segment, q_indices, q_fields)
 
 
 def all_queries() -> dict:
