@@ -223,9 +223,9 @@ SQL["pitch_control"] = f"""
 WITH t AS (SELECT match_id, match_time // {DAY} AS seq_id, match_time // {HOUR} AS hr, team_id = 0 AS own,
   CASE WHEN period = 0 THEN x_m ELSE 102 - x_m END + value / 50 * cos(frame % 7) * CASE WHEN period = 1 THEN -1 ELSE 1 END * 0.7 AS px,
   CASE WHEN period = 0 THEN y_m ELSE 64 - y_m END + value / 50 * sin(frame % 7) * CASE WHEN period = 1 THEN -1 ELSE 1 END * 0.7 AS py FROM ({METRES_SQL})),
-g AS (SELECT i * 102.0::DOUBLE / 9 AS gx, j * 64.0::DOUBLE / 5 AS gy FROM range(10) a(i), range(6) b(j)),
+gr AS (SELECT i * 102.0::DOUBLE / 9 AS gx, j * 64.0::DOUBLE / 5 AS gy FROM range(10) a(i), range(6) b(j)),
 b AS (SELECT match_id, seq_id, hr, gx, gy, min(CASE WHEN own THEN 0.7 + sqrt((px - gx)**2 + (py - gy)**2) / 5.5 END) AS ta,
-  min(CASE WHEN NOT own THEN 0.7 + sqrt((px - gx)**2 + (py - gy)**2) / 5.5 END) AS tb FROM t, g GROUP BY ALL HAVING ta IS NOT NULL AND tb IS NOT NULL),
+  min(CASE WHEN NOT own THEN 0.7 + sqrt((px - gx)**2 + (py - gy)**2) / 5.5 END) AS tb FROM t, gr GROUP BY ALL HAVING ta IS NOT NULL AND tb IS NOT NULL),
 p AS (SELECT *, 1 / (1 + exp(-8 * (tb - ta))) AS p, gx >= 102 * 0.6 AND gy >= 64 * 0.15 AND gy <= 64 * 0.85 AS z FROM b),
 f AS (SELECT match_id, seq_id, hr, avg(p) AS co, avg(1 - p) AS cr, avg(p) FILTER (WHERE z) AS zo, avg(1 - p) FILTER (WHERE z) AS zr FROM p GROUP BY ALL),
 s AS ({{series}})

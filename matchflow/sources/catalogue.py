@@ -10,7 +10,7 @@ from ..operators.ordered import first_rows
 
 # Words left out of a team's initials, and columns that may name the competition.
 STOP_WORDS = ("cd", "cf", "ad", "a", "d", "de", "la", "el")
-COMPETITION_COLUMNS = ("competition_name", "competition", "league_name", "tournament_name", "season_name")
+COMPETITION_COLUMNS = ("competition_name", "competition", "league_name", "league", "tournament_name")
 NO_DATE = "Fecha no disponible"
 
 
@@ -87,8 +87,10 @@ def match_context(events: DataFrame, order: str = "event_time", key: str = "matc
     picked = present(events, ["match_start_time", *named, "sport_type", "season_id"])
     first = events.groupBy(key).agg(F.min_by(F.struct(*picked), order).alias("f"))
     start = F.try_to_timestamp(F.col("f.match_start_time").cast("string")) if "match_start_time" in picked else F.lit(None).cast("timestamp")
-    parts = F.concat_ws(" ", *[F.col(f"f.{c}").cast("string") for c in ("sport_type", "season_id") if c in picked])
-    competition = F.coalesce(*[F.nullif(F.col(f"f.{c}").cast("string"), F.lit("")) for c in named], F.nullif(parts, F.lit("")))
+    sport = F.col("f.sport_type") if "sport_type" in picked else F.lit(None).cast("string")
+    season = F.col("f.season_id").cast("string") if "season_id" in picked else F.lit(None).cast("string")
+    fallback = F.when(season.isNotNull(), F.concat(F.coalesce(sport, F.lit("FOOTBALL")), F.lit(" | temporada "), season))
+    competition = F.coalesce(*[F.col(f"f.{c}").cast("string") for c in named], fallback)
     return first.select(key, F.coalesce(F.date_format(start, "dd/MM/yyyy"), F.lit(NO_DATE)).alias("match_day"),
                         competition.alias("competition"))
 
