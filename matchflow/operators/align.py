@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import clip, distance
 from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH
+from ..lineage import cut
 from .intervals import asof, range_join
 from .ordered import BLOCK, Blocks, ordered
 from .tracking import TRACKING_BLOCKS
@@ -157,8 +158,8 @@ def ball_outs(frames: DataFrame, throwins: DataFrame, rules: AlignRules = AlignR
     ``frames``: one row per (match, period, frame) with match_time, ball_x, ball_y. Runs are islands of a
     running count of valid frames; a run that reaches the event counts only its frames up to it."""
     valid = F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull()
-    runs = ordered(frames.withColumn("__ok", valid), KEYS, ["match_time", "frame"], blocks,
-                   last={"out_ms": F.when(valid, F.col("match_time"))}, running={"__island": valid.cast("long")})
+    runs = cut(ordered(frames.withColumn("__ok", valid), KEYS, ["match_time", "frame"], blocks,
+                   last={"out_ms": F.when(valid, F.col("match_time"))}, running={"__island": valid.cast("long")}))
     third = ordered(runs.where(~F.col("__ok") & F.col("out_ms").isNotNull()), KEYS, ["match_time", "frame"], blocks,
                     running={"__n": F.lit(1)})
     start = third.groupBy(*KEYS, "__island").agg(F.min("__n").alias("__n0"))
@@ -247,8 +248,9 @@ def apply_recalibration(tracking: DataFrame, events: DataFrame, rules: AlignRule
     out = F.coalesce("run_out_ms", back)
     ev = ev.withColumn("out_ms", F.when(F.col("match_time") - out < rules.throw_min_ms, back).otherwise(out))
     # general events reach some rows before and after their anchor: find those rows' times
-    ranked = ordered(tracking.select(*keys, "match_time", "frame"), keys, ["match_time", "frame"], blocks,
-                     running={"rank": F.lit(1)})
+    ev = cut(ev)
+    ranked = cut(ordered(tracking.select(*keys, "match_time", "frame"), keys, ["match_time", "frame"], blocks,
+                         running={"rank": F.lit(1)}))
     near = asof(ev, ranked, keys, "match_time", "match_time", ["rank"], blocks, direction="nearest",
                 tie=F.col("frame"), prefix="a_", how="inner")
     reach = ranked.select(*keys, "rank", F.col("match_time").alias("reach_ms"))
@@ -263,7 +265,7 @@ def apply_recalibration(tracking: DataFrame, events: DataFrame, rules: AlignRule
     moves = near.select(*KEYS, "player_id", "match_time", "x", "y", "setpiece_type", "event_no", "out_ms",
                         F.when(throw, F.col("out_ms")).otherwise(F.col("lo_ms")).alias("low"),
                         F.when(throw, F.col("match_time") + rules.throw_after_ms).otherwise(F.col("hi_ms")).alias("high"))
-    isl = _islands(moves, blocks)
+    isl = cut(_islands(cut(moves), blocks))
     spans = isl.groupBy(*KEYS, "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     touched = range_join(tracking, spans, KEYS, "match_time", "low", "high", 10_000, "left")
     untouched = touched.where(F.col("island").isNull()).select(*tracking.columns)
@@ -291,14 +293,14 @@ def recalibrate(tracking: DataFrame, events: DataFrame, rules: AlignRules = Alig
     """Match, pick candidates, find their reference event, apply in ``event_order`` (a whole-number
     column of the events, time order by default), then metres and ball distance again; speeds stay."""
     event_order = F.col("match_time").cast("long") if event_order is None else event_order
-    found = candidates(match_events(events, tracking, rules, blocks), rules)
+    found = cut(candidates(match_events(events, tracking, rules, blocks), rules))
     near = reference_event(found.withColumnRenamed("x", "own_x").withColumnRenamed("y", "own_y").drop("team_id"),
                            events.select(*KEYS, "player_id", "match_time", "x", "y", "setpiece_type"),
                            ["x", "y", "setpiece_type"], rules.reference_ms, blocks)
     order = near.where(F.col("ref_level").isNotNull()).select(
         *KEYS, "player_id", F.col("ref_time").alias("match_time"), F.col("ref_x").alias("x"), F.col("ref_y").alias("y"),
         F.col("ref_setpiece_type").alias("setpiece_type"), event_order.alias("event_no"))
-    fixed = apply_recalibration(tracking, order, rules, blocks)
+    fixed = apply_recalibration(tracking, cut(order), rules, blocks)
     fixed = fixed.withColumns({
         "x_m": F.col("x") * rules.length, "y_m": F.col("y") * rules.width,
         "ball_x_m": F.col("ball_x") * rules.length, "ball_y_m": F.col("ball_y") * rules.width})

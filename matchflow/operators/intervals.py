@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,47 +19,69 @@ from .ordered import Blocks, ordered
 TREE_LEVELS = 42  # interval lengths up to 2^42 ms
 
 
+@dataclass(frozen=True)
+class Side:
+    """A right side of an as-of lookup: its rows, time, wanted columns and the sense of the search."""
+
+    rows: DataFrame
+    time: str
+    columns: list
+    direction: str = "backward"
+    strict: bool = False
+    tolerance: float | None = None
+    tie: Column | None = None
+    prefix: str = "m_"
+
+
+def asof_many(left: DataFrame, sides: list[Side], keys: list[str], left_time: str, blocks: Blocks) -> DataFrame:
+    """Several as-of lookups on the same keys in one ordered pass: all sides and the left rows are put on
+    one time line. Right rows sharing key and time are first reduced to the one with the smallest ``tie``."""
+    t = F.col(left_time).cast("double")
+    line = left.select(*keys, t.alias("__t"), F.lit(1).alias("__o"), F.struct(*[F.col(c) for c in left.columns]).alias("__l"))
+    last, following = {}, {}
+    for i, s in enumerate(sides):
+        at = F.col(s.time).cast("double")
+        body = F.struct(at.alias("time"), *[F.col(c).alias(c) for c in s.columns])
+        tie = s.tie if s.tie is not None else F.struct(*[F.col(c) for c in s.columns] or [at])
+        # a row at the left row's own time must come before it in the sense of the search to be seen
+        rank = {"backward": 2 if s.strict else 0, "forward": 0 if s.strict else 2, "nearest": 0}[s.direction]
+        one = s.rows.where(at.isNotNull()).groupBy(*keys, at.alias("__t")).agg(F.min_by(body, tie).alias(f"__r{i}"))
+        line = line.unionByName(one.withColumn("__o", F.lit(rank)), allowMissingColumns=True)
+        if s.direction != "forward":
+            last[f"__b{i}"] = F.col(f"__r{i}")
+        if s.direction != "backward":
+            following[f"__f{i}"] = F.col(f"__r{i}")
+    hit = ordered(line, keys, ["__t", "__o"], blocks, last=last, following=following).where(F.col("__l").isNotNull())
+    out = []
+    for i, s in enumerate(sides):
+        back = F.col(f"__b{i}") if f"__b{i}" in last else None
+        ahead = F.col(f"__f{i}") if f"__f{i}" in following else None
+        gap_b = F.col("__t") - back["time"] if back is not None else None
+        gap_f = ahead["time"] - F.col("__t") if ahead is not None else None
+        if ahead is None:
+            chosen, gap = back, gap_b
+        elif back is None:
+            chosen, gap = ahead, gap_f
+        else:
+            take = gap_b.isNull() | (gap_f < gap_b)
+            chosen, gap = F.when(take, ahead).otherwise(back), F.when(take, gap_f).otherwise(gap_b)
+        if s.tolerance is not None:
+            chosen = F.when(gap <= s.tolerance, chosen)
+        hit = hit.withColumn(f"__m{i}", chosen)
+        out += [F.col(f"__m{i}.time").alias(f"{s.prefix}time")] + [F.col(f"__m{i}.{c}").alias(f"{s.prefix}{c}") for c in s.columns]
+    return hit.select("__l.*", *out)
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
          columns: list[str], blocks: Blocks, *, direction: str = "backward", strict: bool = False,
          tolerance: float | None = None, tie: Column | None = None, prefix: str = "m_",
          how: str = "left") -> DataFrame:
-    """For each left row the right row of the same key that is latest at or before it
-    (``backward``), earliest at or after it (``forward``) or closest (``nearest``, the earlier one
-    on a tie). ``strict`` leaves out equal times. Right rows sharing key and time are first
-    reduced to the one with the smallest ``tie``. Adds ``{prefix}time`` and the columns."""
-    t = F.col(right_time)
-    rows = right.where(t.isNotNull())
-    body = F.struct(t.cast("double").alias("time"), *[F.col(c).alias(c) for c in columns])
-    side = rows.groupBy(*keys, t.cast("double").alias("__t")).agg(
-        F.min_by(body, tie if tie is not None else F.struct(*[F.col(c) for c in columns] or [t])).alias("__r"))
-    right_rank = 1 if (strict and direction == "backward") or (not strict and direction == "forward") else 0
-    points = left.select(*keys, F.col(left_time).cast("double").alias("__t"),
-                         F.struct(*[F.col(c) for c in left.columns]).alias("__l"))
-    both = points.withColumn("__o", F.lit(1 - right_rank)).unionByName(
-        side.withColumn("__o", F.lit(right_rank)), allowMissingColumns=True)
-    want = {}
-    if direction in ("backward", "nearest"):
-        want["last"] = {"__b": F.col("__r")}
-    if direction in ("forward", "nearest"):
-        want["following"] = {"__f": F.col("__r")}
-    hit = ordered(both, keys, ["__t", "__o"], blocks, **want).where(F.col("__l").isNotNull())
-    gap_b, gap_f = F.col("__t") - F.col("__b.time") if "last" in want else None, None
-    if "following" in want:
-        gap_f = F.col("__f.time") - F.col("__t")
-    if direction == "backward":
-        chosen, gap = F.col("__b"), gap_b
-    elif direction == "forward":
-        chosen, gap = F.col("__f"), gap_f
-    else:
-        take_f = gap_b.isNull() | (gap_f < gap_b)
-        chosen, gap = F.when(take_f, F.col("__f")).otherwise(F.col("__b")), F.when(take_f, gap_f).otherwise(gap_b)
-    if tolerance is not None:
-        chosen = F.when(gap <= tolerance, chosen)
-    hit = hit.select("__l", chosen.alias("__m"))
-    if how == "inner":
-        hit = hit.where(F.col("__m").isNotNull())
-    return hit.select("__l.*", F.col("__m.time").alias(f"{prefix}time"),
-                      *[F.col(f"__m.{c}").alias(f"{prefix}{c}") for c in columns])
+    """For each left row the right row of the same key that is latest at or before it (``backward``),
+    earliest at or after it (``forward``) or closest (``nearest``, the earlier one on a tie). ``strict``
+    leaves out equal times. Adds ``{prefix}time`` and the columns; ``how='inner'`` drops rows without one."""
+    side = Side(right, right_time, columns, direction, strict, tolerance, tie, prefix)
+    out = asof_many(left, [side], keys, left_time, blocks)
+    return out.where(F.col(f"{prefix}time").isNotNull()) if how == "inner" else out
 
 
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, low: str, high: str,
@@ -103,49 +127,55 @@ def _tree_nodes(intervals: DataFrame, keys: list[str], low: str, high: str, rank
         F.max(F.struct("__rank", "__body")).alias("__best"))
 
 
-def best_covering(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, low: str, high: str,
-                  rank: list[Column], columns: list[str], blocks: Blocks, prefix: str = "m_") -> DataFrame:
-    """The interval with the largest ``rank`` among those that contain the point's time (whole,
-    non-negative milliseconds, both ends included); NULL columns when none does.
+def covering_steps(intervals: DataFrame, keys: list[str], low: str, high: str, rank: list[Column],
+                   columns: list[str]) -> DataFrame:
+    """Step function of the best interval over time: (keys, __b, __body) from each border on.
 
-    Between two neighbouring interval borders the answer is constant. Each border looks its answer
-    up on the path from its time node to the root, and each point takes over the answer of the
-    last border before it. Nothing lists (point, interval) pairs, so any overlap is safe."""
+    Each border looks its answer up on the path from its time node to the root of the node tree."""
     body = F.struct(*[F.col(c) for c in columns])
     nodes = _tree_nodes(intervals, keys, low, high, F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)]), body)
     borders = (intervals.select(*keys, F.explode(F.array(F.col(low).cast("long"), F.col(high).cast("long") + 1))
                                 .alias("__b")).distinct())
     paths = borders.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(TREE_LEVELS)))).withColumn(
-        "__node", F.floor(F.col("__b") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__level"))).cast("long"))
-    steps = (paths.join(nodes, [*keys, "__level", "__node"], "left").groupBy(*keys, "__b")
-             .agg(F.max("__best").alias("__best")).select(*keys, "__b", F.col("__best.__body").alias("__body")))
+        "__node", F.call_function("shiftright", F.col("__b"), F.col("__level")))
+    return (paths.join(nodes, [*keys, "__level", "__node"], "left").groupBy(*keys, "__b")
+            .agg(F.max("__best").alias("__best")).select(*keys, "__b", F.col("__best.__body").alias("__body")))
+
+
+def best_covering(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, low: str, high: str,
+                  rank: list[Column], columns: list[str], blocks: Blocks, prefix: str = "m_") -> DataFrame:
+    """The interval with the largest ``rank`` among those that contain the point's time (whole
+    milliseconds, both ends included); NULL columns when none does.
+
+    Between two neighbouring interval borders the answer is constant, so each point takes over the answer
+    of the last border before it. Nothing lists (point, interval) pairs, so any overlap is safe."""
+    steps = covering_steps(intervals, keys, low, high, rank, columns)
     out = asof(points, steps, keys, time, "__b", ["__body"], blocks, prefix="__s_", tie=F.col("__b"))
     return out.select(*points.columns, *[F.col(f"__s___body.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, low: str, high: str,
                      columns: list[str], blocks: Blocks, *, tolerance: float, tie: str, prefix: str = "m_") -> DataFrame:
-    """The nearest interval within ``tolerance``: distance 0 inside, else the gap to the nearer
-    edge; the longer interval wins a tie, then the smaller ``tie`` value. Adds ``{prefix}gap``."""
+    """The nearest interval within ``tolerance``: distance 0 inside, else the gap to the nearer edge; the
+    longer interval wins a tie, then the smaller ``tie`` value. Adds ``{prefix}gap``. One ordered pass."""
     iv = intervals.withColumn("__len", F.col(high) - F.col(low))
-    cols = list(dict.fromkeys([*columns, tie]))
+    cols = list(dict.fromkeys([*columns, tie, "__len"]))
     longest = F.struct(-F.col("__len"), F.col(tie))
-    inner = best_covering(points, iv, keys, time, low, high, [F.col("__len"), -F.col(tie)], [*cols, "__len"],
-                          blocks, prefix="__in_")
-    past = asof(inner, iv, keys, time, high, [*cols, "__len"], blocks, strict=True, tie=longest, prefix="__pa_",
-                tolerance=tolerance)
-    both = asof(past, iv, keys, time, low, [*cols, "__len"], blocks, direction="forward", strict=True, tie=longest,
-                prefix="__fu_", tolerance=tolerance)
-
-    def option(p, gap):
-        return F.when(F.col(f"{p}{tie}").isNotNull(),
-                      F.struct(gap.cast("double").alias("gap"), (-F.col(f"{p}__len")).alias("len"),
-                               F.col(f"{p}{tie}").alias("tie"),
-                               *[F.col(f"{p}{c}").alias(c) for c in columns if c != tie]))
+    steps = covering_steps(iv, keys, low, high, [F.col("__len"), -F.col(tie)], cols)
+    both = asof_many(points, [
+        Side(steps, "__b", ["__body"], prefix="__in_", tie=F.col("__b")),
+        Side(iv, high, cols, strict=True, tie=longest, tolerance=tolerance, prefix="__pa_"),
+        Side(iv, low, cols, "forward", True, tolerance, longest, "__fu_")], keys, time, blocks)
+
+    def option(row, gap):
+        return F.when(row(tie).isNotNull(), F.struct(
+            gap.cast("double").alias("gap"), (-row("__len")).alias("len"), row(tie).alias("tie"),
+            *[row(c).alias(c) for c in columns if c != tie]))
 
     best = F.array_min(F.array_compact(F.array(
-        option("__in_", F.lit(0.0)), option("__pa_", F.col(time) - F.col("__pa_time")),
-        option("__fu_", F.col("__fu_time") - F.col(time)))))
+        option(lambda c: F.col(f"__in___body.{c}"), F.lit(0.0)),
+        option(lambda c: F.col(f"__pa_{c}"), F.col(time) - F.col("__pa_time")),
+        option(lambda c: F.col(f"__fu_{c}"), F.col("__fu_time") - F.col(time)))))
     out = both.withColumn("__best", best)
     picked = [F.col("__best.tie" if c == tie else f"__best.{c}").alias(f"{prefix}{c}") for c in columns]
     return out.select(*points.columns, *picked, F.col("__best.gap").alias(f"{prefix}gap"))

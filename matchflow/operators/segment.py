@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import distance, flag
 from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH
 from ..functions.jsontext import has_event
+from ..lineage import cut
 from .events import attack_direction, mirror_by_direction
-from .intervals import asof, best_covering, range_join
+from .intervals import Side, asof, asof_many, best_covering, range_join
 from .ordered import Blocks, ordered
 from .tracking import TRACKING_BLOCKS
 
@@ -143,7 +144,7 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
                   tie=F.col("prev_id"), prefix="")
     body = seqs.select(*keys, F.col(seq_id).alias("prev_id"), F.col("start_ms").alias("prev_start"),
                        F.struct(*payload, F.col(seq_id)).alias("member"))
-    links = _cut(before.join(body, [*keys, "prev_id"]).select(
+    links = cut(before.join(body, [*keys, "prev_id"]).select(
         *keys, F.col(seq_id).alias("node"), "prev_id", "prev_start", "member"))
     start = seqs.join(wanted, [*keys, seq_id], "left_semi").select(
         *keys, seq_id, F.col(seq_id).alias("node"), F.col("start_ms").alias("origin"), F.col("start_ms").alias("chain_start"))
@@ -151,7 +152,7 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
     while True:
         nxt = open_.join(links, [*keys, "node"]).select(
             *keys, seq_id, F.col("prev_id").alias("node"), "origin", F.col("prev_start").alias("chain_start"), "member")
-        nxt = _cut(nxt)
+        nxt = cut(nxt)
         if nxt.isEmpty():
             break
         steps.append(nxt)
@@ -164,16 +165,6 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
         F.array_sort(F.collect_list("member")).alias("members"), (F.count("*") - 1).alias("n_added"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop step with a reliable checkpoint where the session names a folder,
-    else keeps the step's rows for the next ones."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
-
-
 def next_start(seqs: DataFrame, blocks: Blocks, keys=("match_id", "period"), name: str = "next_start") -> DataFrame:
     """Start of the next sequence of the key that starts after this one ends (overlaps allowed)."""
     out = asof(seqs, seqs.select(*keys, F.col("start_ms").alias("__s")), list(keys), "end_ms", "__s", [], blocks,
@@ -185,16 +176,18 @@ def extend_to_terminal(seqs: DataFrame, closers: DataFrame, blocks: Blocks, keys
                        rules: SegmentRules = SegmentRules()) -> DataFrame:
     """Moves the end to just after the first closing event within the window and before the next
     sequence. ``closers``: keys, match_time, close_reason (only events that may close)."""
-    out = asof(next_start(seqs, blocks, keys), closers.select(*keys, "match_time", "close_reason"), list(keys),
-               "end_ms", "match_time", ["close_reason"], blocks, direction="forward", strict=True,
-               tie=F.col("close_reason"), prefix="__c_")
-    limit = F.least(F.col("end_ms") + rules.terminal_ms, F.col("next_start") - 1)
+    starts = seqs.select(*keys, F.col("start_ms").alias("__s"))
+    out = asof_many(seqs, [
+        Side(starts, "__s", [], "forward", True, prefix="__n_"),
+        Side(closers.select(*keys, "match_time", "close_reason"), "match_time", ["close_reason"], "forward", True,
+             tie=F.col("close_reason"), prefix="__c_")], list(keys), "end_ms", blocks)
+    limit = F.least(F.col("end_ms") + rules.terminal_ms, F.col("__n_time") - 1)
     closes = (limit > F.col("end_ms")) & (F.col("__c_time") <= limit)
     return out.withColumns({
         "end_provider_ms": F.col("end_ms"),
         "close_reason": F.when(closes, F.col("__c_close_reason")).otherwise(F.lit("cierre_bepro")),
         "end_ms": F.when(closes, F.least(F.col("__c_time") + rules.terminal_buffer_ms, limit)).otherwise(F.col("end_ms")),
-    }).drop("__c_time", "__c_close_reason", "next_start")
+    }).drop("__c_time", "__c_close_reason", "__n_time")
 
 
 def closing_events(events: DataFrame, teams: DataFrame) -> DataFrame:
@@ -332,8 +325,8 @@ def from_provider(seqs: DataFrame, frames: DataFrame, events: DataFrame, teams:
     pick = ["match_id", "period", "cand_id", "start_ms", "end_ms", "event_ids"]
     first = events_in_sequence(seqs.select(*pick), mine, rules=rules)
     shots = first.where(has_event("event_types", ["shot"])).select("match_id", "cand_id").distinct()
-    seqs = seqs.join(shots.withColumn("has_shot_first", F.lit(True)), ["match_id", "cand_id"], "left").withColumn(
-        "has_shot_first", F.coalesce("has_shot_first", F.lit(False)))
+    seqs = cut(seqs.join(shots.withColumn("has_shot_first", F.lit(True)), ["match_id", "cand_id"], "left").withColumn(
+        "has_shot_first", F.coalesce("has_shot_first", F.lit(False))))
     with_shot = seqs.where("has_shot_first")
     chain = chain_before(seqs, with_shot.select(*SEQ), blocks, rules=rules, payload=("event_ids",))
     chained = with_shot.join(chain, SEQ, "left")
@@ -351,7 +344,7 @@ def from_provider(seqs: DataFrame, frames: DataFrame, events: DataFrame, teams:
     ext = ext.withColumns({
         "start_provider_ms": F.col("start_ms"), "from_ms": F.col("start_ms").cast("double"),
         "event_ids": F.when(longer, F.array().cast("array<string>")).otherwise(F.col("event_ids"))})
-    both = chained.unionByName(ext)
+    both = cut(chained.unionByName(ext))
     sel = both.select("match_id", "period", "cand_id", F.coalesce("from_ms", "start_ms").alias("start_ms"), "end_ms", "event_ids")
     found = events_in_sequence(sel, mine, rules=rules).drop("period")
     high = both.select(*SEQ).join(directions, ["match_id", "period"], "left").join(
@@ -426,7 +419,7 @@ def from_tracking(frames: DataFrame, events: DataFrame, teams: DataFrame, rules:
     """Path II: possession blocks of the rival with metrics and the keep decision."""
     rival = teams.select("match_id", F.col("rival_team").alias("__rival"))
     held = extend_possession(frames, blocks, rules=rules).join(rival, "match_id")
-    numbered = possession_blocks(held, F.col("team_extended") == F.col("__rival"), blocks, rules=rules)
+    numbered = cut(possession_blocks(held, F.col("team_extended") == F.col("__rival"), blocks, rules=rules))
     mine = numbered.where("is_rival")
     blocks_ = block_metrics(mine).withColumn("cand_id", F.col("block_no").cast("string")).withColumn(
         "event_ids", F.array().cast("array<string>"))
@@ -440,12 +433,13 @@ def from_tracking(frames: DataFrame, events: DataFrame, teams: DataFrame, rules:
         F.min(F.when(own & F.col("setpiece_type").isNotNull(), F.col("match_time"))).alias("setpiece_ms"),
         F.max(own & F.array_contains("event_types", "recovery")
               & (F.col("match_time") <= F.col("start_ms") + rules.regain_ms)).alias("early_regain"))
-    base = blocks_.join(counts, SEQ, "left").fillna(0, ["n_events", "n_rival_events"])
+    base = cut(blocks_.join(counts, SEQ, "left").fillna(0, ["n_events", "n_rival_events"]))
     stood = base.where("setpiece_ms IS NOT NULL").select(*SEQ, F.col("setpiece_ms").alias("__from"), F.col("end_ms").alias("__to"))
     ball = frames.where("ball_x_m IS NOT NULL AND ball_y_m IS NOT NULL").select(
         "match_id", "period", "frame", "match_time", "ball_x_m", "ball_y_m", "ball_x_norm", "ball_speed")
     post = range_join(ball, stood, ["match_id", "period"], "match_time", "__from", "__to", rules.bucket_ms).drop("__from", "__to")
-    kick = first_movement(post, SEQ, blocks, rules)
+    post = cut(post)
+    kick = cut(first_movement(post, SEQ, blocks, rules))
     active = post.join(kick.select(*SEQ, "active_ms").where("active_ms IS NOT NULL"), SEQ).where("match_time >= active_ms")
     order, body = F.struct("match_time", "frame"), F.struct("ball_x_m", "ball_y_m", "ball_x_norm")
     stretch = active.groupBy(*SEQ).agg(F.min_by(body, order).alias("a"), F.max_by(body, order).alias("z"),
@@ -482,17 +476,17 @@ def number_sequences(seqs: DataFrame, order: list[Column], match_key: str = "mat
     return ordered(keyed, [match_key], names, blocks, running={name: F.lit(1)}).drop(*names)
 
 
-def segment_sequences(tracking: DataFrame, frames: DataFrame, events: DataFrame, provider: DataFrame, teams: DataFrame,
-                      rules: SegmentRules = SegmentRules(), blocks: Blocks = TRACKING_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(sequences, tagged tracking): kept sequences numbered per match; every tracking row with the
-    sequence it falls in (the later one on overlap) or NULL."""
+def segment_sequences(frames: DataFrame, events: DataFrame, provider: DataFrame, teams: DataFrame,
+                      rules: SegmentRules = SegmentRules(), blocks: Blocks = TRACKING_BLOCKS) -> DataFrame:
+    """Kept sequences of all matches, numbered per match. Long steps are written to the checkpoint folder."""
     rival = teams.select("match_id", F.col("rival_team").alias("__rival"))
     dirs = attack_direction(events.join(rival, "match_id").where(F.col("team_id") == F.col("__rival")))
     sized = {"ball_x_norm": ("ball_x_m", rules.length), "ball_y_norm": ("ball_y_m", rules.width)}
-    frames = mirror_by_direction(frames, dirs, sized)
-    one = from_provider(provider, frames, events, teams, dirs, rules, blocks).where("keep")
+    dirs = cut(dirs)
+    frames = cut(mirror_by_direction(frames, dirs, sized))
+    one = cut(from_provider(provider, frames, events, teams, dirs, rules, blocks).where("keep"))
     rest = frames.join(one.select("match_id").distinct(), "match_id", "left_anti")
-    two = from_tracking(rest, events, teams, rules, blocks).where("keep")
+    two = from_tracking(cut(rest), events, teams, rules, blocks).where("keep")
     types = {f.name: f.dataType for f in one.schema}
 
     def shape(df):
@@ -501,8 +495,7 @@ def segment_sequences(tracking: DataFrame, frames: DataFrame, events: DataFrame,
     kept = shape(one).unionByName(shape(two))
     # one order key: period first, then start time
     place = F.col("period") * F.lit(1e10) + F.col("start_ms")
-    seqs = number_sequences(kept, [place, F.coalesce("provider_id", F.lit("")), F.col("start_frame")])
-    return seqs, tag_tracking(tracking, seqs, blocks)
+    return number_sequences(cut(kept), [place, F.coalesce("provider_id", F.lit("")), F.col("start_frame")])
 
 
 def tag_tracking(tracking: DataFrame, seqs: DataFrame, blocks: Blocks = TRACKING_BLOCKS,

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import (align, attack, cluster as cl, defence, detail, events as evs, indices as ix, reports, rollups as ru, segment as sg,
                          threat, timeline as tl, tracking as tr, trajectory as tj)
 from ..operators.ordered import Blocks
@@ -38,8 +39,8 @@ class SeasonResult:
 
 def prepare_tracking(raw: DataFrame, events: DataFrame, blocks: Blocks) -> DataFrame:
     """Bucketed, moved, aligned with the events and with a possessor per row."""
-    small = tr.downsample(raw)
-    moved = tr.ball_kinematics(tr.player_kinematics(small, blocks), blocks)
+    small = cut(tr.downsample(raw))
+    moved = cut(tr.ball_kinematics(cut(tr.player_kinematics(small, blocks)), blocks))
     aligned = align.recalibrate(moved, events, blocks=blocks)
     return tr.detect_possession(aligned)
 
@@ -49,24 +50,22 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
                     blocks: Blocks = tr.TRACKING_BLOCKS, keep=None) -> SeasonResult:
     """Tracking, events and provider sequences of any number of matches to sequence indices.
 
-    ``keep`` (a function DataFrame -> DataFrame, e.g. write and reread a silver table) is applied to the
-    three tables used by several later steps: prepared tracking, sequences and tagged tracking. Without it
-    they are recomputed where needed. With a stored cluster model the model is applied, otherwise one is
+    ``keep`` (a function DataFrame -> DataFrame, e.g. write and reread a silver table) is applied to every
+    table used by several later steps; by default they are written to the checkpoint folder. With a stored cluster model the model is applied, otherwise one is
     fitted over all sequences of the run."""
-    keep = keep or (lambda df: df)
+    keep = keep or cut
     teams = tr.own_and_rival(tr.drop_incomplete(tr.coerce_numeric(raw_tracking, (), ["match_id", "team_id"]), ["team_id"]), own_team=own_team)
     teams = keep(teams)
     events = keep(evs.key_events(raw_events))
     tracking = keep(prepare_tracking(raw_tracking, events, blocks))
     shots = keep(evs.official_shots(raw_events, teams))
     frames = tr.frame_table(tracking)
-    seqs, tagged = sg.segment_sequences(tracking, frames, events, provider, teams, blocks=blocks)
-    seqs = keep(seqs)
+    seqs = keep(sg.segment_sequences(keep(frames), events, provider, teams, blocks=blocks))
     tagged = keep(sg.tag_tracking(tracking, seqs, blocks).where("seq_id IS NOT NULL"))
 
-    ball = tj.sequence_frames(tagged)
-    traj = tj.trajectories(ball, blocks)
-    features = tj.tactical_features(seqs, tj.ball_amplitude(tagged))
+    ball = keep(tj.sequence_frames(tagged))
+    traj = keep(tj.trajectories(ball, blocks))
+    features = keep(tj.tactical_features(seqs, tj.ball_amplitude(tagged)))
     frame = keep(cl.model_frame(traj, features))
     dims = 40 + len(cl.FEATURES)
     if model is None:
@@ -77,7 +76,7 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
     clusters = (cl.apply_model(frame, model) if model is not None else frame.withColumn("cluster", F.lit(0))).select(*SEQ, "cluster")
     clusters = keep(clusters)
 
-    assigned = attack.assign_shots(shots, seqs, blocks)
+    assigned = keep(attack.assign_shots(shots, seqs, blocks))
     summary = keep(attack.attack_summary(tagged, seqs, assigned, clusters))
     xt = threat.sequence_threat(ball, blocks)
     own = teams.select("match_id", "own_team")
@@ -88,11 +87,12 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
     base = profile.join(control, SEQ, "left").join(xt, SEQ, "left").join(
         summary.select(*SEQ, "cluster", "shot", "on_target", "goal", "xg", "cross", "loss", "x_start", "x_end", "y_start", "y_end",
                        "shot_ms", "gap_ms", "assignment", "amplitude_m", "gain_x_m"), SEQ, "left")
-    base = base.withColumn("finish_score", threat.finish_score())
-    indexed = ix.percentile_category(ix.ipo(ix.idd(base, MATCH), MATCH), MATCH, {"idd": "idd_category", "ipo": "ipo_category"})
+    base = keep(base.withColumn("finish_score", threat.finish_score()))
+    scored = keep(ix.ipo(ix.idd(base, MATCH), MATCH))
+    indexed = ix.percentile_category(scored, MATCH, {"idd": "idd_category", "ipo": "ipo_category"})
     indexed = keep(indexed)
     validation = ru.possession_validation(tagged, teams)
-    detail_ = detail.sequence_detail(indexed, seqs.drop("cluster"), validation)
+    detail_ = keep(detail.sequence_detail(indexed, seqs, validation))
     labels = ru.taxonomy_profile(summary, normalised_points(tagged, clusters))
     totals = stage_totals(raw_tracking, tracking, raw_events, seqs, shots, assigned, teams)
     return SeasonResult(teams, tracking, events, shots, seqs, traj, features, clusters, indexed, detail_, labels, totals, model,
