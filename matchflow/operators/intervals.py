@@ -110,21 +110,20 @@ def exists_within(left: DataFrame, right: DataFrame, keys: list[str], left_time:
 
 
 def _tree_nodes(intervals: DataFrame, keys: list[str], low: str, high: str, rank: Column, body: Column) -> DataFrame:
-    """Best interval per time node. [low, high] splits into at most two nodes per level."""
+    """Best interval per time node of a binary tree; an interval splits into at most two nodes per level
+    and needs no level above its own length."""
     lo, end = F.col(low).cast("long"), F.col(high).cast("long") + 1
-
-    def at(level):
-        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
-        first, stop = F.ceil(lo / size).cast("long"), F.floor(end / size).cast("long")
-        picks = F.array(F.when((first < stop) & (first % 2 == 1), first),
-                        F.when((first < stop) & (stop % 2 == 1), stop - 1))
-        return F.transform(F.array_compact(picks), lambda i: F.struct(level.alias("level"), i.alias("node")))
-
-    nodes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TREE_LEVELS)), at))
-    listed = intervals.where(lo < end).select(*keys, rank.alias("__rank"), body.alias("__body"),
-                                              F.explode(nodes).alias("__n"))
-    return listed.groupBy(*keys, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node")).agg(
-        F.max(F.struct("__rank", "__body")).alias("__best"))
+    top = F.least(F.floor(F.log2(end - lo)) + 1, F.lit(TREE_LEVELS)).cast("int")
+    rows = intervals.where(lo < end).select(*keys, lo.alias("__lo"), end.alias("__end"), rank.alias("__rank"), body.alias("__body"),
+                                            F.explode(F.sequence(F.lit(0), top)).alias("__level"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__level"))
+    first = F.call_function("shiftright", F.col("__lo") + size - 1, F.col("__level"))
+    stop = F.call_function("shiftright", F.col("__end"), F.col("__level"))
+    rows = rows.withColumns({"__first": first, "__stop": stop}).where("__first < __stop")
+    picks = F.array_compact(F.array(F.when(F.col("__first") % 2 != 0, F.col("__first")),
+                                    F.when(F.col("__stop") % 2 != 0, F.col("__stop") - 1)))
+    listed = rows.select(*keys, "__level", "__rank", "__body", F.explode(picks).alias("__node"))
+    return listed.groupBy(*keys, "__level", "__node").agg(F.max(F.struct("__rank", "__body")).alias("__best"))
 
 
 def covering_steps(intervals: DataFrame, keys: list[str], low: str, high: str, rank: list[Column],
@@ -134,9 +133,11 @@ def covering_steps(intervals: DataFrame, keys: list[str], low: str, high: str, r
     Each border looks its answer up on the path from its time node to the root of the node tree."""
     body = F.struct(*[F.col(c) for c in columns])
     nodes = _tree_nodes(intervals, keys, low, high, F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)]), body)
+    longest = intervals.groupBy(*keys).agg(F.max(F.col(high) - F.col(low) + 1).alias("__len"))
     borders = (intervals.select(*keys, F.explode(F.array(F.col(low).cast("long"), F.col(high).cast("long") + 1))
-                                .alias("__b")).distinct())
-    paths = borders.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(TREE_LEVELS)))).withColumn(
+                                .alias("__b")).distinct().join(longest.where("__len >= 1"), keys))
+    top = F.least(F.floor(F.log2("__len")) + 1, F.lit(TREE_LEVELS)).cast("int")
+    paths = borders.withColumn("__level", F.explode(F.sequence(F.lit(0), top))).drop("__len").withColumn(
         "__node", F.call_function("shiftright", F.col("__b"), F.col("__level")))
     return (paths.join(nodes, [*keys, "__level", "__node"], "left").groupBy(*keys, "__b")
             .agg(F.max("__best").alias("__best")).select(*keys, "__b", F.col("__best.__body").alias("__body")))
