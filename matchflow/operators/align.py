@@ -153,19 +153,45 @@ def recalibrate_single(tracking: DataFrame, events: DataFrame, rules: AlignRules
 
 def ball_outs(frames: DataFrame, throwins: DataFrame, rules: AlignRules = AlignRules(),
               blocks: Blocks = TRACKING_BLOCKS) -> DataFrame:
-    """Start of the last run of at least ``null_run`` ball-less frames before each throw-in.
-
-    ``frames``: one row per (match, period, frame) with match_time, ball_x, ball_y. Runs are islands of a
-    running count of valid frames; a run that reaches the event counts only its frames up to it."""
-    valid = F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull()
-    runs = cut(ordered(frames.withColumn("__ok", valid), KEYS, ["match_time", "frame"], blocks,
-                   last={"out_ms": F.when(valid, F.col("match_time"))}, running={"__island": valid.cast("long")}))
-    third = ordered(runs.where(~F.col("__ok") & F.col("out_ms").isNotNull()), KEYS, ["match_time", "frame"], blocks,
-                    running={"__n": F.lit(1)})
-    start = third.groupBy(*KEYS, "__island").agg(F.min("__n").alias("__n0"))
-    long_run = third.join(start, [*KEYS, "__island"]).where(F.col("__n") - F.col("__n0") + 1 == rules.null_run)
-    return asof(throwins, long_run.select(*KEYS, F.col("match_time").alias("since_ms"), "out_ms"), KEYS, "match_time",
-                "since_ms", ["out_ms"], blocks, prefix="run_")
+    """When the ball went out before each throw-in: the frame before the last run of at least ``null_run``
+    ball-less frames up to the throw-in, or the fall-back when there is none or it is too recent.
+
+    A throw-in puts the ball back into the frames between its out time and itself, so later throw-ins no
+    longer see that run. Only the ball-less frames of the periods concerned and their throw-ins are
+    walked in event order, one period per task; ``frames`` is one row per (match, period, frame),
+    ``throwins`` has match_time, first_ms (the player's first row) and event_no. Returns out_ms per event."""
+    lost = F.col("ball_x").isNull() | F.col("ball_y").isNull()
+    line = ordered(frames.withColumn("__lost", lost), KEYS, ["match_time", "frame"], blocks, lag={"prev_ms": F.col("match_time")},
+                   running={"idx": F.lit(1)})
+    gone = line.where("__lost").join(throwins.select(*KEYS).distinct(), KEYS, "left_semi").select(
+        *KEYS, F.col("match_time").cast("double").alias("t"), F.col("prev_ms").cast("double").alias("prev_ms"), F.col("idx").cast("long").alias("idx"))
+    asked = throwins.select(*KEYS, F.col("match_time").cast("double").alias("t"), F.col("first_ms").cast("double").alias("first_ms"),
+                            F.col("event_no").cast("long").alias("event_no"))
+    both = gone.unionByName(asked, allowMissingColumns=True)
+    schema = T.StructType([f for f in asked.schema if f.name in (*KEYS, "event_no")] + [T.StructField("out_ms", T.DoubleType())])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _settle_outs(pdf, rules)[[f.name for f in schema]]
+
+    return both.groupBy(*KEYS).applyInPandas(settle, schema)
+
+
+def _settle_outs(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
+    asked = rows[rows["event_no"].notna()].sort_values("event_no").copy()
+    gone = rows[rows["event_no"].isna()].sort_values("idx")
+    t, prev, idx = gone["t"].to_numpy(float), gone["prev_ms"].to_numpy(float), gone["idx"].to_numpy(float)
+    open_ = np.ones(len(t), dtype=bool)
+    outs = []
+    for when, first in zip(asked["t"], asked["first_ms"]):
+        seen = np.flatnonzero(open_ & (t <= when))
+        breaks = np.flatnonzero(np.diff(idx[seen]) != 1) + 1
+        runs = [r for r in np.split(seen, breaks) if len(r) >= rules.null_run and not np.isnan(prev[r[0]])]
+        back = max(first, when - rules.throw_back_ms)
+        out = prev[runs[-1][0]] if runs else back
+        out = back if when - out < rules.throw_min_ms else out
+        open_ &= ~((t >= out) & (t <= when))
+        outs.append(out)
+    return asked.assign(out_ms=outs, event_no=asked["event_no"].astype("int64"))
 
 
 def _islands(moves: DataFrame, blocks: Blocks) -> DataFrame:
@@ -243,10 +269,9 @@ def apply_recalibration(tracking: DataFrame, events: DataFrame, rules: AlignRule
     frames = tracking.groupBy(*KEYS, "frame").agg(F.min("match_time").alias("match_time"), F.min_by(
         F.struct("ball_x", "ball_y"), "player_id").alias("b")).select(*KEYS, "frame", "match_time", "b.ball_x", "b.ball_y")
     starts = tracking.groupBy(*keys).agg(F.min("match_time").alias("first_ms"))
-    ev = ball_outs(frames, ev, rules, blocks).join(starts, keys)
-    back = F.greatest("first_ms", F.col("match_time") - rules.throw_back_ms)
-    out = F.coalesce("run_out_ms", back)
-    ev = ev.withColumn("out_ms", F.when(F.col("match_time") - out < rules.throw_min_ms, back).otherwise(out))
+    ev = cut(ev.join(starts, keys))
+    outs = ball_outs(frames, ev.where("setpiece_type = 'throwin'"), rules, blocks)
+    ev = ev.join(outs, [*KEYS, "event_no"], "left")
     # general events reach some rows before and after their anchor: find those rows' times
     ev = cut(ev)
     ranked = cut(ordered(tracking.select(*keys, "match_time", "frame"), keys, ["match_time", "frame"], blocks,
