@@ -43,6 +43,39 @@ def match_report_text(totals: DataFrame, patterns: DataFrame, keys=MATCH) -> Dat
     return df.select(*k, F.concat_ws("\n", *lines).alias("report"))
 
 
+def match_report_markdown(totals: DataFrame, kpis: DataFrame, risk: DataFrame, causes: DataFrame, zones: DataFrame, keys=MATCH) -> DataFrame:
+    """The published markdown report of each match, from its totals and roll-up tables."""
+    k = list(keys)
+    mean = kpis.groupBy(*k).agg(
+        F.max(F.when(F.col("kpi") == "IDD medio", F.col("value").try_cast("double"))).alias("idd"),
+        F.max(F.when(F.col("kpi") == "IPO medio", F.col("value").try_cast("double"))).alias("ipo"))
+    top = first_rows(risk, k, [F.col("ipo_mean").desc(), F.col("cluster")]).select(
+        *k, "cluster", F.col("sequences").alias("top_n"), F.col("idd_mean").alias("top_idd"), F.col("ipo_mean").alias("top_ipo"))
+    cause = first_rows(causes, k, [F.col("frequency").desc(), F.col("cause")]).select(*k, F.col("cause").alias("top_cause"))
+    zone = first_rows(zones, k, [F.col("n").desc(), F.col("zone"), F.col("cluster")]).select(*k, F.col("zone").alias("top_zone"))
+    df = totals
+    for part in (mean, top, cause, zone):
+        df = df.join(part, k, "left")
+    none = F.lit("no identificada")
+
+    def two(c):
+        return F.format_string("%.2f", F.coalesce(F.col(c), F.lit(0.0)))
+
+    def shown(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("-"))
+
+    body = F.concat(
+        F.lit("# Informe del partido "), F.col("match_id").cast("string"), F.lit("\n\nEl analisis detecta **"), _int("sequences"),
+        F.lit(" secuencias ofensivas rivales**. El rival registra **"), _int("shots_rival"), F.lit(" tiros oficiales**, de los cuales **"),
+        _int("shots_on_target_rival"), F.lit("** van a puerta. Dentro de las secuencias analizadas quedan asociados **"), _int("shots_assigned"),
+        F.lit(" tiros**.\n\n## Lectura defensiva global\n\nEl **IDD medio** del partido es **"), two("idd"), F.lit("** y el **IPO medio** es **"),
+        two("ipo"), F.lit("**. La causa defensiva dominante es **"), F.coalesce("top_cause", none),
+        F.lit("** y la zona/carril que concentra mas dano eficiente es **"), F.coalesce("top_zone", none),
+        F.lit("**.\n\n## Patron prioritario\n\nEl cluster de mayor prioridad analitica es el **cluster "), shown("cluster"), F.lit("**, con **"),
+        shown("top_n"), F.lit(" secuencias**, IDD medio **"), two("top_idd"), F.lit("** e IPO medio **"), two("top_ipo"), F.lit("**.\n"))
+    return df.select(*k, body.alias("report"))
+
+
 def basic_summary_text() -> Column:
     """One-sentence summary from the counts of a match."""
     def grouped(c):

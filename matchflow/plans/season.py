@@ -143,6 +143,8 @@ def published_tables(r: SeasonResult) -> dict[str, DataFrame]:
         "threat_by_cluster": threat.threat_by_cluster(seqs),
         "patterns": patterns,
         "report": reports.match_report_text(r.totals, patterns),
+        "report_markdown": reports.match_report_markdown(r.totals, ru.match_kpis(seqs, r.totals, patterns), ru.risk_summary(seqs),
+                                                         ru.damage_causes(seqs), ru.damage_zones(seqs)),
         "metadata": metadata(r),
     }
 

@@ -33,10 +33,10 @@ _COLUMNS = f"""user_id % 3 AS match_id,
 def tracking(spark: SparkSession, sf: str) -> DataFrame:
     ms = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
     cols = _COLUMNS.format(ts="TIMESTAMP_NTZ", ms=ms)
-    return table(spark, sf, "events").selectExpr(*_split(cols))
+    return table(spark, sf, "events").selectExpr(*split_columns(cols))
 
 
-def _split(cols: str) -> list[str]:
+def split_columns(cols: str) -> list[str]:
     out, depth, cur = [], 0, ""
     for ch in cols:
         depth += ch == "("
@@ -79,7 +79,7 @@ def blocks(spark: SparkSession, sf: str) -> Blocks:
 def sequences_of_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer as a sequence table: priority is the match, segment the cluster."""
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(*_split(_ORDER_COLUMNS))
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(*split_columns(_ORDER_COLUMNS))
 
 
 _ORDER_COLUMNS = """o_orderkey AS seq_id, o_orderpriority AS match_id, c_mktsegment AS cluster,

@@ -8,7 +8,7 @@ from ..functions import expr, jsontext as jt, labels as lb
 from ..operators import events as evs, intervals as iv, timeline as tl
 from ..sources import catalogue as cat
 from ..sources.textrepair import repair_columns
-from .adapter import DAY, ORDERS_SQL, TRACKING_SQL, r6, sequences_of_orders, table, tracking
+from .adapter import DAY, ORDERS_SQL, TRACKING_SQL, blocks, r6, sequences_of_orders, split_columns, table, tracking
 
 QUERIES, SQL = {}, {}
 
@@ -21,8 +21,7 @@ FEED = """event_id AS id, user_id % 3 AS match_id, user_id % 2 AS team_id, conca
 
 
 def _feed(spark, sf):
-    from .adapter import _split
-    return table(spark, sf, "events").selectExpr(*_split(FEED))
+    return table(spark, sf, "events").selectExpr(*split_columns(FEED))
 
 
 FEED_SQL = f"SELECT {FEED} FROM events"
@@ -48,6 +47,27 @@ SELECT id, (e IS NOT NULL)::INT AS readable, kind, CASE WHEN kind = 'setpiece' T
   round(CASE WHEN kind = 'shot' THEN TRY_CAST(coalesce(p->>'xg', p->>'xG', p->>'my_expected') AS DOUBLE) END, 6) AS xg FROM s"""
 
 
+def _shots(spark, sf):
+    feed = table(spark, sf, "events").selectExpr(*split_columns(SHOTS))
+    teams = feed.select("match_id").distinct().selectExpr("match_id", "CAST(0 AS BIGINT) AS own_team", "CAST(1 AS BIGINT) AS rival_team")
+    out = evs.official_shots(feed, teams, blocks(spark, sf), window_ms=600_000)
+    return out.select(F.col("event_id").cast("long").alias("id"), "match_id", "on_target", F.col("goal").cast("int").alias("goal"), r6("xg"))
+
+
+# the same feed with clock, period and saves
+SHOTS = FEED.replace("{", "{{").replace("}", "}}").replace("WHEN 'error' THEN 'ownGoal'", "WHEN 'view' THEN 'Save'").replace("WHEN 0 THEN '' ELSE ']' END", "WHEN -1 THEN '' ELSE ']' END") + """,
+  CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 0 ELSE 1 END AS period_order, {ms} AS event_time"""
+SHOTS_SQL = SHOTS.format(ms="date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 1000")
+SHOTS = SHOTS.format(ms="timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").replace("< TIMESTAMP '", "< TIMESTAMP_NTZ '")
+QUERIES["official_shots"] = _shots
+SQL["official_shots"] = f"""
+WITH j AS (SELECT id, match_id, team_id, period_order AS pe, event_time AS t, lower(events->0->>'event_type') AS kind, events->0->'property' AS p FROM (SELECT {SHOTS_SQL} FROM events)),
+s AS (SELECT *, lower(concat_ws(' ', p->>'outcome', p->>'type', p->>'xG', p->>'xg', p->>'my_expected', p->>'other')) AS txt FROM j WHERE kind = 'shot' AND team_id = 1)
+SELECT id, match_id, (txt NOT LIKE '%post%' AND (txt LIKE '%goal%' OR txt LIKE '%save%') OR EXISTS (SELECT 1 FROM j v WHERE v.kind = 'save'
+    AND v.match_id = s.match_id AND v.pe = s.pe AND abs(v.t - s.t) <= 600000))::INT AS on_target, (txt LIKE '%gol%' OR txt LIKE '%goal%')::INT AS goal,
+  round(TRY_CAST(coalesce(p->>'xg', p->>'xG', p->>'my_expected') AS DOUBLE), 6) AS xg FROM s"""
+
+
 def _score(spark, sf):
     feed = _feed(spark, sf)
     sides = feed.select("match_id").distinct().selectExpr("match_id", "CAST(0 AS BIGINT) AS home_team", "CAST(1 AS BIGINT) AS away_team")

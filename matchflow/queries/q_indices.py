@@ -9,7 +9,7 @@ from ..functions.labels import INDEX_LEVELS, threat_level
 from ..functions.xt import xt_surface, xt_value
 from ..operators import defence, indices as ix, threat
 from ..operators.ordered import Blocks
-from .adapter import DAY, HOUR, METRES_SQL, ORDERS_SQL, TRACKING_SQL, blocks, metres, r6, sequences_of_orders, table, tracking
+from .adapter import DAY, HOUR, METRES_SQL, ORDERS_SQL, TRACKING_SQL, blocks, metres, r6, sequences_of_orders, split_columns, table, tracking
 
 QUERIES, SQL = {}, {}
 M = ["match_id"]
@@ -59,8 +59,7 @@ INPUTS = """seq_id, match_id, cluster, y_end * duration_s / 20 AS width_mean, x_
 
 
 def _inputs(spark, sf):
-    from .adapter import _split
-    return sequences_of_orders(spark, sf).selectExpr(*_split(INPUTS))
+    return sequences_of_orders(spark, sf).selectExpr(*split_columns(INPUTS))
 
 
 def _idd(spark, sf):

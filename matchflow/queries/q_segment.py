@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import id_list
 from ..operators import attack, segment as sg, threat, trajectory as tj
 from ..operators.ordered import Blocks
-from .adapter import DAY, HOUR, INTERVALS_SQL, METRES_SQL, TRACKING_SQL, blocks, intervals, metres, r6, table, tracking
+from .adapter import DAY, HOUR, INTERVALS_SQL, METRES_SQL, TRACKING_SQL, blocks, intervals, metres, r6, split_columns, table, tracking
 
 QUERIES, SQL = {}, {}
 
@@ -247,8 +247,7 @@ def _rules(spark, sf):
 
 
 def _columns(text):
-    from .adapter import _split
-    return _split(text)
+    return split_columns(text)
 
 
 QUERIES["classify_rules"] = _rules

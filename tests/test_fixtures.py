@@ -244,3 +244,34 @@ def test_category_matrix_has_all_cells(spark):
     df = spark.createDataFrame([(1, "baja", "critica")], "match_id int, idd_category string, ipo_category string")
     rows = ru.category_matrix(df).collect()
     assert len(rows) == 5 and sum(sum(r[c] for c in lb.CATEGORIES) for r in rows) == 1
+
+
+def test_attack_side_and_minimap(spark):
+    from matchflow.operators import attack
+    # no usable votes: the path that ends near x = 0 attacks to the left
+    seqs = spark.createDataFrame([(1, 1, 0, None, None), (1, 2, 1, 90.0, 12.0)],
+                                 "match_id int, seq_id int, period int, ball_x_m_end double, ball_x_norm_end double")
+    pts = spark.createDataFrame([(1, 1, 0, i, 1000 * i, 40.0 - 9 * i, 32.0) for i in range(5)] + [(1, 2, 1, i, 1000 * i, 80.0 + i, 30.0) for i in range(2)],
+                                "match_id int, seq_id int, period int, point_order int, match_time long, ball_x_m double, ball_y_m double")
+    sides = attack.attack_side(seqs, pts)
+    assert values(sides, "seq_id", "attacks_left") == [(1, True), (2, True)]
+    index = tl.video_index(spark.createDataFrame([(1, "500", "0", None, None)], "match_id int, period0_padding_ms string, period0_start_ms string, "
+                                                                               "period1_padding_ms string, period1_start_ms string"))
+    rows = {r.seq_id: r for r in attack.minimap_points(pts, sides, index).collect()}
+    assert [p.video_s for p in rows[1].points] == [0.5, 1.5, 2.5, 3.5, 4.5] and rows[2].points[1].video_s == 1.0
+    assert rows[1].xt_max == rows[1].points[-1].xt > rows[1].points[0].xt and rows[1].xt_gain > 0
+    assert rows[1].points[0].x_pct == pytest.approx(39.216)
+
+
+def test_repair_text(spark):
+    from matchflow.sources.textrepair import repair_columns
+    good = ["Tipología de finalización", "plain", "¿qué?", "Transición"]
+    bad = [good[0].encode().decode("latin1"), good[1], good[2].encode().decode("latin1").encode().decode("latin1"), good[3].encode().decode("cp1252")]
+    df = repair_columns(spark.createDataFrame([(i, t) for i, t in enumerate([*bad, None, "Ây�"])], "i int, t string"))
+    assert [r.t for r in df.orderBy("i").collect()] == [*good, None, "y"]
+
+
+def test_catalogue_texts(spark):
+    from matchflow.sources import catalogue as cat
+    df = spark.createDataFrame([("C.D. Real de la Sierra Norte",), ("de la",), ("",)], "n string")
+    assert [r[0] for r in df.select(cat.initials("n")).collect()] == ["CR", "DL", "R"]
