@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import attach_row
+
 FEATURES = ("verticality", "horizontality", "pass_rhythm", "duration_log", "events_log", "path_log", "mean_speed", "amplitude_m")
 
 
@@ -33,11 +35,10 @@ def column_moments(df: DataFrame, vector: str, n_dims: int) -> DataFrame:
 
 def standardise(df: DataFrame, vector: str, n_dims: int, name: str = "scaled") -> DataFrame:
     """z-score with the population deviation; a constant dimension gives 0."""
-    one = column_moments(df, vector, n_dims).withColumn("__one", F.lit(1))
-    out = df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one")  # one row of 2 x n_dims numbers
+    out = attach_row(df, column_moments(df, vector, n_dims))  # one row of 2 x n_dims numbers
     z = F.transform(F.arrays_zip(F.col(vector).cast("array<double>").alias("v"), "mean", "std"), lambda r: F.when(
         r["std"] > 0, (r["v"] - r["mean"]) / r["std"]).otherwise(F.lit(0.0)))
-    return out.withColumn(name, z).drop("__one", "mean", "std")
+    return out.withColumn(name, z).drop("mean", "std")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -62,23 +63,22 @@ def inertia(df: DataFrame, vector: str, cluster: str, n_dims: int) -> DataFrame:
 
 def _packed(centres: DataFrame, cluster: str) -> DataFrame:
     """All centres in one row; k is a model parameter, so the row is small."""
-    return centres.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "centre", "size", "mean_norm")).alias("__cs")
-                       ).withColumn("__one", F.lit(1))
+    return centres.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "centre", "size", "mean_norm")).alias("__cs"))
 
 
 def assign_nearest(df: DataFrame, vector: str, centres: DataFrame, cluster: str, name: str = "assigned") -> DataFrame:
     """Nearest centre of every row, the smallest id on a tie, with its squared distance."""
-    out = df.withColumn("__one", F.lit(1)).join(F.broadcast(_packed(centres, cluster)), "__one")
+    out = attach_row(df, _packed(centres, cluster))
     best = F.array_min(F.transform("__cs", lambda c: F.struct(squared_distance(F.col(vector), c["centre"]).alias("d"),
                                                               c["id"].alias("id"))))
     return out.withColumn("__b", best).withColumns({name: F.col("__b.id"), f"{name}_sq": F.col("__b.d")}).drop(
-        "__b", "__cs", "__one")
+        "__b", "__cs")
 
 
 def silhouette(df: DataFrame, vector: str, cluster: str, n_dims: int, name: str = "silhouette") -> DataFrame:
     """Silhouette of every row with squared Euclidean distance: exact and linear, because the mean squared
     distance to a cluster follows from its centre, size and mean squared norm."""
-    out = df.withColumn("__one", F.lit(1)).join(F.broadcast(_packed(centroids(df, vector, cluster, n_dims), cluster)), "__one")
+    out = attach_row(df, _packed(centroids(df, vector, cluster, n_dims), cluster))
     own_norm = F.aggregate(vector, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     out = out.withColumn("__n", own_norm)
 
@@ -94,7 +94,7 @@ def silhouette(df: DataFrame, vector: str, cluster: str, n_dims: int, name: str
     out = out.withColumns({"__a": a, "__b": b})
     s = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b")), F.lit(0.0)))
-    return out.withColumn(name, s).drop("__one", "__cs", "__n", "__d", "__a", "__b")
+    return out.withColumn(name, s).drop("__cs", "__n", "__d", "__a", "__b")
 
 
 # ------------------------------------------------------------------------------------- k-means

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip, mean_of, num
 from ..functions.labels import CATEGORIES, CATEGORY_CUTS, INDEX_LEVELS, IPO_CUTS, classify_index
-from .quantiles import percentile_table, with_percentiles
+from .quantiles import attach_row, percentile_table, with_percentiles
 
 # Sub-indices of IDD in tie order with weight, percentile range and published cause name,
 # and sub-indices of IPO with weight and percentile range.
@@ -103,17 +103,14 @@ def index_reference(df: DataFrame, keys=()) -> DataFrame:
     """Per metric: three cuts and how many values fall in each of the four levels, over all rows (or per
     key). IDD cuts are p25/p50/p75 of the data, .25/.5/.75 without data; IPO cuts are fixed."""
     keys = list(keys)
-    base = df.withColumn("__all", F.lit(1))
-    group = [*keys, "__all"]
-    table = percentile_table(base, group, ["idd"], [0.25, 0.50, 0.75])
-    everyone = base.groupBy(*group).agg(F.count("*").alias("__rows"))
-    cuts = everyone.join(table, group, "left").select(*group, *[
-        F.coalesce(f"idd_p{round(q * 1000)}", F.lit(q)).alias(f"c{i}") for i, q in enumerate((0.25, 0.50, 0.75))])
-    long = base.select(*group, F.explode(F.array(
+    table = percentile_table(df, keys, ["idd"], [0.25, 0.50, 0.75])
+    cut_columns = [F.coalesce(f"idd_p{round(q * 1000)}", F.lit(q)).alias(f"c{i}") for i, q in enumerate((0.25, 0.50, 0.75))]
+    long = df.select(*keys, F.explode(F.array(
         F.struct(F.lit("idd").alias("metric"), num("idd").alias("v")),
-        F.struct(F.lit("ipo").alias("metric"), num("ipo").alias("v")))).alias("s")).select(*group, "s.*")
+        F.struct(F.lit("ipo").alias("metric"), num("ipo").alias("v")))).alias("s")).select(*keys, "s.*")
+    both = long.join(table, keys, "left") if keys else attach_row(long, table)
+    both = both.select(*keys, "metric", "v", *cut_columns)
     fixed = F.col("metric") == "ipo"
-    both = long.join(cuts, group)
     cs = [F.when(fixed, F.lit(q)).otherwise(F.col(f"c{i}")) for i, q in enumerate(IPO_CUTS)]
     both = both.withColumns({"p25": cs[0], "p50": cs[1], "p75": cs[2]})
     v = F.col("v")
@@ -127,9 +124,7 @@ def index_reference(df: DataFrame, keys=()) -> DataFrame:
 
 def classify_rows(df: DataFrame, reference: DataFrame, metric: str, name: str) -> DataFrame:
     """Rows with the level struct of one metric; ``reference`` is one row per metric (at most two rows)."""
-    cuts = reference.where(F.col("metric") == metric).select(
-        F.struct("p25", "p50", "p75").alias("__c")).agg(F.max("__c").alias("__c"))
-    ref = cuts.withColumn("__one", F.lit(1))
-    out = df.withColumn("__one", F.lit(1)).join(F.broadcast(ref), "__one", "left")
+    cuts = reference.where(F.col("metric") == metric).agg(F.max(F.struct("p25", "p50", "p75")).alias("__c"))
+    out = attach_row(df, cuts)
     levels = classify_index(metric, [F.col("__c.p25"), F.col("__c.p50"), F.col("__c.p75")], INDEX_LEVELS[metric])
-    return out.withColumn(name, levels).drop("__c", "__one")
+    return out.withColumn(name, levels).drop("__c")

@@ -57,12 +57,16 @@ def percentile_table(df: DataFrame, keys: list[str], columns: list[str], probs:
     return flat.groupBy(*keys).agg(*wanted)
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row plus the columns of a one-row table, read once as a scalar subquery (no join)."""
+    value = one.select(F.struct(*one.columns).alias("r")).scalar()
+    return df.withColumn("__row", value).select(*df.columns, *[F.col(f"__row.{c}").alias(c) for c in one.columns])
+
+
 def with_percentiles(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
-    """Rows plus their group's percentiles (NULL for groups without a value)."""
-    if not keys:
-        one = df.withColumn("__all", F.lit(1))
-        return one.join(percentile_table(one, ["__all"], columns, probs), "__all", "left").drop("__all")
-    return df.join(percentile_table(df, keys, columns, probs), keys, "left")
+    """Rows plus their group's percentiles (NULL for groups without a value); no keys means all rows."""
+    table = percentile_table(df, keys, columns, probs)
+    return df.join(table, keys, "left") if keys else attach_row(df, table)
 
 
 def mode_table(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:

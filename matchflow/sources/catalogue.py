@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col, present
 from ..operators.ordered import first_rows
+from ..operators.quantiles import attach_row
 
 # Words left out of a team's initials, and columns that may name the competition.
 STOP_WORDS = ("cd", "cf", "ad", "a", "d", "de", "la", "el")
@@ -72,13 +73,13 @@ def initials(name) -> Column:
 def pseudonymise_teams(rows: DataFrame, order: DataFrame, own_team, own_label: str, prefix: str, team: str = "team_id",
                        name: str = "team_label") -> DataFrame:
     """Own team to a fixed label, rivals to 'prefix n' by the order table; unlisted ones share the next n."""
-    after = order.agg((F.coalesce(F.max("place"), F.lit(0)) + 1).alias("__next")).withColumn("__one", F.lit(1))
+    after = order.agg((F.coalesce(F.max("place"), F.lit(0)) + 1).alias("__next"))
     out = rows.join(order.select(F.col("team_id").alias(team), F.col("place").alias("__place")), team, "left")
-    out = out.withColumn("__one", F.lit(1)).join(F.broadcast(after), "__one")  # one row
+    out = attach_row(out, after)
     number = F.coalesce("__place", "__next").cast("string")
     label = (F.when(F.col(team) == own_team, F.lit(own_label)).when(F.col(team).isNull(), F.lit(prefix))
              .otherwise(F.concat(F.lit(prefix + " "), number)))
-    return out.withColumn(name, label).drop("__place", "__next", "__one")
+    return out.withColumn(name, label).drop("__place", "__next")
 
 
 def match_context(events: DataFrame, order: str = "event_time", key: str = "match_id") -> DataFrame:

@@ -16,8 +16,8 @@ def _match_of_file(feed: str) -> Column:
 
 
 def read_tracking(spark: SparkSession, folder: str) -> DataFrame:
-    """Tracking CSVs with a fixed schema (no inference pass); a missing folder is an error. The header's own
-    order is followed, and the match id falls back to the file name."""
+    """Tracking CSVs with a fixed schema (no inference pass); a missing folder, or a header that differs from
+    the schema, is an error. The match id falls back to the file name."""
     df = spark.read.option("header", True).option("encoding", "UTF-8").option("pathGlobFilter", "*_tracking_poseedor.csv").option(
         "enforceSchema", False).schema(TRACKING).csv(folder)
     out = df.withColumn("match_id", F.coalesce("match_id", _match_of_file("tracking")))

@@ -46,6 +46,11 @@ def rows(names, data):
     return sorted((tuple(norm(r[i]) for i in order) for r in data), key=repr)
 
 
+def kinds(data):
+    """Value types per column, NULLs left out."""
+    return [{type(r[i]).__name__ for r in data if r[i] is not None} for i in range(len(data[0]))]
+
+
 def compare(spark, con, sf, fn, sql):
     t0 = time.time()
     df = fn(spark, sf)
@@ -64,6 +69,9 @@ def compare(spark, con, sf, fn, sql):
         return False, f"rows {len(got)} != {len(want)}", t1 - t0
     if not got:
         return False, "no rows", t1 - t0
+    for name, a, b in zip(sorted(names), kinds(got), kinds(want)):
+        if a and b and a != b:
+            return False, f"column {name} is {a} here and {b} in SQL", t1 - t0
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return False, f"{len(bad)} of {len(got)} rows differ, e.g. {sorted(names)}\n   {bad[0][0]}\n   {bad[0][1]}", t1 - t0
