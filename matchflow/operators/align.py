@@ -117,7 +117,7 @@ def recalibrate_single(tracking: DataFrame, events: DataFrame, rules: AlignRules
     ``events``: match_id, period, player_id, match_time, x, y, setpiece_type. Returns tracking with shifted
     x, y and ball; coordinates clipped to the pitch."""
     keys = [*KEYS, "player_id"]
-    ranked = ordered(tracking, keys, ["match_time", "frame"], blocks, running={"__rank": F.lit(1)})
+    ranked = cut(ordered(tracking, keys, ["match_time", "frame"], blocks, running={"__rank": F.lit(1)}))
     anchor = asof(events.select(*keys, "match_time", "x", "y", "setpiece_type"),
                   ranked.select(*keys, "match_time", "frame", "x", "y", "__rank"), keys, "match_time", "match_time",
                   ["x", "y", "__rank"], blocks, direction="nearest", tie=F.col("frame"), prefix="a_", how="inner")
