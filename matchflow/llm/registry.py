@@ -1,7 +1,7 @@
 """Queries of the corpus operators and their SQL."""
 
-from . import chat_format, exact_dedup, line_dedup
+from . import bpe, chat_format, exact_dedup, line_dedup
 
-MODULES = (exact_dedup, chat_format, line_dedup)
+MODULES = (bpe, exact_dedup, chat_format, line_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
