@@ -24,5 +24,6 @@ def written(spans: Column) -> Column:
 def digests(rows: DataFrame, spans: str, kinds: list[str]) -> DataFrame:
     """doc_id, a count per base kind, base_sha256 and all spans as text."""
     base = F.filter(spans, lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    of_base = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(of_base, lambda s: s == F.lit(k))).cast("long").alias(f"n_{k}") for k in kinds]
     return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col(spans)).alias("spans"))
