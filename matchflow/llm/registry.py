@@ -1,7 +1,7 @@
 """Queries of the corpus operators and their SQL."""
 
-from . import bpe, chat_format, exact_dedup, lang_crf, line_dedup, pfair_mix, pii_crf, secret_scan
+from . import bitslice_topk, bpe, chat_format, exact_dedup, lang_crf, line_dedup, pfair_mix, pii_crf, secret_scan
 
-MODULES = (pii_crf, bpe, exact_dedup, pfair_mix, chat_format, lang_crf, line_dedup, secret_scan)
+MODULES = (pii_crf, bitslice_topk, bpe, exact_dedup, pfair_mix, chat_format, lang_crf, line_dedup, secret_scan)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
