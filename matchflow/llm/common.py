@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 
-__all__ = ["ascii_lower", "cut", "scan", "slices", "small_batches"]
+__all__ = ["ascii_lower", "cut", "rows_of", "scan", "slices", "small_batches"]
 
 BATCH_BYTES = 8 << 20
 
@@ -44,3 +44,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (id, and v, the xxhash64 of the text) names, one of each, all columns."""
+    names = kept.select(F.col(doc_id).alias("__k"), F.col("v").alias("__kv"))
+    rows = docs.withColumn("__v", F.xxhash64(text))
+    same = rows[doc_id].eqNullSafe(F.col("__k")) & rows["__v"].eqNullSafe(F.col("__kv"))
+    once = Window.partitionBy(doc_id, "__v").orderBy("__v")
+    found = rows.join(names, same, "left_semi").withColumn("__n", F.row_number().over(once))
+    return found.where("__n = 1").select(*docs.columns)

@@ -20,10 +20,10 @@ import struct
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scan, slices, small_batches
+from .common import cut, rows_of, scan, slices, small_batches
 
 BLOCK_BYTES = 4096
 FINGERPRINT_BITS = 128
@@ -124,11 +124,7 @@ def named_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
-    kept = named_groups(docs, doc_id, text, **how).where("kept").select(F.col(doc_id).alias("__k"), F.col("v").alias("__kv"))
-    rows = docs.withColumn("__v", F.xxhash64(text))
-    same = rows[doc_id].eqNullSafe(F.col("__k")) & rows["__v"].eqNullSafe(F.col("__kv"))
-    once = Window.partitionBy(doc_id, "__v").orderBy("__v")
-    return rows.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    return rows_of(docs, named_groups(docs, doc_id, text, **how).where("kept"), doc_id, text)
 
 
 def op4(spark, sf):
