@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from matchflow import queries as registered
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registered.all_queries(), registered.all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables absent")
 
@@ -34,5 +35,9 @@ def test_query(spark, con, name):
     assert ok or text == "no rows", text
 
 
+def test_entry_holds_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
