@@ -119,9 +119,11 @@ def sequence_type_label(c) -> Column:
 
 
 def typology_label(cluster) -> Column:
-    """Cluster n shown as 'Tipología n+1'."""
-    n = num(cluster)
-    return F.when(n.isNull(), F.lit("-")).otherwise(F.concat(F.lit("Tipología "), (n.cast("int") + 1).cast("string")))
+    """Cluster n, also written 'Tn', shown as 'Tipología n+1'; other text stays, nothing is '-'."""
+    text = F.trim(col(cluster).cast("string"))
+    n = num(F.regexp_replace(text, r"^[Tt](?=\d+$)", ""))
+    return (F.when(text.isNull() | (F.lower(text).isin("", "nan")), F.lit("-"))
+            .when(n.isNull(), text).otherwise(F.concat(F.lit("Tipología "), (n.cast("int") + 1).cast("string"))))
 
 
 def level_of(value, cuts) -> Column:

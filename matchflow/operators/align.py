@@ -34,6 +34,10 @@ class AlignRules:
     length: float = PITCH_LENGTH
     width: float = PITCH_WIDTH
 
+    def __post_init__(self):
+        if not 0 <= self.rows_before <= len(SETPIECE_WEIGHTS) or not 0 <= self.rows_after <= len(POST_WEIGHTS):
+            raise ValueError(f"weights are fixed for up to {len(SETPIECE_WEIGHTS)} rows before and {len(POST_WEIGHTS)} rows after an event")
+
 
 # Shift weights after the event, before a set piece, and blends of the ball.
 POST_WEIGHTS = (0.95, 0.85, 0.70, 0.50, 0.30, 0.15)

@@ -55,42 +55,44 @@ class ControlRules:
     width: float = PITCH_WIDTH
 
 
-def _grid(rules: ControlRules) -> Column:
+def _grid(rules: ControlRules) -> tuple[Column, list[int]]:
+    """(array of the grid's points, numbers of those in the danger zone)."""
     xs, ys = np.linspace(0, rules.length, rules.grid_x), np.linspace(0, rules.width, rules.grid_y)
-    cells = []
-    for y in ys:
-        for x in xs:
-            danger = bool(x >= rules.length * rules.danger_x and rules.width * rules.danger_y[0] <= y
-                          <= rules.width * rules.danger_y[1])
-            cells.append(F.struct(F.lit(len(cells)).alias("cell"), F.lit(float(x)).alias("gx"), F.lit(float(y)).alias("gy"),
-                                  F.lit(danger).alias("danger")))
-    return F.array(*cells)
+    cells = [(float(x), float(y)) for y in ys for x in xs]
+    danger = [i for i, (x, y) in enumerate(cells) if x >= rules.length * rules.danger_x
+              and rules.width * rules.danger_y[0] <= y <= rules.width * rules.danger_y[1]]
+    return F.array(*[F.struct(F.lit(x).alias("gx"), F.lit(y).alias("gy")) for x, y in cells]), danger
 
 
 def control_frames(rows: DataFrame, own: Column, keys=SEQ_KEYS, rules: ControlRules = ControlRules()) -> DataFrame:
-    """Pitch control per (sequence, time). Every player row meets the fixed grid (a constant, 600 points)
-    and only the smallest arrival time per grid point and side survives the map side of the shuffle."""
+    """Pitch control per (sequence, time). The players of a frame (two teams) are gathered into one row, frames with too
+    few players go, and the grid is worked out inside the row; no row is made per grid point."""
     keys = list(keys)
     second = F.when(F.col("period") == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
     speed, angle = F.coalesce("speed_smooth", F.lit(0.0)), F.coalesce("direction", F.lit(0.0))
     x = mirror_fixed("x_m", "period", rules.length) + speed * F.cos(angle) * second * rules.reaction_s
     y = mirror_fixed("y_m", "period", rules.width) + speed * F.sin(angle) * second * rules.reaction_s
     # rows of an unknown team count as rival
-    who = rows.select(*keys, "match_time", F.coalesce(own, F.lit(False)).alias("own"), x.alias("px"), y.alias("py"))
-    sizes = who.groupBy(*keys, "match_time").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_rival"))
-    full = sizes.where((F.col("n_own") >= rules.min_players) & (F.col("n_rival") >= rules.min_players))
-    spread = who.select(*keys, "match_time", "own", "px", "py", F.explode(_grid(rules)).alias("g"))
-    gap = distance("px", "py", "g.gx", "g.gy")
-    arrive = F.lit(rules.reaction_s) + gap / F.lit(rules.max_speed)
-    best = spread.groupBy(*keys, "match_time", F.col("g.cell").alias("cell"), F.col("g.danger").alias("danger")).agg(
-        F.min(F.when(F.col("own"), arrive)).alias("t_own"), F.min(F.when(~F.col("own"), arrive)).alias("t_rival"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-rules.steepness) * (F.col("t_rival") - F.col("t_own"))))
-    prob = best.withColumn("p", p)
-    out = prob.groupBy(*keys, "match_time").agg(
-        F.avg("p").alias("control_own"), F.avg(1 - F.col("p")).alias("control_rival"),
-        F.avg(F.when(F.col("danger"), F.col("p"))).alias("danger_own"),
-        F.avg(F.when(F.col("danger"), 1 - F.col("p"))).alias("danger_rival"))
-    return out.join(full.select(*keys, "match_time"), [*keys, "match_time"], "left_semi")
+    who = rows.select(*keys, "match_time", F.coalesce(own, F.lit(False)).alias("own"), F.struct(x.alias("px"), y.alias("py")).alias("at"))
+    # rows without a place count as players and reach nothing
+    placed = F.col("at.px").isNotNull() & F.col("at.py").isNotNull()
+    frames = who.groupBy(*keys, "match_time").agg(
+        F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_rival"),
+        F.collect_list(F.when(F.col("own") & placed, F.col("at"))).alias("mine"),
+        F.collect_list(F.when(~F.col("own") & placed, F.col("at"))).alias("theirs"))
+    frames = frames.where((F.col("n_own") >= rules.min_players) & (F.col("n_rival") >= rules.min_players))
+    grid, danger = _grid(rules)
+
+    def nearest(players: str, g: Column) -> Column:
+        return F.array_min(F.transform(F.col(players), lambda p: (p["px"] - g["gx"]) * (p["px"] - g["gx"]) + (p["py"] - g["gy"]) * (p["py"] - g["gy"])))
+
+    steep = rules.steepness / rules.max_speed
+    p = F.transform(grid, lambda g: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-steep) * (F.sqrt(nearest("theirs", g)) - F.sqrt(nearest("mine", g))))))
+    probs = frames.where((F.size("mine") > 0) & (F.size("theirs") > 0)).select(*keys, "match_time", p.alias("p"))
+    zone = F.transform(F.array(*[F.lit(i) for i in danger]), lambda i: F.get("p", i)) if danger else F.array().cast("array<double>")
+    shares = probs.select(*keys, "match_time", mean_of("p").alias("control_own"), mean_of(zone).alias("danger_own"))
+    return shares.select(*keys, "match_time", "control_own", (1 - F.col("control_own")).alias("control_rival"), "danger_own",
+                         (1 - F.col("danger_own")).alias("danger_rival"))
 
 
 def pitch_control(rows: DataFrame, own: Column, blocks: Blocks = TRACKING_BLOCKS, keys=SEQ_KEYS, n_points: int = 20,

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .ordered import Blocks, ordered
 
-TREE_LEVELS = 42  # interval lengths up to 2^42 ms
-
 
 @dataclass(frozen=True)
 class Side:
@@ -109,11 +107,21 @@ def exists_within(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     return out.withColumn(name, F.col("__x_time").isNotNull()).drop("__x_time")
 
 
+def _whole_span(low: str, high: str) -> tuple[Column, Column]:
+    """The whole numbers inside [low, high] as [first, end): fractional edges are drawn inward."""
+    return F.ceil(F.col(low)).cast("long"), F.floor(F.col(high)).cast("long") + 1
+
+
+def _levels(length: Column) -> Column:
+    """Levels of the node tree that an interval of this length can use; as many as it asks for."""
+    return F.least(F.floor(F.log2(length)) + 1, F.lit(62)).cast("int")
+
+
 def _tree_nodes(intervals: DataFrame, keys: list[str], low: str, high: str, rank: Column, body: Column) -> DataFrame:
     """Best interval per time node of a binary tree; an interval splits into at most two nodes per level
     and needs no level above its own length."""
-    lo, end = F.col(low).cast("long"), F.col(high).cast("long") + 1
-    top = F.least(F.floor(F.log2(end - lo)) + 1, F.lit(TREE_LEVELS)).cast("int")
+    lo, end = _whole_span(low, high)
+    top = _levels(end - lo)
     rows = intervals.where(lo < end).select(*keys, lo.alias("__lo"), end.alias("__end"), rank.alias("__rank"), body.alias("__body"),
                                             F.explode(F.sequence(F.lit(0), top)).alias("__level"))
     size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__level"))
@@ -133,10 +141,10 @@ def covering_steps(intervals: DataFrame, keys: list[str], low: str, high: str, r
     Each border looks its answer up on the path from its time node to the root of the node tree."""
     body = F.struct(*[F.col(c) for c in columns])
     nodes = _tree_nodes(intervals, keys, low, high, F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)]), body)
-    longest = intervals.groupBy(*keys).agg(F.max(F.col(high) - F.col(low) + 1).alias("__len"))
-    borders = (intervals.select(*keys, F.explode(F.array(F.col(low).cast("long"), F.col(high).cast("long") + 1))
-                                .alias("__b")).distinct().join(longest.where("__len >= 1"), keys))
-    top = F.least(F.floor(F.log2("__len")) + 1, F.lit(TREE_LEVELS)).cast("int")
+    lo, end = _whole_span(low, high)
+    longest = intervals.groupBy(*keys).agg(F.max(end - lo).alias("__len"))
+    borders = (intervals.select(*keys, F.explode(F.array(lo, end)).alias("__b")).distinct().join(longest.where("__len >= 1"), keys))
+    top = _levels(F.col("__len"))
     paths = borders.withColumn("__level", F.explode(F.sequence(F.lit(0), top))).drop("__len").withColumn(
         "__node", F.call_function("shiftright", F.col("__b"), F.col("__level")))
     return (paths.join(nodes, [*keys, "__level", "__node"], "left").groupBy(*keys, "__b")
@@ -145,8 +153,8 @@ def covering_steps(intervals: DataFrame, keys: list[str], low: str, high: str, r
 
 def best_covering(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, low: str, high: str,
                   rank: list[Column], columns: list[str], blocks: Blocks, prefix: str = "m_") -> DataFrame:
-    """The interval with the largest ``rank`` among those that contain the point's time (whole
-    milliseconds, both ends included); NULL columns when none does.
+    """The interval with the largest ``rank`` among those that contain the point's time, both ends included; NULL
+    columns when none does. Point times are whole numbers in any unit; interval edges may be fractional.
 
     Between two neighbouring interval borders the answer is constant, so each point takes over the answer
     of the last border before it. Nothing lists (point, interval) pairs, so any overlap is safe."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
-MAX_BLOCKS = 4000
+ROWS_PER_BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,11 @@ class Blocks:
     def equal_depth(df: DataFrame, order: str, n: int | None = None) -> "Blocks":
         """Cuts that give every block about the same number of rows, whatever the density.
 
-        One pass over one column; the driver holds ``n`` numbers. ``n`` follows the session's
-        shuffle parallelism, so the blocks grow with the cluster.
+        One pass over one column; the driver holds ``n`` numbers. ``n`` follows the rows, so that a block holds about
+        ``ROWS_PER_BLOCK`` of them however many there are, and is never below the session's parallelism.
         """
         if n is None:
-            n = min(MAX_BLOCKS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            n = max(-(-df.count() // ROWS_PER_BLOCK), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         probs = [i / n for i in range(1, n)]
         found = df.select(F.col(order).cast("double").alias(order)).approxQuantile(order, probs, 1 / (4 * n))
         return Blocks(cuts=tuple(sorted(set(found))))

@@ -139,9 +139,10 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
     equi join per step over the chains still open. Returns (keys, seq_id, chain_start, members) where
     ``members`` lists the ``payload`` structs of the sequences added. Runs one small job per step."""
     keys = list(keys)
-    before = asof(seqs.select(*keys, seq_id, "start_ms"), seqs.select(*keys, "end_ms", F.col(seq_id).alias("prev_id")),
-                  keys, "start_ms", "end_ms", ["prev_id"], blocks, tolerance=rules.chain_gap_ms,
-                  tie=F.col("prev_id"), prefix="")
+    # a sequence without length would be its own predecessor and never end the walk
+    ended = seqs.where("end_ms > start_ms").select(*keys, "end_ms", F.col(seq_id).alias("prev_id"))
+    before = asof(seqs.select(*keys, seq_id, "start_ms"), ended, keys, "start_ms", "end_ms", ["prev_id"], blocks,
+                  tolerance=rules.chain_gap_ms, tie=F.col("prev_id"), prefix="")
     body = seqs.select(*keys, F.col(seq_id).alias("prev_id"), F.col("start_ms").alias("prev_start"),
                        F.struct(*payload, F.col(seq_id)).alias("member"))
     links = cut(before.join(body, [*keys, "prev_id"]).select(
@@ -165,13 +166,6 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
         F.array_sort(F.collect_list("member")).alias("members"), (F.count("*") - 1).alias("n_added"))
 
 
-def next_start(seqs: DataFrame, blocks: Blocks, keys=("match_id", "period"), name: str = "next_start") -> DataFrame:
-    """Start of the next sequence of the key that starts after this one ends (overlaps allowed)."""
-    out = asof(seqs, seqs.select(*keys, F.col("start_ms").alias("__s")), list(keys), "end_ms", "__s", [], blocks,
-               direction="forward", strict=True, prefix="__n_")
-    return out.withColumnRenamed("__n_time", name)
-
-
 def extend_to_terminal(seqs: DataFrame, closers: DataFrame, blocks: Blocks, keys=("match_id", "period"),
                        rules: SegmentRules = SegmentRules()) -> DataFrame:
     """Moves the end to just after the first closing event within the window and before the next

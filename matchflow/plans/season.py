@@ -1,4 +1,4 @@
-"""The whole analysis of many matches as one lazy plan, and the published tables."""
+"""The whole analysis of many matches, and the published tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH
 from ..lineage import cut
 from ..operators import (align, attack, cluster as cl, defence, detail, events as evs, indices as ix, reports, rollups as ru, segment as sg,
                          threat, timeline as tl, tracking as tr, trajectory as tj)
@@ -19,7 +20,7 @@ SEQ = ["match_id", "seq_id"]
 
 @dataclass
 class SeasonResult:
-    """Lazy tables of the analysis; nothing runs before one of them is written or shown."""
+    """Tables of the analysis: those used by several later steps are written by ``keep`` as the analysis runs, the rest is lazy."""
 
     teams: DataFrame
     tracking: DataFrame
@@ -94,7 +95,7 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
     validation = ru.possession_validation(tagged, teams)
     detail_ = keep(detail.sequence_detail(indexed, seqs, validation))
     labels = ru.taxonomy_profile(summary, normalised_points(tagged, clusters))
-    totals = stage_totals(raw_tracking, tracking, raw_events, seqs, shots, assigned, teams)
+    totals = stage_totals(raw_tracking, tracking, raw_events, seqs, shots, summary, teams)
     return SeasonResult(teams, tracking, events, shots, seqs, traj, features, clusters, indexed, detail_, labels, totals, model,
                         {"tagged": tagged, "summary": summary, "assigned": assigned, "ball": ball})
 
@@ -105,22 +106,24 @@ def _choose_k(frame: DataFrame, dims: int, restarts: int) -> int:
     return best["k"] if best else 1
 
 
-def normalised_points(tagged: DataFrame, clusters: DataFrame) -> DataFrame:
+def normalised_points(tagged: DataFrame, clusters: DataFrame, length: float = PITCH_LENGTH, width: float = PITCH_WIDTH) -> DataFrame:
     """Ball places of all rows of clustered sequences, the second period mirrored."""
     rows = tagged.select(*SEQ, "period", "ball_x_m", "ball_y_m").join(clusters, SEQ)
     first = F.col("period") == 0
     return rows.withColumns({
-        "ball_x_norm": F.when(first, F.col("ball_x_m")).otherwise(102.0 - F.col("ball_x_m")),
-        "ball_y_norm": F.when(first, F.col("ball_y_m")).otherwise(64.0 - F.col("ball_y_m"))})
+        "ball_x_norm": F.when(first, F.col("ball_x_m")).otherwise(F.lit(length) - F.col("ball_x_m")),
+        "ball_y_norm": F.when(first, F.col("ball_y_m")).otherwise(F.lit(width) - F.col("ball_y_m"))})
 
 
-def stage_totals(raw_tracking, tracking, raw_events, seqs, shots, assigned, teams) -> DataFrame:
-    """Rows per stage and match, with the team ids."""
+def stage_totals(raw_tracking, tracking, raw_events, seqs, shots, summary, teams) -> DataFrame:
+    """Rows per stage and match, with the team ids: sequences detected and kept (two ball points or more), kept ones
+    with a shot, and the clusters among the kept ones."""
     on_target = shots.where("on_target = 1")
+    kinds = summary.groupBy("match_id").agg(F.count_distinct("cluster").alias("typologies"))
     counts = ru.match_summary({
-        "tracking_raw": raw_tracking, "tracking_bucketed": tracking, "events_raw": raw_events, "sequences": seqs, "shots_rival": shots,
-        "shots_on_target_rival": on_target, "shots_assigned": assigned.where("seq_id IS NOT NULL")})
-    return counts.join(teams, "match_id", "left")
+        "tracking_raw": raw_tracking, "tracking_bucketed": tracking, "events_raw": raw_events, "sequences_detected": seqs, "sequences": summary,
+        "shots_rival": shots, "shots_on_target_rival": on_target, "shots_assigned": summary.where("shot = 1")})
+    return counts.join(kinds, "match_id", "left").fillna(0, ["typologies"]).join(teams, "match_id", "left")
 
 
 def published_tables(r: SeasonResult) -> dict[str, DataFrame]:

@@ -6,6 +6,8 @@ constants are the same views for the SQL statements.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,9 @@ INTERVALS_SQL = f"""SELECT match_id, period, frame AS seq_id, player_id AS owner
   match_time + {HOUR} + (frame % 7) * 60000 AS end_ms FROM ({TRACKING_SQL}) WHERE event_type = 'signup'"""
 
 
+@lru_cache(maxsize=8)
 def blocks(spark: SparkSession, sf: str) -> Blocks:
+    """Cuts of the event stream, found once per table and shared by the queries on it."""
     return Blocks.equal_depth(tracking(spark, sf), "match_time")
 
 

@@ -119,7 +119,7 @@ LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_
 
 
 def _model_frame(s, d):
-    traj = table(s, d, "embeddings").select(F.col("vec_id").alias("seq_id"), F.lit(0).alias("match_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("traj"))
+    traj = table(s, d, "embeddings").select(F.col("vec_id").alias("seq_id"), F.lit(0).alias("match_id"), F.col("embedding").cast("array<double>").alias("traj"))
     feats = table(s, d, "orders").selectExpr("o_orderkey AS seq_id", "0 AS match_id", "CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 1000 END AS a",
                                              "CASE WHEN o_orderkey % 4 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(o_custkey AS DOUBLE) END AS b")
     out = cl.model_frame(traj, feats, names=("a", "b"))
@@ -127,9 +127,9 @@ def _model_frame(s, d):
 
 
 put("model_frame", _model_frame, """
-WITH m AS (SELECT vec_id, list_concat(embedding[1:4]::DOUBLE[], [CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 1000 ELSE 0 END,
+WITH m AS (SELECT vec_id, list_concat(embedding::DOUBLE[], [CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 1000 ELSE 0 END,
   CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_custkey::DOUBLE END]) AS f FROM embeddings JOIN orders ON o_orderkey = vec_id)
-SELECT vec_id AS seq_id, i::INT AS i, round(f[i + 1], 6) AS v FROM m, range(6) r(i)""")
+SELECT vec_id AS seq_id, i::INT AS i, round(f[i + 1], 6) AS v FROM m, range(66) r(i)""")
 
 
 def _counts(s, d):

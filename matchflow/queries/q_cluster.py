@@ -107,7 +107,7 @@ SELECT match_id, label, i::INT AS point, round(avg(m) OVER (PARTITION BY match_i
 
 def _kmeans(spark, sf):
     e = emb(spark, sf).select("vec_id", F.col("embedding").alias("features"))
-    model, _ = cl.fit_pipeline(e, 10, restarts=2)
+    model, _ = cl.fit_pipeline(e, 10)
     return cl.apply_model(e, model).select("vec_id", "cluster")
 
 

@@ -179,7 +179,7 @@ SELECT match_id, player_id AS seq_id, period, round(a, 6) AS xt_start, round(z,
 def _profile(spark, sf):
     t = metres(tracking(spark, sf)).withColumn("seq_id", F.floor(F.col("match_time") / DAY)).withColumn(
         "match_time", F.floor(F.col("match_time") / HOUR))
-    out = defence.defensive_profile(t, Blocks.equal_depth(t, "match_time"), n_points=10)
+    out = defence.defensive_profile(t, Blocks.equal_depth(t, "match_time"))
     long = out.select("match_id", "seq_id", F.posexplode(F.arrays_zip(*defence.PROFILE)).alias("point", "p"))
     return long.select("match_id", "seq_id", "point", *[F.round(f"p.{c}", 6).alias(c) for c in defence.PROFILE])
 
@@ -203,33 +203,31 @@ WITH t AS (SELECT match_id, match_time // {DAY} AS seq_id, match_time // {HOUR}
 d AS (SELECT *, sqrt((px - bx)**2 + (py - qy)**2) AS d FROM t),
 f AS (SELECT match_id, seq_id, hr, avg(px) AS line, max(py) - min(py) AS width, count(*) FILTER (WHERE d <= 5) AS near5, count(*) FILTER (WHERE d <= 10) AS near10,
   avg(d) AS dist, min(d) AS dist_nearest, arg_min(bx, frame) AS ball_x FROM d GROUP BY ALL),
-{_resampled(defence.PROFILE, 10, 'f').format(least=2)}"""
-
-CONTROL = defence.ControlRules(grid_x=10, grid_y=6, min_players=1, min_frames=3)
-
+{_resampled(defence.PROFILE, 20, 'f').format(least=2)}"""
 
 def _control(spark, sf):
     t = metres(tracking(spark, sf)).selectExpr(
-        "match_id", f"floor(match_time / {DAY}) AS seq_id", f"floor(match_time / {HOUR}) AS match_time", "period", "team_id", "x_m", "y_m",
+        "match_id", f"floor(match_time / {DAY}) AS seq_id", f"floor(match_time / {6 * HOUR}) AS match_time", "period", "team_id", "x_m", "y_m",
         "value / 50 AS speed_smooth", "CAST(frame % 7 AS DOUBLE) AS direction")
-    out = defence.pitch_control(t, F.col("team_id") == 0, Blocks.equal_depth(t, "match_time"), n_points=6, rules=CONTROL)
+    out = defence.pitch_control(t, F.col("team_id") == 0, Blocks.equal_depth(t, "match_time"))
     cols = ["control_own_mean", "control_rival_mean", "danger_own_mean", "danger_rival_mean", "control_lost", "danger_gained"]
     return out.select("match_id", "seq_id", *[r6(c) for c in cols])
 
 
 QUERIES["pitch_control"] = _control
 SQL["pitch_control"] = f"""
-WITH t AS (SELECT match_id, match_time // {DAY} AS seq_id, match_time // {HOUR} AS hr, team_id = 0 AS own,
+WITH t AS (SELECT match_id, match_time // {DAY} AS seq_id, match_time // {6 * HOUR} AS hr, team_id = 0 AS own,
   CASE WHEN period = 0 THEN x_m ELSE 102 - x_m END + value / 50 * cos(frame % 7) * CASE WHEN period = 1 THEN -1 ELSE 1 END * 0.7 AS px,
   CASE WHEN period = 0 THEN y_m ELSE 64 - y_m END + value / 50 * sin(frame % 7) * CASE WHEN period = 1 THEN -1 ELSE 1 END * 0.7 AS py FROM ({METRES_SQL})),
-gr AS (SELECT i * 102.0::DOUBLE / 9 AS gx, j * 64.0::DOUBLE / 5 AS gy FROM range(10) a(i), range(6) b(j)),
+gr AS (SELECT i * 102.0::DOUBLE / 29 AS gx, j * 64.0::DOUBLE / 19 AS gy FROM range(30) a(i), range(20) b(j)),
 b AS (SELECT match_id, seq_id, hr, gx, gy, min(CASE WHEN own THEN 0.7 + sqrt((px - gx)**2 + (py - gy)**2) / 5.5 END) AS ta,
-  min(CASE WHEN NOT own THEN 0.7 + sqrt((px - gx)**2 + (py - gy)**2) / 5.5 END) AS tb FROM t, gr GROUP BY ALL HAVING ta IS NOT NULL AND tb IS NOT NULL),
+  min(CASE WHEN NOT own THEN 0.7 + sqrt((px - gx)**2 + (py - gy)**2) / 5.5 END) AS tb FROM t, gr GROUP BY ALL
+  HAVING count(*) FILTER (WHERE own) >= 5 AND count(*) FILTER (WHERE NOT own) >= 5),
 p AS (SELECT *, 1 / (1 + exp(-8 * (tb - ta))) AS p, gx >= 102 * 0.6 AND gy >= 64 * 0.15 AND gy <= 64 * 0.85 AS z FROM b),
 f AS (SELECT match_id, seq_id, hr, avg(p) AS co, avg(1 - p) AS cr, avg(p) FILTER (WHERE z) AS zo, avg(1 - p) FILTER (WHERE z) AS zr FROM p GROUP BY ALL),
 s AS ({{series}})
 SELECT match_id, seq_id, round(avg(co), 6) AS control_own_mean, round(avg(cr), 6) AS control_rival_mean, round(avg(zo), 6) AS danger_own_mean,
   round(avg(zr), 6) AS danger_rival_mean, round(arg_min(co, point) - arg_max(co, point), 6) AS control_lost,
   round(arg_max(zr, point) - arg_min(zr, point), 6) AS danger_gained FROM s GROUP BY ALL"""
-_ctes, _tail = _resampled(("co", "cr", "zo", "zr"), 6, "f").format(least=3).replace(", 6) AS c", ", 12) AS c").replace(", 6) AS z", ", 12) AS z").split("\nSELECT", 1)
+_ctes, _tail = _resampled(("co", "cr", "zo", "zr"), 20, "f").format(least=3).replace(", 6) AS c", ", 12) AS c").replace(", 6) AS z", ", 12) AS z").split("\nSELECT", 1)
 SQL["pitch_control"] = SQL["pitch_control"].replace("s AS ({series})", f"{_ctes},\ns AS (SELECT{_tail})")

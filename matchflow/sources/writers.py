@@ -26,12 +26,11 @@ def finite(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)) for c in bad})
 
 
-def write_match_outputs(tables: dict[str, DataFrame], folder: str, keys=("match_id",), splits: int = 8) -> None:
-    """Each table as Parquet partitioned by match; only the matches at hand are replaced. Rows are sent to
-    tasks by match and a row hash in ``splits``, so a large match is written by several tasks."""
+def write_match_outputs(tables: dict[str, DataFrame], folder: str, keys=("match_id",)) -> None:
+    """Each table as Parquet partitioned by match; only the matches at hand are replaced. Rows are rebalanced by match:
+    adaptive execution splits a match that is large and puts small ones together, by their bytes."""
     for name, df in tables.items():
-        hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        rows = finite(df).repartition(*keys, F.pmod(F.xxhash64(*hashed), F.lit(splits)))
+        rows = finite(df).hint("rebalance", *keys)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/{name}")
 
 
