@@ -1,4 +1,6 @@
-"""Readers of the landed files: one folder per feed, one file per match, all matches in one DataFrame."""
+"""Readers of the landed files: one folder per feed, one file per match, all matches in one DataFrame.
+
+Every reader takes a folder or a list of files; with the files of ``list_matches`` only those are opened."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ def _match_of_file(feed: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), FILE_PATTERNS[feed], 1).try_cast("long")
 
 
-def read_tracking(spark: SparkSession, folder: str) -> DataFrame:
+def read_tracking(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Tracking CSVs with a fixed schema (no inference pass); a missing folder, or a header that differs from
     the schema, is an error. The match id falls back to the file name."""
     df = spark.read.option("header", True).option("encoding", "UTF-8").option("pathGlobFilter", "*_tracking_poseedor.csv").option(
@@ -32,9 +34,11 @@ def list_matches(spark: SparkSession, folder: str, feed: str = "tracking") -> Da
                                                     F.col("modificationTime").alias("modified"), "path")
 
 
-def csv_parts(spark: SparkSession, folder: str, feed: str) -> list[DataFrame]:
+def csv_parts(spark: SparkSession, folder: str | list[str], feed: str) -> list[DataFrame]:
     """CSV feed as text columns plus match id, one DataFrame per distinct header; an absent or empty
     folder gives an empty list. The headers are found in one distributed pass over the text."""
+    if not folder:
+        return []
     try:
         lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
     except AnalysisException:
@@ -61,11 +65,11 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
+def read_events(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Event CSVs; ``events`` stays text, ``events_parsed`` is NULL when it is not a JSON list."""
     parts = csv_parts(spark, folder, "events")
     if not parts:
-        raise FileNotFoundError(folder)
+        raise FileNotFoundError(str(folder))
     return union_all(parts).withColumn("events_parsed", parse_events("events"))
 
 
@@ -115,7 +119,7 @@ def empty_sequences(spark: SparkSession) -> DataFrame:
                                      "progress_direction string, ball_status string")
 
 
-def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
+def read_sequences(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Provider sequences in canonical form; no folder, no files or no usable columns give an empty table.
     Every header style is coalesced on its own before the union."""
     styles = [p for p in (coalesce_schema(df) for df in csv_parts(spark, folder, "sequences")) if p is not None]

@@ -26,10 +26,10 @@ def landed_matches(spark: SparkSession, folder: str, feed: str = "tracking", per
 def run_incremental(spark: SparkSession, folder: str, checkpoint: str, process: Callable[[DataFrame], None], *, feed: str = "tracking",
                     per_batch: int | None = None) -> StreamingQuery:
     """Processes every match whose file is new since the last run, then stops. Progress lives in the
-    checkpoint folder; ``process`` gets one batch of matches and must write by match (overwriting), so a
+    checkpoint folder; ``process`` gets one batch of matches (match_id, path) and must write by match (overwriting), so a
     repeated batch after a failure gives the same result."""
     def batch(df: DataFrame, _: int) -> None:
-        todo = df.select("match_id").distinct()
+        todo = df.groupBy("match_id").agg(F.max("path").alias("path"))
         if not todo.isEmpty():
             process(todo)
 
