@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import cluster as cl, rollups, threat
@@ -121,3 +122,32 @@ def _pca(spark, sf):
 
 
 put("pca_2d", _pca)
+
+
+def _kmeans_facts(spark, sf):
+    """What any k-means result must satisfy: every row placed, k clusters in use, every row at its nearest centre."""
+    e = emb(spark, sf).select("vec_id", F.col("embedding").alias("features"))
+    model, _ = cl.fit_pipeline(e, 10, restarts=2)
+    placed = model.transform(e.withColumn("__raw", array_to_vector(F.col("features").cast("array<double>")))).select(
+        "vec_id", "cluster", vector_to_array("__scaled").alias("scaled"))
+    centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.stages[-1].clusterCenters())], "id int, centre array<double>")
+    near = cl.assign_nearest(placed, "scaled", centres.withColumns({"size": F.lit(1), "mean_norm": F.lit(0.0)}), "id")
+    far = F.try_element_at(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.stages[-1].clusterCenters()]), F.col("cluster") + 1)
+    gap = cl.squared_distance(F.col("scaled"), far) - F.col("assigned_sq")
+    return near.agg(F.count("*").alias("n_rows"), F.count_distinct("cluster").alias("clusters"), F.count_if(gap > 1e-6).alias("not_nearest"))
+
+
+put("kmeans_facts", _kmeans_facts, "SELECT count(*) AS n_rows, 10::BIGINT AS clusters, 0::BIGINT AS not_nearest FROM embeddings")
+
+
+def _pca_facts(spark, sf):
+    """Principal components of centred data: mean 0, no correlation, the first with the larger variance, never above the total."""
+    e = cl.standardise(emb(spark, sf), "embedding", DIMS)
+    points, shares = cl.pca_2d(e, "scaled")
+    out = points.agg(F.count("*").alias("n_rows"), F.round(F.abs(F.avg("pc1")) + F.abs(F.avg("pc2")), 6).alias("mean"),
+                     F.round(F.abs(F.corr("pc1", "pc2")), 6).alias("correlation"), (F.var_pop("pc1") >= F.var_pop("pc2")).cast("int").alias("ordered"),
+                     F.round(F.abs(F.var_pop("pc1") - F.lit(shares[0] * DIMS / 100)), 3).alias("share_gap"))
+    return out
+
+
+put("pca_facts", _pca_facts, "SELECT count(*) AS n_rows, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS correlation, 1::INT AS ordered, 0.0::DOUBLE AS share_gap FROM embeddings")
