@@ -213,8 +213,13 @@ def _islands(moves: DataFrame, blocks: Blocks) -> DataFrame:
     return ordered(fresh, KEYS, ["low", "event_no"], blocks, running={"island": F.col("__new")}).drop("__new")
 
 
+LOG = ("mode string, anchor_ms double, dx double, dy double, error_m double, start_ms double, hold_ms double, stop_ms double")
+LOG_NAMES = [c.split()[0] for c in LOG.split(", ")]
+
+
 def _replay(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
-    """Applies the events of one island in order on its own rows (numpy; rows of one short time span)."""
+    """Applies the events of one island in order on its own rows (numpy; rows of one short time span). Returns the rows and,
+    with ``is_row`` false, one log row per event that found its player."""
     track = rows[rows["is_row"]].sort_values(["match_time", "frame", "player_id"], kind="stable").reset_index(drop=True)
     events = rows[~rows["is_row"]].sort_values("event_no", kind="stable")
     x, y = track["x"].to_numpy(float).copy(), track["y"].to_numpy(float).copy()
@@ -222,6 +227,7 @@ def _replay(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
     t, player, frame = (track[c].to_numpy() for c in ("match_time", "player_id", "frame"))
     by_frame = {f: np.flatnonzero(frame == f) for f in np.unique(frame)}
     span = np.array([rules.length, rules.width])
+    log = []
     for ev in events.itertuples():
         own = np.flatnonzero(player == ev.player_id)
         if not len(own):
@@ -229,6 +235,9 @@ def _replay(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
         if ev.setpiece_type == "throwin":
             start, stop, when = ev.out_ms, ev.match_time + rules.throw_after_ms, ev.match_time
             hold = start + 0.45 * (when - start)
+            a = int(np.abs(t[own] - when).argmin())
+            dx, dy = ev.x - x[own[a]], ev.y - y[own[a]]
+            log.append((ev.Index, "throwin", t[own[a]], dx, dy, np.hypot(*(np.array([dx, dy]) * span)), start, hold, stop))
             for i in own[(t[own] >= start) & (t[own] <= stop)]:
                 if t[i] <= hold:
                     w = np.clip((t[i] - start) / max(1, hold - start), 0, 1) ** 0.65
@@ -242,10 +251,13 @@ def _replay(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
             continue
         a = int(np.abs(t[own] - ev.match_time).argmin())
         dx, dy = ev.x - x[own[a]], ev.y - y[own[a]]
-        if np.hypot(*(np.array([dx, dy]) * span)) <= rules.skip_m:
-            continue
+        error = np.hypot(*(np.array([dx, dy]) * span))
         setpiece = ev.setpiece_type in SETPIECE_KINDS
         lo, hi = max(0, a - rules.rows_before), min(len(own) - 1, a + rules.rows_after)
+        mode = "near" if error <= rules.skip_m else "setpiece" if setpiece else "general"
+        log.append((ev.Index, mode, t[own[a]], dx, dy, error, t[own[lo]], np.nan, t[own[hi]]))
+        if error <= rules.skip_m:
+            continue
         weights = pre_weights(a - lo, setpiece) + [1.0] + list(POST_WEIGHTS[:hi - a])
         for i, w in zip(own[lo:hi + 1], weights):
             x[i], y[i] = x[i] + w * dx, y[i] + w * dy
@@ -259,15 +271,27 @@ def _replay(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
             if share is not None:
                 bx[same] = (1 - share) * bx[same[0]] + share * x[i]
                 by[same] = (1 - share) * by[same[0]] + share * y[i]
-    return track.assign(x=x, y=y, ball_x=bx, ball_y=by)
+    moved = track.assign(x=x, y=y, ball_x=bx, ball_y=by)
+    if not log:
+        return moved.assign(**{c: None for c in LOG_NAMES})
+    told = pd.DataFrame(log, columns=["at", *LOG_NAMES]).set_index("at")
+    return pd.concat([moved, events.loc[told.index].drop(columns=LOG_NAMES, errors="ignore").join(told)], ignore_index=True)
 
 
 def apply_recalibration(tracking: DataFrame, events: DataFrame, rules: AlignRules = AlignRules(),
                         blocks: Blocks = TRACKING_BLOCKS) -> DataFrame:
+    """The corrected tracking of ``apply_with_log``."""
+    return apply_with_log(tracking, events, rules, blocks)[0]
+
+
+def apply_with_log(tracking: DataFrame, events: DataFrame, rules: AlignRules = AlignRules(),
+                   blocks: Blocks = TRACKING_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """All events applied in their order. Events whose time windows overlap form an island; each island is
     replayed on its own rows (Arrow batches), islands run in parallel and all other rows pass through.
 
-    ``events``: match_id, period, player_id, match_time, x, y, setpiece_type, event_no (order)."""
+    ``events``: match_id, period, player_id, match_time, x, y, setpiece_type, event_no (order; unique in a period). Returns the
+    tracking and the log: per event its anchor, shift, error in metres, mode (general, setpiece, throwin, or near when left
+    alone) and the times it reaches from, holds to and reaches to."""
     keys = [*KEYS, "player_id"]
     ev = events.withColumn("setpiece_type", F.lower("setpiece_type"))
     frames = tracking.groupBy(*KEYS, "frame").agg(F.min("match_time").alias("match_time"), F.min_by(
@@ -306,21 +330,23 @@ def apply_recalibration(tracking: DataFrame, events: DataFrame, rules: AlignRule
                      F.lit(False).alias("is_row"))
     work = rows.withColumn("match_time", F.col("match_time").cast("double")).unionByName(
         evs.withColumn("match_time", F.col("match_time").cast("double")), allowMissingColumns=True)
-    schema = T.StructType([f for f in work.schema if f.name in tracking.columns])
+    own = [f for f in work.schema if f.name in tracking.columns or f.name in ("setpiece_type", "event_no", "is_row")]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in own] + list(T.StructType.fromDDL(LOG)))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         return _replay(pdf, rules)[[f.name for f in schema]]
 
-    done = work.groupBy(*KEYS, "island").applyInPandas(replay, schema)
-    done = done.withColumn("match_time", F.col("match_time").cast(tracking.schema["match_time"].dataType))
-    out = untouched.unionByName(done.select(*tracking.columns))
-    return out.withColumns({c: clip(c, 0, 1) for c in ("x", "y", "ball_x", "ball_y")})
+    done = cut(work.groupBy(*KEYS, "island").applyInPandas(replay, schema))
+    log = done.where("NOT is_row").select(*KEYS, "event_no", "player_id", "match_time", "x", "y", "setpiece_type", *LOG_NAMES)
+    rows = done.where("is_row").withColumn("match_time", F.col("match_time").cast(tracking.schema["match_time"].dataType))
+    out = untouched.unionByName(rows.select(*tracking.columns))
+    return out.withColumns({c: clip(c, 0, 1) for c in ("x", "y", "ball_x", "ball_y")}), log
 
 
 def recalibrate(tracking: DataFrame, events: DataFrame, rules: AlignRules = AlignRules(),
                 blocks: Blocks = TRACKING_BLOCKS, event_order=None) -> DataFrame:
     """Match, pick candidates, find their reference event, apply in ``event_order`` (a whole-number
-    column of the events, time order by default), then metres and ball distance again; speeds stay."""
+    column of the events, time order by default; ties by player and place), then metres and ball distance again; speeds stay."""
     event_order = F.col("match_time").cast("long") if event_order is None else event_order
     found = cut(candidates(match_events(events, tracking, rules, blocks), rules))
     near = reference_event(found.withColumnRenamed("x", "own_x").withColumnRenamed("y", "own_y").drop("team_id"),
@@ -328,7 +354,9 @@ def recalibrate(tracking: DataFrame, events: DataFrame, rules: AlignRules = Alig
                            ["x", "y", "setpiece_type"], rules.reference_ms, blocks)
     order = near.where(F.col("ref_level").isNotNull()).select(
         *KEYS, "player_id", F.col("ref_time").alias("match_time"), F.col("ref_x").alias("x"), F.col("ref_y").alias("y"),
-        F.col("ref_setpiece_type").alias("setpiece_type"), event_order.alias("event_no"))
+        F.col("ref_setpiece_type").alias("setpiece_type"), event_order.alias("__order"))
+    # equal order values get numbers of their own, so that each event is applied once
+    order = ordered(order, KEYS, ["__order", "player_id", "match_time", "x", "y"], blocks, running={"event_no": F.lit(1)}).drop("__order")
     fixed = apply_recalibration(tracking, cut(order), rules, blocks)
     fixed = fixed.withColumns({
         "x_m": F.col("x") * rules.length, "y_m": F.col("y") * rules.width,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import mirror_fixed
 from ..functions.jsontext import has_event, has_event_text
 from ..operators import align, attack, events as evs, tracking as tr
-from ..operators.ordered import Blocks
+from ..operators.ordered import Blocks, first_rows
 from .adapter import HOUR, METRES_SQL, TRACKING_SQL, blocks, metres, r6, table, tracking
 
 QUERIES, SQL = {}, {}
@@ -244,6 +244,22 @@ SELECT frame, round(greatest(least(nx, 1), 0), 6) AS x, round(greatest(least(ny,
   round(greatest(least(CASE WHEN b IS NULL THEN ball_y ELSE (1 - b) * ball_y + b * ny END, 1), 0), 6) AS ball_y FROM o"""
 
 
+def _recalibrate_sparse(spark, sf):
+    """The shipped correction on one event per player and period, whose windows cannot touch."""
+    t = tracking(spark, sf).select("match_id", "period", "player_id", "frame", "match_time", "x", "y", "ball_x", "ball_y", "event_type")
+    first = first_rows(t.where("event_type = 'signup'"), ["match_id", "period", "player_id"], [F.col("frame")])
+    events = first.selectExpr(
+        "match_id", "period", "player_id", "match_time", "(frame * 29 % 1000) / CAST(1000 AS DOUBLE) AS x",
+        "(frame * 71 % 1000) / CAST(1000 AS DOUBLE) AS y", "CASE WHEN frame % 3 = 0 THEN 'goalkick' END AS setpiece_type", "frame AS event_no")
+    out = align.apply_recalibration(t, events, blocks=blocks(spark, sf))
+    return out.select("frame", r6("x"), r6("y"), r6("ball_x"), r6("ball_y"))
+
+
+QUERIES["recalibrate_sparse"] = _recalibrate_sparse
+SQL["recalibrate_sparse"] = SQL["recalibrate_single"].replace("WHERE event_type = 'signup'),", """WHERE event_type = 'signup'
+  QUALIFY row_number() OVER (PARTITION BY match_id, period, player_id ORDER BY frame) = 1),""")
+
+
 def _candidates(spark, sf):
     t = tracking(spark, sf).select("match_id", "period", "player_id", "frame", "match_time", "x", "y", "ball_x", "ball_y", "event_type")
     ev = t.where("event_type = 'error'").select("match_id", "period", "player_id", "match_time", F.col("frame").alias("event_id"), "x", "y")

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from matchflow.operators import align
 from season import make_match
 
@@ -94,3 +96,20 @@ def test_recalibration(spark, dense):
     for c in ("x", "y", "ball_x", "ball_y"):
         assert np.allclose(got[c].astype(float), want[c], equal_nan=True, atol=1e-9), c
     assert not np.allclose(want.x, track.sort_values(order).x)
+
+
+def test_tied_throw_ins_and_log(spark):
+    """Two throw-ins at one millisecond: the default order gives them numbers of their own, each is applied and logged once."""
+    rows = [(1, 0, p, 10 * k + p, 1000 * k, 0.2 + 0.01 * p, 0.3, 0.5, 0.5, p % 2) for k in range(30) for p in (1, 2)]
+    tracking = spark.createDataFrame(rows, "match_id long, period long, player_id long, frame long, match_time long, x double, y double, ball_x double, "
+                                           "ball_y double, team_id long")
+    events = spark.createDataFrame([(1, 0, p, 15_000, 0.9, 0.9 - 0.1 * p, "throwin", p % 2) for p in (1, 2)],
+                                   "match_id long, period long, player_id long, match_time long, x double, y double, setpiece_type string, team_id long")
+    once = align.apply_recalibration(tracking, events.withColumn("event_no", F.col("player_id")))
+    out = align.recalibrate(tracking, events)
+    assert out.count() == len(rows)
+    want = {(r["player_id"], r["match_time"]): (round(r["x"], 9), round(r["y"], 9), round(r["ball_x"], 9)) for r in once.collect()}
+    assert {(r["player_id"], r["match_time"]): (round(r["x"], 9), round(r["y"], 9), round(r["ball_x"], 9)) for r in out.collect()} == want
+    log = align.apply_with_log(tracking, events.withColumn("event_no", F.col("player_id")))[1].orderBy("event_no").collect()
+    assert [(r["event_no"], r["mode"], r["anchor_ms"], r["stop_ms"]) for r in log] == [(1, "throwin", 15000, 18000), (2, "throwin", 15000, 18000)]
+    assert all(abs(r["dx"] - (0.9 - 0.2 - 0.01 * r["player_id"])) < 1e-9 and r["error_m"] > 60 for r in log)
