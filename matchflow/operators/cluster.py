@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import sqrt
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -101,20 +101,30 @@ def silhouette(df: DataFrame, vector: str, cluster: str, n_dims: int, name: str
 
 def fit_pipeline(df: DataFrame, k: int, vector: str = "features", seed: int = 42, restarts: int = 20) -> tuple[PipelineModel, float]:
     """Scaling plus the best of ``restarts`` k-means fits (lowest cost); returns model and cost."""
+    stages, scaled, n = _scaling(df, vector)
+    best, cost = _best_fit(scaled, k, n, seed, restarts)
+    scaled.unpersist()
+    return PipelineModel([*stages, best]), cost
+
+
+def _scaling(df: DataFrame, vector: str) -> tuple[list, DataFrame, int]:
+    """(scaling stages, the scaled rows kept in memory, their number)."""
     rows = df.withColumn("__raw", array_to_vector(F.col(vector).cast("array<double>")))
     n = rows.count()
     scaler = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True).fit(rows)
     factor = sqrt(n / (n - 1)) if n > 1 else 1.0  # sample deviation to population deviation
     stretch = ElementwiseProduct(scalingVec=[factor] * len(scaler.mean), inputCol="__z", outputCol="__scaled")
-    scaled = stretch.transform(scaler.transform(rows)).select("__scaled").persist()
+    return [scaler, stretch], stretch.transform(scaler.transform(rows)).select("__scaled").persist(), n
+
+
+def _best_fit(scaled: DataFrame, k: int, n: int, seed: int, restarts: int) -> tuple[KMeansModel, float]:
     best, cost = None, None
     for i in range(restarts):
         model = KMeans(k=min(k, n), seed=seed + i, featuresCol="__scaled", predictionCol="cluster", maxIter=300,
                        tol=1e-4).fit(scaled)
         if cost is None or model.summary.trainingCost < cost:
             best, cost = model, model.summary.trainingCost
-    scaled.unpersist()
-    return PipelineModel([scaler, stretch, best]), float(cost)
+    return best, float(cost)
 
 
 def apply_model(df: DataFrame, model: PipelineModel, vector: str = "features", fill: float = 0.0) -> DataFrame:
@@ -140,7 +150,8 @@ def load_model(path: str) -> PipelineModel | None:
 
 def kmeans_diagnostics(df: DataFrame, vector: str = "features", n_dims: int = 48, k_min: int = 2, k_max: int = 8,
                        seed: int = 42, restarts: int = 20) -> DataFrame:
-    """Cost, silhouette and smallest cluster for every k; fewer than four rows give an empty table."""
+    """Cost, silhouette (with squared Euclidean distance, so its best k can differ from that of the plain one) and smallest
+    cluster for every k; fewer than four rows give an empty table. Rows are scaled once for all k."""
     spark = df.sparkSession
     schema = "k int, inertia double, silhouette double, min_cluster_size long"
     n = df.count()
@@ -148,14 +159,16 @@ def kmeans_diagnostics(df: DataFrame, vector: str = "features", n_dims: int = 48
         return spark.createDataFrame([], schema)
     rows = []
     scaled = standardise(df, vector, n_dims).persist()
+    stages, vectors, _ = _scaling(df, vector)
     for k in range(k_min, min(k_max, n - 1) + 1):
-        model, cost = fit_pipeline(df, k, vector, seed, restarts)
-        labelled = apply_model(scaled, model, vector)
+        fitted, cost = _best_fit(vectors, k, n, seed, restarts)
+        labelled = apply_model(scaled, PipelineModel([*stages, fitted]), vector)
         sil = silhouette(labelled, "scaled", "cluster", n_dims).groupBy("cluster").agg(
             F.count("*").alias("n"), F.sum("silhouette").alias("s"))
         one = sil.agg(F.min("n").alias("low"), (F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("found")).first()
         rows.append((k, cost, one["mean"] if one["found"] > 1 else None, one["low"]))
     scaled.unpersist()
+    vectors.unpersist()
     return spark.createDataFrame(rows, schema)
 
 

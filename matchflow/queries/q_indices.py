@@ -68,7 +68,8 @@ def _idd(spark, sf):
 
 
 QUERIES["idd"] = _idd
-_SUBS = {c: f"coalesce({_scaled(c, lo, hi)}, 0)" for c, _, (lo, hi), _ in ix.IDD_PARTS}
+_SUBS = {c: f"coalesce({_scaled(c, lo, hi)}, 0)" for c, lo, hi in (
+    ("width_mean", 0.10, 0.90), ("nearest_mean", 0.10, 0.90), ("retreat", 0.10, 0.90), ("control_rival_mean", 0.05, 0.95))}
 SQL["idd"] = f"""
 WITH i AS (SELECT {INPUTS} FROM ({ORDERS_SQL})),
 s AS (SELECT seq_id, {', '.join(f'{e} AS s{n}' for n, e in enumerate(_SUBS.values()))} FROM i),

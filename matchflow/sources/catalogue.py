@@ -97,8 +97,7 @@ def match_context(events: DataFrame, order: str = "event_time", key: str = "matc
 
 
 def match_catalogue(meta: DataFrame, context: DataFrame, scores: DataFrame, keys=("match_id",)) -> DataFrame:
-    """One row per processed match: label, rival, day, score, number of sequences, last change.
-    ``place`` numbers a team's matches by last change, newest first."""
+    """One row per processed match: label, rival, day, score, number of sequences, last change."""
     k = list(keys)
     df = meta.join(context.select(*k, "match_day"), k, "left").join(scores.select(*k, "score"), k, "left")
     day = F.coalesce("match_day", F.lit(NO_DATE))
