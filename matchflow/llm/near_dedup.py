@@ -8,13 +8,14 @@ by that very group.
 ICWS draws 60 consistent samples of each set (random variates come from a table by the shingle's hash); 15 bands of four put
 texts of similarity 0.8 together with probability 0.9996. Equal sets are one node, so exact copies are never paired. Candidates:
 
-* groups of up to SMALL nodes are compared pair by pair, which is linear in the number of nodes;
-* larger groups are compared with their hub, the node that shares most bands with others. What is unlike the hub (below
-  0.5) is grouped again with one more band. What is like it can be linked to another such text only through shingles that the hub
-  lacks, so these are grouped again by such shingles; those that lack next to none are one more group.
+* every group is compared with its hub, the node that shares most bands with others (groups of one family share one hub);
+* groups of up to SMALL nodes are also compared pair by pair, but for pairs that both are linked to the hub;
+* in larger groups, what is unlike the hub (below 0.5) is grouped again with one more, later band. What is like it can be linked to
+  another such text only through shingles that the hub lacks, so these are grouped again by such shingles; those that lack
+  next to none are one more group.
 
 This goes on until no group with an unlinked text is left; in a fourth family within a family all pairs are compared. Candidates are verified by the exact weighted Jaccard similarity (0.8 or more); classes are the
-connected components of the links.
+connected components of the links. Samples that agree are counted first, so that the shingles of hopeless pairs are not read.
 
 Defined results: a text without a word (NULL and empty too) is alone. A text of fewer than five words is one shingle. Repeated rows are exact
 copies. NULL ids sort first. The class id is the smallest id of the class, whose row is kept. No rows in, no rows out.
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, rows_of, scan, slices, small_batches
@@ -42,6 +43,8 @@ FAMILY = 0.5
 BANDS, ROWS = 15, 4
 SAMPLES = BANDS * ROWS
 SMALL = 32
+# agreements of 60 samples: 0.8 gives 48 +- 3.1, fewer than 34 once in 200,000; 24 stands for a similarity of 0.4
+LIKELY, ALIKE = 34, 24
 DF_BITS = 18
 IDF_GAIN = 0.05
 FEW_MORE = 0.05
@@ -52,8 +55,8 @@ WORD = re.compile(r"\w+")
 FACTOR = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
-NODES = "row long, id long, v long, n int, f1 long, f2 long, bands array<long>"
-SETS = "id long, v long, shingles binary, counts binary"
+NODES = "row long, id long, v long, n int, f1 long, f2 long, bands array<long>, sign binary"
+SETS = "node long, shingles binary, counts binary"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -160,6 +163,12 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signs(samples: np.ndarray) -> np.ndarray:
+    """Two bytes of each sample: enough to count agreements of two texts."""
+    bits = np.ascontiguousarray(samples).view(np.uint32).astype(np.uint64)
+    return (_mixed(bits + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
+
+
 def _fingerprint(shingles: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(shingles.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -172,17 +181,18 @@ def _nodes(idf: np.ndarray):
         for whole in batches:
             for batch in slices(whole, "text", TEXT_BYTES):
                 shingles, counts, n = shingle_sets(batch.column("text").to_pylist())
-                keys = np.zeros((len(n), BANDS), np.int64)
+                keys, marks = np.zeros((len(n), BANDS), np.int64), np.zeros((len(n), SAMPLES), np.uint16)
                 if len(shingles):
                     log_weights = np.log(counts * idf[_bucket(shingles)]).astype(np.float32)
-                    keys[n > 0] = band_keys(sampler.samples(shingles, log_weights, n[n > 0]))
+                    samples = sampler.samples(shingles, log_weights, n[n > 0])
+                    keys[n > 0], marks[n > 0] = band_keys(samples), signs(samples)
                 ends = np.cumsum(n)
                 prints = [_fingerprint(shingles[e - k:e], counts[e - k:e]) for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + len(n))), batch.column("id"), batch.column("v"), pa.array(n.astype(np.int32)),
                     pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))],
-                    ["row", "id", "v", "n", "f1", "f2", "bands"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
+                    pa.array([m.tobytes() for m in marks], pa.binary())], ["row", "id", "v", "n", "f1", "f2", "bands", "sign"])
                 row += len(n)
     return run
 
@@ -191,12 +201,19 @@ def _sets(batches):
     for whole in batches:
         for batch in slices(whole, "text", TEXT_BYTES):
             shingles, counts, n = shingle_sets(batch.column("text").to_pylist())
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"), batch.column("v"),
-                pa.array([shingles[e - k:e].tobytes() for e, k in zip(ends.tolist(), n.tolist())], pa.binary()),
-                pa.array([counts[e - k:e].astype(np.int32).tobytes() for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
-                ["id", "v", "shingles", "counts"])
+            sets, many, end = [], [], 0
+            for k in n.tolist():
+                c = counts[end:end + k]
+                sets.append(shingles[end:end + k].tobytes())
+                many.append(b"" if (c == 1).all() else c.astype(np.int32).tobytes())
+                end += k
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), pa.array(many, pa.binary())],
+                                             ["node", "shingles", "counts"])
+
+
+def _weights(shingles: np.ndarray, counts: bytes, idf: np.ndarray) -> np.ndarray:
+    w = idf[_bucket(shingles)].astype(np.float64)
+    return w * np.frombuffer(counts, np.int32) if counts else w
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -207,15 +224,14 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
 
 
 def _compared(idf: np.ndarray):
-    """(a, b, sim, more) of each pair; more: the shingles of a that b, its hub, lacks, when they are alike but not linked or linked."""
+    """(a, b, hub, sim, more) of each pair; more: the shingles of a that b lacks, if b is its hub and like it."""
     def run(batches):
         for batch in batches:
             got = batch.to_pydict()
             sims, more = [], []
             for sa, ca, sb, cb, hub in zip(got["sa"], got["ca"], got["sb"], got["cb"], got["hub"]):
                 a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                wa = np.frombuffer(ca, np.int32) * idf[_bucket(a)].astype(np.float64)
-                wb = np.frombuffer(cb, np.int32) * idf[_bucket(b)].astype(np.float64)
+                wa, wb = _weights(a, ca, idf), _weights(b, cb, idf)
                 sim = weighted_jaccard(a, wa, b, wb)
                 sims.append(sim)
                 if hub and sim >= FAMILY:
@@ -242,49 +258,86 @@ def _hubs(held: DataFrame) -> DataFrame:
     return cut(hubs.select("key", (-F.col("top.neg")).alias("hub")))
 
 
-def _pairs(held: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all pairs of small groups, (key, depth, nested, a, hub) of large ones)."""
-    whole = (F.col("c") <= SMALL) | (F.col("nested") >= NESTED)
-    few = held.where(whole).select("key", "node")
-    small = few.join(few.withColumnRenamed("node", "other"), "key").where("node < other")
-    large = held.where(~whole).join(hubs, "key").where("node <> hub").select("key", "depth", "nested", F.col("node").alias("a"), "hub")
-    return small.select(F.col("node").alias("a"), F.col("other").alias("b")), large
+def _near(groups: DataFrame, score: DataFrame) -> DataFrame:
+    """(key, last, nested, whole, a, hub): the members of every group next to its hub; whole: to be compared pair by pair."""
+    sizes = cut(groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    held = cut(groups.join(sizes, "key").join(score, "node"))
+    return cut(held.join(_hubs(held), "key").where("node <> hub").select(
+        "key", "last", "nested", ((F.col("c") <= SMALL) | (F.col("nested") >= NESTED)).alias("whole"), F.col("node").alias("a"), "hub"))
+
+
+def _agreements(batches):
+    for batch in batches:
+        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+        y = np.frombuffer(b"".join(batch.column("y").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(1).astype(np.int32))], ["a", "b", "agree"])
+
+
+def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with the number of samples that agree."""
+    left = marks.select(F.col("node").alias("a"), F.col("sign").alias("x"))
+    right = marks.select(F.col("node").alias("b"), F.col("sign").alias("y"))
+    return cut(cut(pairs.select("a", "b").distinct()).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+               .mapInArrow(_agreements, "a long, b long, agree int"))
 
 
-def _links(groups: DataFrame, score: DataFrame, bands: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame | None:
-    """Verified links (a, b) of all groups (key, depth, nested, node): depth counts bands, nested counts families in families."""
-    links = tested = None
+def _among(near: DataFrame, settled: str) -> DataFrame:
+    """Pairs a < b of the groups to be compared pair by pair, but for those whose texts are both ``settled`` with the hub."""
+    some = near.where("whole").select("key", "a", settled)
+    other = some.select("key", F.col("a").alias("b"), F.col(settled).alias("too"))
+    open_ = some.groupBy("key").agg(F.count("*").alias("n"), F.min(settled).alias("all")).where("n > 1 AND NOT all").select("key")
+    return some.join(open_, "key", "left_semi").join(other, "key").where((F.col("a") < F.col("b")) & ~(F.col(settled) & F.col("too"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, hub: bool) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    while not groups.isEmpty():
-        sizes = cut(groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-        held = cut(groups.join(sizes, "key").join(score, "node"))
-        small, near = _pairs(held, _hubs(held.where((F.col("c") > SMALL) & (F.col("nested") < NESTED))))
-        near = cut(near)
-        pairs = (small.select("a", "b", F.lit(False).alias("hub"))
-                 .union(near.select("a", F.col("hub").alias("b"), F.lit(True))).groupBy("a", "b").agg(F.max("hub").alias("hub")))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        done = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "hub", "sa", "ca", "sb", "cb")
-                   .mapInArrow(_compared(idf), "a long, b long, hub boolean, sim double, more array<long>"))
+    return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.lit(hub).alias("hub"), "sa", "ca", "sb", "cb")
+               .mapInArrow(_compared(idf), "a long, b long, hub boolean, sim double, more array<long>"))
+
+
+def _judged(near: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of texts and hubs with their agreements, near with a flag: like the hub by the samples)."""
+    stars = _agreeing(near.select("a", F.col("hub").alias("b")), marks)
+    like = stars.select("a", F.col("b").alias("hub"), (F.col("agree") >= ALIKE).alias("like"))
+    return stars, cut(near.join(like, ["a", "hub"]))
+
+
+def _to_read(near: DataFrame, marks: DataFrame) -> DataFrame:
+    """Nodes whose shingles are needed: those like their hub, likely pairs of small groups, and the rest of large groups."""
+    likely = _agreeing(_among(near, "like"), marks).where(F.col("agree") >= LIKELY)
+    starred = near.where("like").select(F.explode(F.array("a", "hub")).alias("node"))
+    rest = near.where(~F.col("whole")).select(F.explode(F.array("a", "hub")).alias("node"))
+    return cut(starred.union(likely.select(F.explode(F.array("a", "b")).alias("node"))).union(rest).distinct())
+
+
+def _links(near: DataFrame, stars: DataFrame, score: DataFrame, bands: DataFrame, marks: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Verified links (a, b): near and stars of the first groups, then of those made from large groups until none are left."""
+    links = None
+    while True:
+        done = _verified(stars.where(F.col("agree") >= ALIKE), sets, idf, True)
         now = done.where(F.col("sim") >= SIMILARITY).select("a", "b")
         links = now if links is None else links.union(now)
-        seen = done.where(~F.col("hub")).select("a", "b")
-        tested = seen if tested is None else tested.union(seen)
-        judged = near.join(done.where("hub").select("a", F.col("b").alias("hub"), "sim", "more"), ["a", "hub"])
+        sims = done.select("a", F.col("b").alias("hub"), "sim", "more")
+        judged = near.join(sims, ["a", "hub"], "left").select("key", "last", "nested", "whole", "a", "hub", F.coalesce("sim", F.lit(0.0)).alias("sim"), "more")
+        judged = cut(judged.withColumn("linked", F.col("sim") >= SIMILARITY))
+        pairs = _agreeing(_among(judged, "linked"), marks).where(F.col("agree") >= LIKELY)
+        links = links.union(_verified(pairs, sets, idf, False).where(F.col("sim") >= SIMILARITY).select("a", "b"))
+        large = judged.where(~F.col("whole"))
         # unlike the hub: one more band; like it: by the shingles that the hub lacks
-        unlike = judged.where((F.col("sim") < FAMILY) & (F.col("depth") < BANDS)).select("key", "depth", "nested", F.col("a").alias("node"))
-        finer = unlike.join(bands, "node").select("key", "depth", "nested", "node", F.explode("bands").alias("band")).select(
-            F.xxhash64("key", "band").alias("key"), (F.col("depth") + 1).alias("depth"), "nested", "node", F.lit(True).alias("open"))
-        family = judged.where(F.col("sim") >= FAMILY).select(
-            "hub", F.col("a").alias("node"), (F.col("nested") + 1).alias("nested"), (F.col("sim") < SIMILARITY).alias("open"), F.explode("more").alias("s"))
-        family = family.select(F.xxhash64(F.lit("more"), "hub", "s", "nested").alias("key"), F.lit(0).alias("depth"), "nested", "node", "open")
+        unlike = large.where(F.col("sim") < FAMILY).select("key", "last", "nested", F.col("a").alias("node"))
+        finer = unlike.join(bands, "node").select("key", "last", "nested", "node", F.posexplode("bands").alias("pos", "band")).where(F.col("pos") > F.col("last")).select(
+            F.xxhash64("key", "band").alias("key"), F.col("pos").alias("last"), "nested", "node", F.lit(True).alias("open"))
+        family = large.where(F.col("sim") >= FAMILY).select(
+            "hub", F.col("a").alias("node"), (F.col("nested") + 1).alias("nested"), (~F.col("linked")).alias("open"), F.explode("more").alias("s"))
+        family = family.select(F.xxhash64(F.lit("more"), "hub", "s", "nested").alias("key"), F.lit(-1).alias("last"), "nested", "node", "open")
         again = cut(finer.union(family).distinct())
         # all linked to the hub: nothing to find
         going = cut(again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open")).where("c > 1 AND open").select("key"))
-        groups = cut(again.drop("open").join(going, "key"))
-    return links
+        if going.isEmpty():
+            return links
+        near = _near(cut(again.drop("open").join(going, "key")), score)
+        stars, near = _judged(near, marks)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,24 +346,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     idf = inverse_frequencies(slim)
     rows = cut(slim.mapInArrow(_nodes(idf), NODES))
     worded = rows.where("n > 0")
-    nodes = cut(worded.groupBy("f1", "f2").agg(F.min(F.struct("row", "id", "v", "bands")).alias("m"))
-                .select("f1", "f2", F.col("m.row").alias("node"), "m.id", "m.v", "m.bands"))
-    listed = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = cut(worded.groupBy("f1", "f2").agg(F.min(F.struct("row", "id", "v", "bands", "sign")).alias("m"))
+                .select("f1", "f2", F.col("m.row").alias("node"), "m.id", "m.v", "m.bands", "m.sign"))
+    listed = nodes.select("node", F.posexplode("bands").alias("last", "key"))
     met = cut(listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     groups = cut(listed.join(met, "key"))
     score = cut(groups.groupBy("node").agg(F.sum("c").alias("score")))
-    chosen = cut(nodes.join(score, "node").select("node", "id", "v", "bands"))
-    wanted = chosen.select(F.col("id").alias("i"), F.col("v").alias("w"))
-    texts = slim.join(wanted, slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")), "left_semi")
-    found = texts.mapInArrow(_sets, SETS).dropDuplicates(["id", "v"])
-    held = chosen.select("node", F.col("id").alias("i"), F.col("v").alias("w"))
-    sets = cut(found.join(held, found["id"].eqNullSafe(F.col("i")) & found["v"].eqNullSafe(F.col("w"))).select("node", "shingles", "counts"))
-    links = _links(groups.select("key", F.lit(0).alias("depth"), F.lit(0).alias("nested"), "node"), score, chosen.select("node", "bands"), sets, idf)
+    marks, bands = nodes.select("node", "sign"), nodes.select("node", "bands")
+    stars, near = _judged(_near(groups.select("key", "last", F.lit(0).alias("nested"), "node"), score), marks)
+    wanted = cut(nodes.join(_to_read(near, marks), "node").select("node", F.col("id").alias("i"), F.col("v").alias("w")))
+    texts = slim.join(wanted, slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")))
+    once = Window.partitionBy("id", "v").orderBy("node")
+    texts = texts.withColumn("k", F.row_number().over(once)).where("k = 1").select("node", "text")
+    sets = cut(texts.mapInArrow(_sets, SETS))
+    links = _links(near, stars, score, bands, marks, sets, idf)
     named = worded.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("row", "id", "v", "node")
-    if links is not None:
-        named = named.join(components(links), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
-    else:
-        named = named.withColumnRenamed("node", "g")
+    named = named.join(components(links), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
     every = cut(named.select("row", "id", "v", "g").union(rows.where("n = 0").select("row", "id", "v", (-1 - F.col("row")).alias("g"))))
     groups = cut(every.groupBy("g").agg(F.count("*").alias("class_size"), F.min(F.struct("id", "row")).alias("first")))
     return every.join(groups, "g").select(F.col("id").alias(doc_id), F.col("first.id").alias("class_id"), "class_size",
