@@ -248,19 +248,19 @@ def _compared(idf: np.ndarray):
 def _hubs(held: DataFrame) -> DataFrame:
     """(key, hub) of large groups: the node with the most shared bands, or the hub of a group that holds that node, if it
     shares more; so the groups of one family, each with another part of it, have one hub."""
-    own = cut(held.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("top"), F.max("nested").alias("nested")))
+    own = held.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("top"), F.max("nested").alias("nested"))
     best = cut(held.where("nested = 0").join(own.select("key", "top"), "key").groupBy("node").agg(F.max("top").alias("top")))
     hubs = own.select("key", "nested", "top")
     for _ in range(3):
         up = best.select(F.col("node").alias("at"), F.col("top").alias("higher"))
         hubs = hubs.join(up, (-F.col("top.neg") == F.col("at")) & (F.col("nested") == 0), "left").select(
             "key", "nested", F.greatest("top", "higher").alias("top"))
-    return cut(hubs.select("key", (-F.col("top.neg")).alias("hub")))
+    return hubs.select("key", (-F.col("top.neg")).alias("hub"))
 
 
 def _near(groups: DataFrame, score: DataFrame) -> DataFrame:
     """(key, last, nested, whole, a, hub): the members of every group next to its hub; whole: to be compared pair by pair."""
-    sizes = cut(groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    sizes = groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     held = cut(groups.join(sizes, "key").join(score, "node"))
     return cut(held.join(_hubs(held), "key").where("node <> hub").select(
         "key", "last", "nested", ((F.col("c") <= SMALL) | (F.col("nested") >= NESTED)).alias("whole"), F.col("node").alias("a"), "hub"))
@@ -277,7 +277,7 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) with the number of samples that agree."""
     left = marks.select(F.col("node").alias("a"), F.col("sign").alias("x"))
     right = marks.select(F.col("node").alias("b"), F.col("sign").alias("y"))
-    return cut(cut(pairs.select("a", "b").distinct()).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return cut(pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
                .mapInArrow(_agreements, "a long, b long, agree int"))
 
 
@@ -333,10 +333,11 @@ def _links(near: DataFrame, stars: DataFrame, score: DataFrame, bands: DataFrame
         family = family.select(F.xxhash64(F.lit("more"), "hub", "s", "nested").alias("key"), F.lit(-1).alias("last"), "nested", "node", "open")
         again = cut(finer.union(family).distinct())
         # all linked to the hub: nothing to find
-        going = cut(again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open")).where("c > 1 AND open").select("key"))
-        if going.isEmpty():
+        going = again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open")).where("c > 1 AND open").select("key")
+        groups = cut(again.drop("open").join(going, "key"))
+        if groups.isEmpty():
             return links
-        near = _near(cut(again.drop("open").join(going, "key")), score)
+        near = _near(groups, score)
         stars, near = _judged(near, marks)
 
 
