@@ -328,8 +328,10 @@ def _links(near: DataFrame, stars: DataFrame, score: DataFrame, bands: DataFrame
         unlike = large.where(F.col("sim") < FAMILY).select("key", "last", "nested", F.col("a").alias("node"))
         finer = unlike.join(bands, "node").select("key", "last", "nested", "node", F.posexplode("bands").alias("pos", "band")).where(F.col("pos") > F.col("last")).select(
             F.xxhash64("key", "band").alias("key"), F.col("pos").alias("last"), "nested", "node", F.lit(True).alias("open"))
-        family = large.where(F.col("sim") >= FAMILY).select(
-            "hub", F.col("a").alias("node"), (F.col("nested") + 1).alias("nested"), (~F.col("linked")).alias("open"), F.explode("more").alias("s"))
+        # a text meets its hub in many groups; its shingles are listed once
+        met = large.where(F.col("sim") >= FAMILY).groupBy("hub", "a").agg(F.max("nested").alias("nested"))
+        family = met.join(sims, ["a", "hub"]).select(
+            "hub", F.col("a").alias("node"), (F.col("nested") + 1).alias("nested"), (F.col("sim") < SIMILARITY).alias("open"), F.explode("more").alias("s"))
         family = family.select(F.xxhash64(F.lit("more"), "hub", "s", "nested").alias("key"), F.lit(-1).alias("last"), "nested", "node", "open")
         again = cut(finer.union(family).distinct())
         # all linked to the hub: nothing to find
@@ -356,7 +358,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     marks, bands = nodes.select("node", "sign"), nodes.select("node", "bands")
     stars, near = _judged(_near(groups.select("key", "last", F.lit(0).alias("nested"), "node"), score), marks)
     wanted = cut(nodes.join(_to_read(near, marks), "node").select("node", F.col("id").alias("i"), F.col("v").alias("w")))
-    texts = slim.join(wanted, slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")))
+    # one plan at every size, whether or not the wanted names could be broadcast
+    texts = slim.join(wanted.hint("merge"), slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")))
     once = Window.partitionBy("id", "v").orderBy("node")
     texts = texts.withColumn("k", F.row_number().over(once)).where("k = 1").select("node", "text")
     sets = cut(texts.mapInArrow(_sets, SETS))
