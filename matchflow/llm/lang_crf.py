@@ -33,6 +33,7 @@ from .common import scan, small_batches
 
 UNKNOWN = "und"
 FIT_DOCS = 300
+SURPLUS = 4
 FIT_CHARS = 3000
 TABLE = 1 << 18
 BLOCK = 64
@@ -249,8 +250,13 @@ def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     """The model of at most ``limit`` documents of each language, ``chars`` code points of each from a hashed place on."""
     able = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     h = F.xxhash64(F.lit(7), doc_id)
+    # of each language a share of the ids by hash that holds some times ``limit``: tasks send on a bounded number of rows
+    shares = [F.lit(v) for r in able.groupBy(lang).count().collect() for v in (r[0], max(1, r[1] // (SURPLUS * limit)))]
+    if not shares:
+        return None
+    some = able.where(F.pmod(h, F.element_at(F.create_map(*shares), F.col(lang))) == 0)
     order = Window.partitionBy(lang).orderBy("h", "i")
-    ids = (able.select(F.col(lang), h.alias("h"), F.col(doc_id).alias("i")).withColumn("n", F.row_number().over(order))
+    ids = (some.select(F.col(lang), h.alias("h"), F.col(doc_id).alias("i")).withColumn("n", F.row_number().over(order))
            .where(F.col("n") <= limit).select("i").distinct())
     picked = able.join(F.broadcast(ids), F.col(doc_id).eqNullSafe(F.col("i")), "left_semi")
     first = F.pmod(h, F.greatest(F.char_length(text) - chars + 1, F.lit(1))).cast("int") + 1

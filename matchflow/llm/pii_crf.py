@@ -32,6 +32,7 @@ from .common import scan, small_batches
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *KINDS]
 FIT_DOCS = 2000
+SURPLUS = 8
 ROUNDS = 30
 DAMPING = 0.5
 LEAST_BELIEF = 0.6
@@ -301,8 +302,11 @@ def find(texts: list[str], w: Weights) -> list[list[dict]]:
 
 
 def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = FIT_DOCS) -> Weights:
-    """Weights from at most ``limit`` documents."""
-    picked = (docs.where(F.col(text).rlike("[0-9]")).select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("i"))
+    """Weights from at most ``limit`` documents: of a share of all ids by hash that holds some times ``limit``, those
+    with the smallest hash; so the tasks send on a bounded number of rows, however many they are."""
+    share = max(1, docs.count() // (SURPLUS * limit))
+    h = F.xxhash64(doc_id)
+    picked = (docs.where((F.pmod(h, F.lit(share)) == 0) & F.col(text).rlike("[0-9]")).select(h.alias("h"), F.col(doc_id).alias("i"))
               .orderBy("h", "i").limit(limit).select("i"))
     ids = [r[0] for r in picked.collect()]
     if not ids:
