@@ -10,9 +10,9 @@ texts of similarity 0.8 together with probability 0.9996. Equal sets are one nod
 
 * every group is compared with its hub, the node that shares most bands with others (groups of one family share one hub);
 * groups of up to SMALL nodes are also compared pair by pair, but for pairs that both are linked to the hub;
-* in larger groups, what is unlike the hub (below 0.5) is grouped again with one more, later band. What is like it can be linked to
-  another such text only through shingles that the hub lacks, so these are grouped again by such shingles; those that lack
-  next to none are one more group.
+* in larger groups, what is unlike the hub (below 0.5) is grouped again with one more, later band. What is like it is grouped
+  again by the shingles that the hub lacks. Two linked texts without a common shingle of this kind have at most 20 % of their
+  weight in such shingles each; texts with so little are one more group.
 
 This goes on until no group with an unlinked text is left; in a fourth family within a family all pairs are compared. Candidates are verified by the exact weighted Jaccard similarity (0.8 or more); classes are the
 connected components of the links. Samples that agree are counted first, so that the shingles of hopeless pairs are not read.
@@ -47,7 +47,7 @@ SMALL = 32
 LIKELY, ALIKE = 34, 24
 DF_BITS = 18
 IDF_GAIN = 0.05
-FEW_MORE = 0.05
+FEW_MORE = 1 - SIMILARITY
 NESTED = 4
 VARIATES = 1 << 14
 TEXT_BYTES = 1 << 20
@@ -236,7 +236,7 @@ def _compared(idf: np.ndarray):
                 sims.append(sim)
                 if hub and sim >= FAMILY:
                     own = ~np.isin(a, b, True)
-                    few = wa[own].sum() < FEW_MORE * wa.sum()
+                    few = wa[own].sum() <= FEW_MORE * (1 + 1e-9) * wa.sum()
                     more.append(a[own].view(np.int64).tolist() + ([0] if few else []))
                 else:
                     more.append([])
