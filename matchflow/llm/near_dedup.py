@@ -131,7 +131,11 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 
 
 class Sampler:
-    """ICWS in logarithms: the smallest value of a sample names the sampled (shingle, level)."""
+    """ICWS in logarithms: the smallest value of a sample names the sampled (shingle, level).
+
+    The variates come from a table, so shingles of one slot have one value; the smaller hash of shingle and sample settles it,
+    and a sample holds the shingle besides the value: long texts agree no more often than they are alike.
+    """
 
     def __init__(self, samples: int = SAMPLES, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -146,17 +150,21 @@ class Sampler:
     def samples(self, shingles: np.ndarray, log_weights: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Samples (texts, K) of the sets; texts without shingles must be left out."""
         start = np.cumsum(n) - n
-        out = np.empty((len(n), len(self.odd)), np.float32)
+        out = np.empty((len(n), len(self.odd)), np.uint64)
         for k, odd in enumerate(self.odd):
             at = (shingles * odd >> self.shift).astype(np.int32)
             level = np.floor(log_weights * self.inverse[at] + self.beta[at])
-            out[:, k] = np.minimum.reduceat(self.first[at] - self.r[at] * level, start)
+            value = self.first[at] - self.r[at] * level
+            least = np.minimum.reduceat(value, start)
+            held = np.flatnonzero(value == np.repeat(least, n))
+            named = np.minimum.reduceat(_mixed(shingles[held] ^ odd), np.searchsorted(held, start))
+            out[:, k] = _mixed(named + least.view(np.uint32).astype(np.uint64) * np.uint64(FACTOR))
         return out
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One 64-bit key per text and band."""
-    bits = np.ascontiguousarray(samples).view(np.uint32).astype(np.uint64).reshape(len(samples), BANDS, ROWS)
+    bits = np.ascontiguousarray(samples).reshape(len(samples), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bits.shape[:2]).copy()
     for r in range(ROWS):
         key = _mixed(key * np.uint64(FACTOR) + bits[:, :, r])
@@ -165,8 +173,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def signs(samples: np.ndarray) -> np.ndarray:
     """Two bytes of each sample: enough to count agreements of two texts."""
-    bits = np.ascontiguousarray(samples).view(np.uint32).astype(np.uint64)
-    return (_mixed(bits + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
+    return (_mixed(np.ascontiguousarray(samples) + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
 
 
 def _fingerprint(shingles: np.ndarray, counts: np.ndarray) -> tuple[int, int]:

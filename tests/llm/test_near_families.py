@@ -51,3 +51,16 @@ def test_excerpts_with_own_footers(spark):
     want = plain_classes(texts)
     assert len(set(want.values())) == 2
     assert found_classes(spark, texts) == want
+
+
+def test_samples_agree_as_often_as_texts_are_alike():
+    """Texts of far more shingles than the table has slots: nearly no agreement of unrelated texts, 0.8 of texts alike."""
+    rng = np.random.default_rng(7)
+    sampler = near_dedup.Sampler()
+    for n in (200, 50_000, 200_000):
+        common, own = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, (3, n // 8), dtype=np.uint64)
+        other = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = [np.concatenate([common, own[0]]), np.concatenate([common, own[1]]), np.concatenate([other, own[2]])]
+        a, b, c = (sampler.samples(np.sort(x), np.full(len(x), 0.3, np.float32), np.array([len(x)]))[0] for x in sets)
+        assert (a == c).sum() <= 1 and (near_dedup.band_keys(a[None]) == near_dedup.band_keys(c[None])).sum() == 0
+        assert 36 <= (a == b).sum() <= 58
