@@ -10,12 +10,15 @@ texts of similarity 0.8 together with probability 0.9996. Equal sets are one nod
 
 * every group is compared with its hub, the node that shares most bands with others (groups of one family share one hub);
 * groups of up to SMALL nodes are also compared pair by pair, but for pairs that both are linked to the hub;
-* in larger groups, what is unlike the hub (below 0.5) is grouped again with one more, later band. What is like it is grouped
-  again by the shingles that the hub lacks. Two linked texts without a common shingle of this kind have at most 20 % of their
-  weight in such shingles each; texts with so little are one more group.
+* larger groups are regrouped without their hub. Each text is cut to its head: its shingles that the hub lacks, then those of the hub,
+  the rarer first in each part, until less than 0.8 of its weight is left. Two texts of similarity 0.8 have a common shingle in their
+  heads (what is left of either is too little), so groups of one shingle each miss no link, whatever the texts share with the hub. A group
+  by a shingle of the hub is needed for two texts that have no common shingle outside the hub; one of these then has at most
+  1/9 of its weight there, so groups without such a text are left out.
 
-This goes on until no group with an unlinked text is left; in a fourth family within a family all pairs are compared. Candidates are verified by the exact weighted Jaccard similarity (0.8 or more); classes are the
-connected components of the links. Samples that agree are counted first, so that the shingles of hopeless pairs are not read.
+This goes on until no group with an unlinked text is left; after NESTED regroupings all pairs of a group are compared. Candidates are
+verified by the exact weighted Jaccard similarity (0.8 or more); classes are the connected components of the links. In small groups
+samples that agree are counted first, so that the shingles of hopeless pairs are not read.
 
 Defined results: a text without a word (NULL and empty too) is alone. A text of fewer than five words is one shingle. Repeated rows are exact
 copies. NULL ids sort first. The class id is the smallest id of the class, whose row is kept. No rows in, no rows out.
@@ -39,7 +42,6 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FAMILY = 0.5
 BANDS, ROWS = 15, 4
 SAMPLES = BANDS * ROWS
 SMALL = 32
@@ -47,7 +49,8 @@ SMALL = 32
 LIKELY, ALIKE = 34, 24
 DF_BITS = 18
 IDF_GAIN = 0.05
-FEW_MORE = 1 - SIMILARITY
+# two texts without a common shingle outside their hub: one has at most this share of its weight there
+FEW_MORE = (1 - SIMILARITY) / (1 + SIMILARITY)
 NESTED = 4
 VARIATES = 1 << 14
 TEXT_BYTES = 1 << 20
@@ -230,47 +233,54 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     return both / (float(wa.sum()) + float(wb.sum()) - both)
 
 
+def head(a: np.ndarray, wa: np.ndarray, hub: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """(head of a text next to a hub, how many of it the hub lacks, whether the hub lacks little of the text)."""
+    known = np.isin(a, hub, True)
+    order = np.lexsort((a, -idf[_bucket(a)], known))
+    total = wa.sum()
+    left = total - np.cumsum(wa[order])
+    kept = order[:int(np.argmax(left < SIMILARITY * (1 - 1e-9) * total)) + 1]
+    return a[kept], int((~known[kept]).sum()), bool(wa[~known].sum() <= FEW_MORE * (1 + 1e-9) * total)
+
+
 def _compared(idf: np.ndarray):
-    """(a, b, hub, sim, more) of each pair; more: the shingles of a that b lacks, if b is its hub and like it."""
+    """(a, b, sim, more, own, few) of each pair; more, own, few: the head of a next to its hub b, if it is asked for."""
     def run(batches):
         for batch in batches:
             got = batch.to_pydict()
-            sims, more = [], []
-            for sa, ca, sb, cb, hub in zip(got["sa"], got["ca"], got["sb"], got["cb"], got["hub"]):
+            sims, more, owns, fews = [], [], [], []
+            for sa, ca, sb, cb, large in zip(got["sa"], got["ca"], got["sb"], got["cb"], got["large"]):
                 a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 wa, wb = _weights(a, ca, idf), _weights(b, cb, idf)
-                sim = weighted_jaccard(a, wa, b, wb)
-                sims.append(sim)
-                if hub and sim >= FAMILY:
-                    own = ~np.isin(a, b, True)
-                    few = wa[own].sum() <= FEW_MORE * (1 + 1e-9) * wa.sum()
-                    more.append(a[own].view(np.int64).tolist() + ([0] if few else []))
-                else:
-                    more.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("hub"), pa.array(sims, pa.float64()),
-                                              pa.array(more, pa.list_(pa.int64()))], ["a", "b", "hub", "sim", "more"])
+                sims.append(weighted_jaccard(a, wa, b, wb))
+                listed, own, few = head(a, wa, b, idf) if large else (a[:0], 0, False)
+                more.append(listed.view(np.int64))
+                owns.append(own)
+                fews.append(few)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), pa.array(more, pa.list_(pa.int64())),
+                                              pa.array(owns, pa.int32()), pa.array(fews, pa.bool_())], ["a", "b", "sim", "more", "own", "few"])
     return run
 
 
-def _hubs(held: DataFrame) -> DataFrame:
-    """(key, hub) of large groups: the node with the most shared bands, or the hub of a group that holds that node, if it
-    shares more; so the groups of one family, each with another part of it, have one hub."""
-    own = held.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("top"), F.max("nested").alias("nested"))
-    best = cut(held.where("nested = 0").join(own.select("key", "top"), "key").groupBy("node").agg(F.max("top").alias("top")))
-    hubs = own.select("key", "nested", "top")
-    for _ in range(3):
-        up = best.select(F.col("node").alias("at"), F.col("top").alias("higher"))
-        hubs = hubs.join(up, (-F.col("top.neg") == F.col("at")) & (F.col("nested") == 0), "left").select(
-            "key", "nested", F.greatest("top", "higher").alias("top"))
+def _hubs(held: DataFrame, nested: int) -> DataFrame:
+    """(key, hub) of groups: the node with the most shared bands; in the first groups, the hub of a group that holds that node, if
+    it shares more, so the groups of one family, each with another part of it, have one hub; in later ones, a node not linked yet."""
+    own = held.groupBy("key").agg(F.max(F.struct("open", "score", (-F.col("node")).alias("neg"))).alias("top"))
+    hubs = own
+    if not nested:
+        best = cut(held.join(own, "key").groupBy("node").agg(F.max("top").alias("top")))
+        for _ in range(3):
+            up = best.select(F.col("node").alias("at"), F.col("top").alias("higher"))
+            hubs = hubs.join(up, -F.col("top.neg") == F.col("at"), "left").select("key", F.greatest("top", "higher").alias("top"))
     return hubs.select("key", (-F.col("top.neg")).alias("hub"))
 
 
-def _near(groups: DataFrame, score: DataFrame) -> DataFrame:
-    """(key, last, nested, whole, a, hub): the members of every group next to its hub; whole: to be compared pair by pair."""
+def _near(groups: DataFrame, score: DataFrame, nested: int) -> DataFrame:
+    """(key, whole, a, hub): the members of every group next to its hub; whole: to be compared pair by pair."""
     sizes = groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     held = cut(groups.join(sizes, "key").join(score, "node"))
-    return cut(held.join(_hubs(held), "key").where("node <> hub").select(
-        "key", "last", "nested", ((F.col("c") <= SMALL) | (F.col("nested") >= NESTED)).alias("whole"), F.col("node").alias("a"), "hub"))
+    return cut(held.join(_hubs(held, nested), "key").where("node <> hub").select(
+        "key", ((F.col("c") <= SMALL) | F.lit(nested >= NESTED)).alias("whole"), F.col("node").alias("a"), "hub"))
 
 
 def _agreements(batches):
@@ -296,18 +306,22 @@ def _among(near: DataFrame, settled: str) -> DataFrame:
     return some.join(open_, "key", "left_semi").join(other, "key").where((F.col("a") < F.col("b")) & ~(F.col(settled) & F.col("too"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, hub: bool) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Pairs (a, b, large) with their similarity and, if large, the head of a next to b."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.lit(hub).alias("hub"), "sa", "ca", "sb", "cb")
-               .mapInArrow(_compared(idf), "a long, b long, hub boolean, sim double, more array<long>"))
+    return cut(pairs.select("a", "b", "large").join(left, "a").join(right, "b").select("a", "b", "large", "sa", "ca", "sb", "cb")
+               .mapInArrow(_compared(idf), "a long, b long, sim double, more array<long>, own int, few boolean"))
 
 
 def _judged(near: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of texts and hubs with their agreements, near with a flag: like the hub by the samples)."""
-    stars = _agreeing(near.select("a", F.col("hub").alias("b")), marks)
-    like = stars.select("a", F.col("b").alias("hub"), (F.col("agree") >= ALIKE).alias("like"))
-    return stars, cut(near.join(like, ["a", "hub"]))
+    """(pairs of texts and hubs to be compared, near with a flag: like the hub by the samples)."""
+    agreeing = _agreeing(near.select("a", F.col("hub").alias("b")), marks)
+    like = agreeing.select("a", F.col("b").alias("hub"), (F.col("agree") >= ALIKE).alias("like"))
+    near = cut(near.join(like, ["a", "hub"]))
+    # a text meets its hub in many groups; those of large groups are all compared
+    stars = near.groupBy("a", "hub").agg(F.max(~F.col("whole")).alias("large"), F.max("like").alias("like"))
+    return stars.where("large OR like").select("a", F.col("hub").alias("b"), "large"), near
 
 
 def _to_read(near: DataFrame, marks: DataFrame) -> DataFrame:
@@ -318,35 +332,30 @@ def _to_read(near: DataFrame, marks: DataFrame) -> DataFrame:
     return cut(starred.union(likely.select(F.explode(F.array("a", "b")).alias("node"))).union(rest).distinct())
 
 
-def _links(near: DataFrame, stars: DataFrame, score: DataFrame, bands: DataFrame, marks: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+def _links(near: DataFrame, stars: DataFrame, score: DataFrame, marks: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
     """Verified links (a, b): near and stars of the first groups, then of those made from large groups until none are left."""
-    links = None
+    links, nested = None, 0
     while True:
-        done = _verified(stars.where(F.col("agree") >= ALIKE), sets, idf, True)
+        done = _verified(stars, sets, idf)
         now = done.where(F.col("sim") >= SIMILARITY).select("a", "b")
         links = now if links is None else links.union(now)
-        sims = done.select("a", F.col("b").alias("hub"), "sim", "more")
-        judged = near.join(sims, ["a", "hub"], "left").select("key", "last", "nested", "whole", "a", "hub", F.coalesce("sim", F.lit(0.0)).alias("sim"), "more")
-        judged = cut(judged.withColumn("linked", F.col("sim") >= SIMILARITY))
-        pairs = _agreeing(_among(judged, "linked"), marks).where(F.col("agree") >= LIKELY)
-        links = links.union(_verified(pairs, sets, idf, False).where(F.col("sim") >= SIMILARITY).select("a", "b"))
-        large = judged.where(~F.col("whole"))
-        # unlike the hub: one more band; like it: by the shingles that the hub lacks
-        unlike = large.where(F.col("sim") < FAMILY).select("key", "last", "nested", F.col("a").alias("node"))
-        finer = unlike.join(bands, "node").select("key", "last", "nested", "node", F.posexplode("bands").alias("pos", "band")).where(F.col("pos") > F.col("last")).select(
-            F.xxhash64("key", "band").alias("key"), F.col("pos").alias("last"), "nested", "node", F.lit(True).alias("open"))
-        # a text meets its hub in many groups; its shingles are listed once
-        met = large.where(F.col("sim") >= FAMILY).groupBy("hub", "a").agg(F.max("nested").alias("nested"))
-        family = met.join(sims, ["a", "hub"]).select(
-            "hub", F.col("a").alias("node"), (F.col("nested") + 1).alias("nested"), (F.col("sim") < SIMILARITY).alias("open"), F.explode("more").alias("s"))
-        family = family.select(F.xxhash64(F.lit("more"), "hub", "s", "nested").alias("key"), F.lit(-1).alias("last"), "nested", "node", "open")
-        again = cut(finer.union(family).distinct())
+        linked = done.select("a", F.col("b").alias("hub"), (F.col("sim") >= SIMILARITY).alias("linked"))
+        judged = cut(near.join(linked, ["a", "hub"], "left").select("key", "whole", "a", "hub", F.coalesce("linked", F.lit(False)).alias("linked")))
+        pairs = _agreeing(_among(judged, "linked"), marks).where(F.col("agree") >= LIKELY).withColumn("large", F.lit(False))
+        links = links.union(_verified(pairs, sets, idf).where(F.col("sim") >= SIMILARITY).select("a", "b"))
         # all linked to the hub: nothing to find
-        going = again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open")).where("c > 1 AND open").select("key")
-        groups = cut(again.drop("open").join(going, "key"))
+        large = judged.where(~F.col("whole")).select("hub", "a", "linked").distinct()
+        unsettled = large.where(~F.col("linked")).select("hub").distinct()
+        listed = done.select("a", F.col("b").alias("hub"), F.posexplode("more").alias("pos", "s"), "own", "few")
+        again = cut(large.join(unsettled, "hub", "left_semi").join(listed, ["a", "hub"]).select(
+            F.xxhash64("hub", "s").alias("key"), F.col("a").alias("node"), (~F.col("linked")).alias("open"),
+            ((F.col("pos") < F.col("own")) | F.col("few")).alias("needed")))
+        going = again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open"), F.max("needed").alias("needed"))
+        groups = cut(again.drop("needed").join(going.where("c > 1 AND open AND needed").select("key"), "key"))
         if groups.isEmpty():
             return links
-        near = _near(groups, score)
+        nested += 1
+        near = _near(groups, score, nested)
         stars, near = _judged(near, marks)
 
 
@@ -358,19 +367,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     worded = rows.where("n > 0")
     nodes = cut(worded.groupBy("f1", "f2").agg(F.min(F.struct("row", "id", "v", "bands", "sign")).alias("m"))
                 .select("f1", "f2", F.col("m.row").alias("node"), "m.id", "m.v", "m.bands", "m.sign"))
-    listed = nodes.select("node", F.posexplode("bands").alias("last", "key"))
+    listed = nodes.select("node", F.explode("bands").alias("key"))
     met = cut(listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     groups = cut(listed.join(met, "key"))
     score = cut(groups.groupBy("node").agg(F.sum("c").alias("score")))
-    marks, bands = nodes.select("node", "sign"), nodes.select("node", "bands")
-    stars, near = _judged(_near(groups.select("key", "last", F.lit(0).alias("nested"), "node"), score), marks)
+    marks = nodes.select("node", "sign")
+    stars, near = _judged(_near(groups.select("key", "node", F.lit(False).alias("open")), score, 0), marks)
     wanted = cut(nodes.join(_to_read(near, marks), "node").select("node", F.col("id").alias("i"), F.col("v").alias("w")))
     # one plan at every size, whether or not the wanted names could be broadcast
     texts = slim.join(wanted.hint("merge"), slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")))
     once = Window.partitionBy("id", "v").orderBy("node")
     texts = texts.withColumn("k", F.row_number().over(once)).where("k = 1").select("node", "text")
     sets = cut(texts.mapInArrow(_sets, SETS))
-    links = _links(near, stars, score, bands, marks, sets, idf)
+    links = _links(near, stars, score, marks, sets, idf)
     named = worded.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("row", "id", "v", "node")
     named = named.join(components(links), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
     every = cut(named.select("row", "id", "v", "g").union(rows.where("n = 0").select("row", "id", "v", (-1 - F.col("row")).alias("g"))))

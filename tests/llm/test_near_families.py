@@ -64,3 +64,37 @@ def test_samples_agree_as_often_as_texts_are_alike():
         a, b, c = (sampler.samples(np.sort(x), np.full(len(x), 0.3, np.float32), np.array([len(x)]))[0] for x in sets)
         assert (a == c).sum() <= 1 and (near_dedup.band_keys(a[None]) == near_dedup.band_keys(c[None])).sum() == 0
         assert 36 <= (a == b).sum() <= 58
+
+
+def test_links_across_half_of_the_hub(spark):
+    """Excerpts of a little less and a little more than half of the hub are one class."""
+    rnd = random.Random(8)
+    base = words(rnd, 184)
+    docs = [base[:180] + words(rnd, 4) for _ in range(150)]
+    docs += [base[:m] + words(rnd, 4) for m in (95, 103) for _ in range(50)]
+    texts = [" ".join(d) for d in docs]
+    want = plain_classes(texts)
+    assert len(set(want.values())) == 2
+    assert found_classes(spark, texts) == want
+
+
+def test_heads_of_texts_alike_meet():
+    """Whatever the hub: two texts of similarity 0.8 have a common shingle in their heads, in a group that is not left out."""
+    rng = np.random.default_rng(9)
+    idf = near_dedup.idf_of(rng.integers(1, 1000, 1 << near_dedup.DF_BITS), 1000)
+    alike = 0
+    for _ in range(4000):
+        pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+        pool, kept, counts = np.sort(pool), rng.random(60), rng.integers(1, 3, 60)
+        sets = []
+        for low in (rng.random() * 0.25, rng.random() * 0.25, rng.random()):
+            own = (kept > low) & (rng.random(60) > rng.random() * 0.15)
+            more = rng.random(own.sum()) < 0.03
+            sets.append((pool[own], idf[near_dedup._bucket(pool[own])].astype(float) * (counts[own] + more)))
+        (a, wa), (b, wb), (hub, _) = sets
+        if near_dedup.weighted_jaccard(a, wa, b, wb) < near_dedup.SIMILARITY:
+            continue
+        alike += 1
+        (ha, own_a, few_a), (hb, own_b, few_b) = (near_dedup.head(x, w, hub, idf) for x, w in sets[:2])
+        assert set(ha[:own_a].tolist()) & set(hb[:own_b].tolist()) or set(ha.tolist()) & set(hb.tolist()) and (few_a or few_b)
+    assert alike > 100
