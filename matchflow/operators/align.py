@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import clip, distance
 from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH
 from ..lineage import cut
-from .intervals import asof, range_join
-from .ordered import BLOCK, Blocks, ordered
+from .intervals import asof
+from .ordered import Blocks, ordered
 from .tracking import TRACKING_BLOCKS
 
 
@@ -46,6 +47,7 @@ SETPIECE_KINDS = ("throwin", "goalkick", "freekick")
 BALL_BLEND = {"anchor": 0.90, "before": 0.35, "after": 0.20, "setpiece": 0.98}
 
 KEYS = ["match_id", "period"]
+BLOCK_RANKS = 1 << 14
 
 
 def match_events(events: DataFrame, tracking: DataFrame, rules: AlignRules = AlignRules(),
@@ -160,187 +162,236 @@ def ball_outs(frames: DataFrame, throwins: DataFrame, rules: AlignRules = AlignR
     """When the ball went out before each throw-in: the frame before the last run of at least ``null_run``
     ball-less frames up to the throw-in, or the fall-back when there is none or it is too recent.
 
-    A throw-in puts the ball back into the frames between its out time and itself, so later throw-ins no
-    longer see that run. Only the ball-less frames of the periods concerned and their throw-ins are
-    walked in event order, one period per task; ``frames`` is one row per (match, period, frame),
-    ``throwins`` has match_time, first_ms (the player's first row) and event_no. Returns out_ms per event."""
+    A throw-in puts the ball back into the frames between its out time and itself, so later throw-ins no longer see that run. The
+    ordered passes are split into blocks; they turn ball-less frames into one row per run, and times into frame numbers. What is walked in event
+    order is runs and throw-ins, never frames: a throw-in finds its run, takes it out and cuts its neighbours by binary
+    search. ``frames`` is one row per (match, period, frame), ``throwins`` has match_time, first_ms (the player's first row) and event_no.
+    Returns out_ms per event."""
     lost = F.col("ball_x").isNull() | F.col("ball_y").isNull()
-    line = ordered(frames.withColumn("__lost", lost), KEYS, ["match_time", "frame"], blocks, lag={"prev_ms": F.col("match_time")},
-                   running={"idx": F.lit(1)})
-    gone = line.where("__lost").join(throwins.select(*KEYS).distinct(), KEYS, "left_semi").select(
-        *KEYS, F.col("match_time").cast("double").alias("t"), F.col("prev_ms").cast("double").alias("prev_ms"), F.col("idx").cast("long").alias("idx"))
-    asked = throwins.select(*KEYS, F.col("match_time").cast("double").alias("t"), F.col("first_ms").cast("double").alias("first_ms"),
-                            F.col("event_no").cast("long").alias("event_no"))
-    both = gone.unionByName(asked, allowMissingColumns=True)
-    schema = T.StructType([f for f in asked.schema if f.name in (*KEYS, "event_no")] + [T.StructField("out_ms", T.DoubleType())])
+    line = cut(ordered(frames.select(*KEYS, "frame", F.col("match_time").cast("double").alias("match_time"), lost.alias("lost")), KEYS, ["match_time", "frame"],
+                       blocks, lag={"prev_ms": F.col("match_time")}, running={"idx": F.lit(1), "gone": F.col("lost").cast("long")}))
+    # a run's frames are neighbours, so place less number of lost frames is the same in all of them
+    runs = line.where("lost").groupBy(*KEYS, (F.col("idx") - F.col("gone")).alias("__run")).agg(
+        F.min("idx").cast("long").alias("i0"), F.max("idx").cast("long").alias("i1"), F.min_by("prev_ms", "idx").alias("prev"))
+    runs = runs.where((F.col("i1") - F.col("i0") + 1 >= rules.null_run) & F.col("prev").isNotNull()).drop("__run")
+    t = F.col("match_time").cast("double")
+    asked = throwins.select(*KEYS, "event_no", t.alias("when"), F.greatest(F.col("first_ms").cast("double"), t - rules.throw_back_ms).alias("back"))
+    asked = asof(asked, line, KEYS, "when", "match_time", ["idx"], blocks, tie=-F.col("idx"), prefix="w_")
+    asked = asof(asked, line, KEYS, "back", "match_time", ["idx"], blocks, direction="forward", tie=F.col("idx"), prefix="b_")
+    asked = asked.select(*KEYS, F.col("event_no").cast("long").alias("event_no"), "when", "back", F.col("w_idx").cast("long").alias("at"),
+                         F.col("w_time").alias("at_ms"), F.col("b_idx").cast("long").alias("back_at"))
+    both = runs.unionByName(asked, allowMissingColumns=True)
+    schema = T.StructType([f for f in both.schema if f.name in (*KEYS, "event_no")] + [T.StructField("out_ms", T.DoubleType())])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _settle_outs(pdf, rules)[[f.name for f in schema]]
+        return settle_outs(pdf, rules)[[f.name for f in schema]]
 
     return both.groupBy(*KEYS).applyInPandas(settle, schema)
 
 
-def _settle_outs(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
-    asked = rows[rows["event_no"].notna()].sort_values("event_no").copy()
-    gone = rows[rows["event_no"].isna()].sort_values("idx")
-    t, prev, idx = gone["t"].to_numpy(float), gone["prev_ms"].to_numpy(float), gone["idx"].to_numpy(float)
-    open_ = np.ones(len(t), dtype=bool)
+def settle_outs(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
+    """The out time of each throw-in of one period, in event order. Rows are runs (frames i0 to i1 without a ball, ``prev`` the time of the
+    frame before) and throw-ins (``at``, ``back_at``: the last frame up to it, the first frame from its fall-back time on)."""
+    asked = rows[rows["event_no"].notna()].sort_values("event_no")
+    runs = rows[rows["event_no"].isna()].sort_values("i0")
+    first, last, prev = runs["i0"].astype("int64").tolist(), runs["i1"].astype("int64").tolist(), runs["prev"].tolist()
+
+    def take_out(low: int, high: int, high_ms: float) -> None:
+        """Frames low to high have a ball again; what is left of a run on either side stays when it is long enough."""
+        i = bisect_left(last, low)
+        j = bisect_right(first, high)
+        kept = []
+        if i < j:
+            kept = [(first[i], low - 1, prev[i]), (high + 1, last[j - 1], high_ms)]
+            kept = [r for r in kept if r[1] - r[0] + 1 >= rules.null_run]
+        first[i:j], last[i:j], prev[i:j] = [r[0] for r in kept], [r[1] for r in kept], [r[2] for r in kept]
+
     outs = []
-    for when, first in zip(asked["t"], asked["first_ms"]):
-        seen = np.flatnonzero(open_ & (t <= when))
-        breaks = np.flatnonzero(np.diff(idx[seen]) != 1) + 1
-        runs = [r for r in np.split(seen, breaks) if len(r) >= rules.null_run and not np.isnan(prev[r[0]])]
-        back = max(first, when - rules.throw_back_ms)
-        out = prev[runs[-1][0]] if runs else back
-        out = back if when - out < rules.throw_min_ms else out
-        open_ &= ~((t >= out) & (t <= when))
+    for when, back, at, at_ms, back_at in asked[["when", "back", "at", "at_ms", "back_at"]].itertuples(index=False):
+        if np.isnan(at):  # no frame so far
+            outs.append(back)
+            continue
+        at = int(at)
+        i = bisect_right(first, at) - 1
+        # at most the run that the throw-in itself falls into is too short for being cut here
+        while i >= 0 and min(last[i], at) - first[i] + 1 < rules.null_run:
+            i -= 1
+        out = prev[i] if i >= 0 else back
+        if i < 0 or when - out < rules.throw_min_ms:
+            out = back
+            if not np.isnan(back_at) and back_at <= at:
+                take_out(int(back_at), at, at_ms)
+        else:
+            take_out(first[i], at, at_ms)
         outs.append(out)
     return asked.assign(out_ms=outs, event_no=asked["event_no"].astype("int64"))
 
 
-def _islands(moves: DataFrame, blocks: Blocks) -> DataFrame:
-    """Numbers groups of overlapping [low, high] windows within a period (gaps and islands)."""
-    seen = blocks.mark(moves, "low", BLOCK)
-    # running maximum of the window ends, carried over block borders like a running sum
-    w = Window.partitionBy(*KEYS, BLOCK).orderBy("low", "event_no").rowsBetween(Window.unboundedPreceding, -1)
-    ends = seen.groupBy(*KEYS, BLOCK).agg(F.max("high").alias("__top"))
-    before = Window.partitionBy(*KEYS).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*KEYS, BLOCK, F.max("__top").over(before).alias("__over"))
-    reach = seen.withColumn("__in", F.max("high").over(w)).join(ends, [*KEYS, BLOCK], "left")
-    top = F.greatest("__in", "__over")
-    fresh = reach.withColumn("__new", (top.isNull() | (F.col("low") > top)).cast("long")).drop(
-        "__in", "__over", BLOCK)
-    return ordered(fresh, KEYS, ["low", "event_no"], blocks, running={"island": F.col("__new")}).drop("__new")
-
-
 LOG = ("mode string, anchor_ms double, dx double, dy double, error_m double, start_ms double, hold_ms double, stop_ms double")
 LOG_NAMES = [c.split()[0] for c in LOG.split(", ")]
+MOVED = "x double, y double, dx double, dy double, error_m double, moved boolean"
+
+
+def _replay(ops: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
+    """Applies the events that touch the rows of one player's block, in order. A row of ``ops`` is a (track row, event) pair; events of other blocks come
+    with the shift found there (NaN: left alone, as far as known). Adds the place after each event, and for the block's own events their shift."""
+    ops = ops.sort_values(["event_no", "rank"], kind="stable").reset_index(drop=True)
+    ranks, at = np.unique(ops["rank"].to_numpy(), return_inverse=True)
+    here = np.full((len(ranks), 2), np.nan)
+    here[at] = ops[["x0", "y0"]].to_numpy(float)
+    weight, anchor, own = ops["w"].to_numpy(float), ops["a_rank"].to_numpy(), ops["own"].to_numpy(bool)
+    throw, goal, given = ops["throw"].to_numpy(bool), ops[["tx", "ty"]].to_numpy(float), ops[["gx", "gy"]].to_numpy(float)
+    shown = ops["shown"].to_numpy(bool)
+    span = np.array([rules.length, rules.width])
+    n = len(ops)
+    after, shift, error, moved = np.full((n, 2), np.nan), np.full((n, 2), np.nan), np.full(n, np.nan), np.zeros(n, bool)
+    edges = np.r_[np.flatnonzero(np.r_[True, np.diff(ops["event_no"].to_numpy()) != 0]), n] if n else [0]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        rows, w = at[lo:hi], weight[lo:hi, None]
+        if own[lo]:
+            d = goal[lo] - here[np.searchsorted(ranks, anchor[lo])]
+            shift[lo:hi], error[lo:hi] = d, np.hypot(*(d * span))
+            goes = throw[lo] or not error[lo] <= rules.skip_m
+        else:
+            d, goes = given[lo], throw[lo] or shown[lo]
+        if goes:
+            here[rows] = (1 - w) * here[rows] + w * goal[lo] if throw[lo] else here[rows] + w * d
+            moved[lo:hi] = True
+        after[lo:hi] = here[rows]
+    return ops.assign(x=after[:, 0], y=after[:, 1], dx=shift[:, 0], dy=shift[:, 1], error_m=error, moved=moved)
+
+
+def _settled(ops: DataFrame, rules: AlignRules) -> DataFrame:
+    """``ops`` with the place after each event. Each (player, block) is one task's work; a block starts without the shifts of events
+    anchored in its neighbours. Shifts that reach over a border are passed on and the blocks that get another one than before are done again, until
+    none changes. An event is right once those before it are, so this ends; it takes one round more than there are borders in the longest chain
+    of touching events, and where no window reaches over a border a single one."""
+    player = [*KEYS, "player_id"]
+    schema = T.StructType([*[f for f in ops.schema], T.StructField("gx", T.DoubleType()), T.StructField("gy", T.DoubleType()), T.StructField("shown", T.BooleanType()),
+                           *T.StructType.fromDDL(MOVED)])
 
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _replay(pdf, rules)[[f.name for f in schema]]
 
-def _replay(rows: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
-    """Applies the events of one island in order on its own rows (numpy; rows of one short time span). Returns the rows and,
-    with ``is_row`` false, one log row per event that found its player."""
-    track = rows[rows["is_row"]].sort_values(["match_time", "frame", "player_id"], kind="stable").reset_index(drop=True)
-    events = rows[~rows["is_row"]].sort_values("event_no", kind="stable")
-    x, y = track["x"].to_numpy(float).copy(), track["y"].to_numpy(float).copy()
-    bx, by = track["ball_x"].to_numpy(float).copy(), track["ball_y"].to_numpy(float).copy()
-    t, player, frame = (track[c].to_numpy() for c in ("match_time", "player_id", "frame"))
-    by_frame = {f: np.flatnonzero(frame == f) for f in np.unique(frame)}
-    span = np.array([rules.length, rules.width])
-    log = []
-    for ev in events.itertuples():
-        own = np.flatnonzero(player == ev.player_id)
-        if not len(own):
-            continue
-        if ev.setpiece_type == "throwin":
-            start, stop, when = ev.out_ms, ev.match_time + rules.throw_after_ms, ev.match_time
-            hold = start + 0.45 * (when - start)
-            a = int(np.abs(t[own] - when).argmin())
-            dx, dy = ev.x - x[own[a]], ev.y - y[own[a]]
-            log.append((ev.Index, "throwin", t[own[a]], dx, dy, np.hypot(*(np.array([dx, dy]) * span)), start, hold, stop))
-            for i in own[(t[own] >= start) & (t[own] <= stop)]:
-                if t[i] <= hold:
-                    w = np.clip((t[i] - start) / max(1, hold - start), 0, 1) ** 0.65
-                elif t[i] <= when:
-                    w = 0.985
-                else:
-                    w = 0.985 * (1 - np.clip((t[i] - when) / max(1, stop - when), 0, 1)) ** 0.55
-                x[i], y[i] = (1 - w) * x[i] + w * ev.x, (1 - w) * y[i] + w * ev.y
-                if t[i] <= when:
-                    bx[by_frame[frame[i]]], by[by_frame[frame[i]]] = ev.x, ev.y
-            continue
-        a = int(np.abs(t[own] - ev.match_time).argmin())
-        dx, dy = ev.x - x[own[a]], ev.y - y[own[a]]
-        error = np.hypot(*(np.array([dx, dy]) * span))
-        setpiece = ev.setpiece_type in SETPIECE_KINDS
-        lo, hi = max(0, a - rules.rows_before), min(len(own) - 1, a + rules.rows_after)
-        mode = "near" if error <= rules.skip_m else "setpiece" if setpiece else "general"
-        log.append((ev.Index, mode, t[own[a]], dx, dy, error, t[own[lo]], np.nan, t[own[hi]]))
-        if error <= rules.skip_m:
-            continue
-        weights = pre_weights(a - lo, setpiece) + [1.0] + list(POST_WEIGHTS[:hi - a])
-        for i, w in zip(own[lo:hi + 1], weights):
-            x[i], y[i] = x[i] + w * dx, y[i] + w * dy
-            same = by_frame[frame[i]]
-            if np.isnan(bx[same[0]]) or np.isnan(by[same[0]]):
-                continue
-            if setpiece:
-                share = BALL_BLEND["setpiece"] if w == 1.0 else None
-            else:
-                share = BALL_BLEND["anchor" if w == 1.0 else "before" if t[i] < ev.match_time else "after"]
-            if share is not None:
-                bx[same] = (1 - share) * bx[same[0]] + share * x[i]
-                by[same] = (1 - share) * by[same[0]] + share * y[i]
-    moved = track.assign(x=x, y=y, ball_x=bx, ball_y=by)
-    if not log:
-        return moved.assign(**{c: None for c in LOG_NAMES})
-    told = pd.DataFrame(log, columns=["at", *LOG_NAMES]).set_index("at")
-    return pd.concat([moved, events.loc[told.index].drop(columns=LOG_NAMES, errors="ignore").join(told)], ignore_index=True)
+    none = {"gx": F.lit(None).cast("double"), "gy": F.lit(None).cast("double"), "shown": F.lit(False)}
+    done = cut(ops.withColumns(none).groupBy(*player, "block").applyInPandas(replay, schema))
+    over = cut(ops.where("NOT own AND NOT throw").select(*player, "block", "event_no").distinct())
+    if over.isEmpty():
+        return done
+    reaching = over.select(*player, "event_no").distinct()
+    nan = [F.nanvl(F.col(c), F.lit(None).cast("double")).alias(n) for c, n in (("dx", "gx"), ("dy", "gy"))]
+    known = None
+    while True:
+        now = cut(done.where("own AND rank = a_rank").join(reaching, [*player, "event_no"], "left_semi").select(
+            *player, "event_no", *nan, F.col("moved").alias("shown")))
+        fresh = now if known is None else now.exceptAll(known)
+        # before the first round, events were taken as left alone
+        fresh = fresh.where("shown") if known is None else fresh
+        stale = cut(over.join(fresh.select(*player, "event_no"), [*player, "event_no"], "left_semi").select(*player, "block").distinct())
+        if stale.isEmpty():
+            return done
+        known = now
+        again = ops.join(stale, [*player, "block"], "left_semi").join(now, [*player, "event_no"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
+        again = again.groupBy(*player, "block").applyInPandas(replay, schema)
+        done = cut(done.join(stale, [*player, "block"], "left_anti").unionByName(again))
+
+
+def _balls(done: DataFrame, starts: DataFrame, rules: AlignRules) -> DataFrame:
+    """The ball of each edited frame: the edits of the frame in event order. ``starts``: the ball of each frame before."""
+    kick, when = F.col("setpiece"), F.col("t") <= F.col("match_time")
+    share = (F.when(F.col("throw"), F.when(when & (F.col("w") >= 0), F.lit(1.0)))
+             .when(kick, F.when(F.col("w") == 1, F.lit(BALL_BLEND["setpiece"])))
+             .when(F.col("w") == 1, F.lit(BALL_BLEND["anchor"]))
+             .when(F.col("t") < F.col("match_time"), F.lit(BALL_BLEND["before"])).otherwise(F.lit(BALL_BLEND["after"])))
+    edits = done.where("moved AND touched").withColumn("share", share).where("share IS NOT NULL").select(
+        *KEYS, "frame", F.struct("event_no", "rank", "throw", "share", F.when(F.col("throw"), F.col("tx")).otherwise(F.col("x")).alias("x"),
+                                 F.when(F.col("throw"), F.col("ty")).otherwise(F.col("y")).alias("y")).alias("e"))
+    # the edits of one frame are those of its players' events within a second or two
+    listed = edits.groupBy(*KEYS, "frame").agg(F.sort_array(F.collect_list("e")).alias("e")).join(starts, [*KEYS, "frame"])
+
+    def step(ball, e):
+        def blend(now, to):
+            return (1 - e["share"]) * now + e["share"] * to
+        known = ball["x"].isNotNull() & ball["y"].isNotNull()
+        mixed = F.struct(blend(ball["x"], e["x"]).alias("x"), blend(ball["y"], e["y"]).alias("y"))
+        return F.when(e["throw"], F.struct(e["x"].alias("x"), e["y"].alias("y"))).when(known, mixed).otherwise(ball)
+
+    start = F.struct(F.col("ball_x").cast("double").alias("x"), F.col("ball_y").cast("double").alias("y"))
+    ball = F.aggregate("e", F.struct(start["x"].alias("x"), start["y"].alias("y")), step)
+    held = listed.withColumn("b", ball).where("exists(e, e -> e.throw) OR (ball_x IS NOT NULL AND ball_y IS NOT NULL)")
+    return held.select(*KEYS, "frame", F.col("b.x").alias("new_bx"), F.col("b.y").alias("new_by"))
 
 
 def apply_recalibration(tracking: DataFrame, events: DataFrame, rules: AlignRules = AlignRules(),
-                        blocks: Blocks = TRACKING_BLOCKS) -> DataFrame:
+                        blocks: Blocks = TRACKING_BLOCKS, block_rows: int = BLOCK_RANKS) -> DataFrame:
     """The corrected tracking of ``apply_with_log``."""
-    return apply_with_log(tracking, events, rules, blocks)[0]
+    return apply_with_log(tracking, events, rules, blocks, block_rows)[0]
 
 
 def apply_with_log(tracking: DataFrame, events: DataFrame, rules: AlignRules = AlignRules(),
-                   blocks: Blocks = TRACKING_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """All events applied in their order. Events whose time windows overlap form an island; each island is
-    replayed on its own rows (Arrow batches), islands run in parallel and all other rows pass through.
+                   blocks: Blocks = TRACKING_BLOCKS, block_rows: int = BLOCK_RANKS) -> tuple[DataFrame, DataFrame]:
+    """All events applied in their order, in three parts that do not wait for each other's rows: the out times of throw-ins (they depend on
+    throw-ins and the missing ball alone), the places of each player (they depend on the player's own events alone, ``block_rows`` rows of a player a
+    task), and the ball of each frame (a fold of its edits). Untouched rows pass through.
 
     ``events``: match_id, period, player_id, match_time, x, y, setpiece_type, event_no (order; unique in a period). Returns the
     tracking and the log: per event its anchor, shift, error in metres, mode (general, setpiece, throwin, or near when left
     alone) and the times it reaches from, holds to and reaches to."""
     keys = [*KEYS, "player_id"]
-    ev = events.withColumn("setpiece_type", F.lower("setpiece_type"))
+    ev = events.select(*keys, F.col("match_time").cast("double").alias("match_time"), F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty"),
+                       F.lower("setpiece_type").alias("setpiece_type"), F.col("event_no").cast("long").alias("event_no"))
     frames = tracking.groupBy(*KEYS, "frame").agg(F.min("match_time").alias("match_time"), F.min_by(
-        F.struct("ball_x", "ball_y"), "player_id").alias("b")).select(*KEYS, "frame", "match_time", "b.ball_x", "b.ball_y")
-    starts = tracking.groupBy(*keys).agg(F.min("match_time").alias("first_ms"))
-    ev = cut(ev.join(starts, keys))
-    outs = ball_outs(frames, ev.where("setpiece_type = 'throwin'"), rules, blocks)
-    ev = ev.join(outs, [*KEYS, "event_no"], "left")
-    # general events reach some rows before and after their anchor: find those rows' times
-    ev = cut(ev)
-    ranked = cut(ordered(tracking.select(*keys, "match_time", "frame"), keys, ["match_time", "frame"], blocks,
-                         running={"rank": F.lit(1)}))
-    near = asof(ev, ranked, keys, "match_time", "match_time", ["rank"], blocks, direction="nearest",
-                tie=F.col("frame"), prefix="a_", how="inner")
-    reach = ranked.select(*keys, "rank", F.col("match_time").alias("reach_ms"))
-    ends = ranked.groupBy(*keys).agg(F.max("rank").alias("last_rank"))
-    near = near.join(ends, keys).withColumns({
-        "lo_rank": F.greatest(F.col("a_rank") - rules.rows_before, F.lit(1)),
-        "hi_rank": F.least(F.col("a_rank") + rules.rows_after, F.col("last_rank"))})
+        F.struct("ball_x", "ball_y"), F.struct("match_time", "player_id")).alias("b")).select(*KEYS, "frame", "match_time", "b.ball_x", "b.ball_y")
+    frames = cut(frames)
+    line = cut(ordered(tracking, keys, ["match_time", "frame"], blocks, running={"__rank": F.lit(1)}))
+    ranked = line.select(*keys, "frame", F.col("match_time").cast("double").alias("t"), F.col("x").cast("double").alias("x0"),
+                         F.col("y").cast("double").alias("y0"), F.col("__rank").cast("long").alias("rank"))
+    ends = ranked.groupBy(*keys).agg(F.max("rank").alias("last_rank"), F.min("t").alias("first_ms"))
+    near = asof(ev, ranked, keys, "match_time", "t", ["rank"], blocks, direction="nearest", tie=F.col("rank"), prefix="a_", how="inner")
+    near = cut(near.join(ends, keys).drop("a_time"))
+    general = near.where("coalesce(setpiece_type, '') <> 'throwin'").withColumns({
+        "lo_rank": F.greatest(F.col("a_rank") - rules.rows_before, F.lit(1)), "hi_rank": F.least(F.col("a_rank") + rules.rows_after, F.col("last_rank")),
+        "out_ms": F.lit(None).cast("double")})
+    throws = near.where("setpiece_type = 'throwin'")
+    throws = throws.join(ball_outs(frames, throws, rules, blocks), [*KEYS, "event_no"]).withColumn("stop_ms", F.col("match_time") + rules.throw_after_ms)
+    throws = asof(throws, ranked, keys, "out_ms", "t", ["rank"], blocks, direction="forward", tie=F.col("rank"), prefix="lo_")
+    throws = asof(throws, ranked, keys, "stop_ms", "t", ["rank"], blocks, tie=-F.col("rank"), prefix="hi_").drop("lo_time", "hi_time", "stop_ms")
+    moves = cut(general.unionByName(throws))
+    reached = F.when(F.col("lo_rank") <= F.col("hi_rank"), F.sequence("lo_rank", "hi_rank")).otherwise(F.array().cast("array<bigint>"))
+    # the anchor of a throw-in is logged even where the throw-in reaches no row
+    touched = moves.withColumn("rank", F.explode(F.array_union(reached, F.array("a_rank"))))
+    ops = touched.join(ranked, [*keys, "rank"])
+    own_block, block = (F.floor((F.col(c) - 1) / block_rows) for c in ("a_rank", "rank"))
+    inside = F.coalesce(F.col("rank").between(F.col("lo_rank"), F.col("hi_rank")), F.lit(False))
+    kind = F.coalesce(F.col("setpiece_type").isin(*SETPIECE_KINDS), F.lit(False))
+    throw = F.coalesce(F.col("setpiece_type") == "throwin", F.lit(False))
+    hold = F.col("out_ms") + 0.45 * (F.col("match_time") - F.col("out_ms"))
+    t, stop = F.col("t"), F.col("match_time") + rules.throw_after_ms
+    late = 1 - clip((t - F.col("match_time")) / F.greatest(F.lit(1.0), stop - F.col("match_time")), 0, 1)
+    held = (F.when(t <= hold, F.pow(clip((t - F.col("out_ms")) / F.greatest(F.lit(1.0), hold - F.col("out_ms")), 0, 1), F.lit(0.65)))
+            .when(t <= F.col("match_time"), F.lit(0.985)).otherwise(0.985 * F.pow(late, F.lit(0.55))))
+    moving = shift_weight(F.col("rank") - F.col("a_rank"), F.least(F.col("a_rank") - 1, F.lit(rules.rows_before)), kind, rules)
+    ops = ops.withColumns({"block": block, "own": own_block == block, "throw": throw, "setpiece": kind, "touched": inside}).withColumn(
+        "w", F.when(~F.col("throw"), moving).when(inside, held).otherwise(0.0))
+    ops = cut(ops.select(*keys, "block", "event_no", "rank", "a_rank", "own", "throw", "setpiece", "touched", "w", "tx", "ty", "x0", "y0", "frame", "t", "match_time"))
+    done = _settled(ops, rules)
+    clean = done.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("x", "y", "dx", "dy", "error_m")})
+    moved = cut(clean.where("moved AND touched").groupBy(*keys, F.col("rank").alias("__rank")).agg(
+        F.max_by("x", "event_no").alias("new_x"), F.max_by("y", "event_no").alias("new_y"), F.lit(True).alias("__moved")))
+    balls = cut(_balls(clean, frames.drop("match_time"), rules).withColumn("__ball", F.lit(True)))
+    out = line.join(moved, [*keys, "__rank"], "left").join(balls, [*KEYS, "frame"], "left")
+    put = {"x": ("new_x", "__moved"), "y": ("new_y", "__moved"), "ball_x": ("new_bx", "__ball"), "ball_y": ("new_by", "__ball")}
+    out = out.select(*[clip(F.when(F.col(put[c][1]), F.col(put[c][0])).otherwise(F.col(c)), 0, 1).alias(c) if c in put else F.col(c) for c in tracking.columns])
+    mode = (F.when(F.col("setpiece_type") == "throwin", "throwin").when(F.col("error_m") <= rules.skip_m, "near")
+            .when(kind, "setpiece").otherwise("general"))
+    times = ranked.select(*keys, "rank", "t")
+    log = moves.join(clean.where("own AND rank = a_rank").select(*keys, "event_no", F.col("t").alias("anchor_ms"), "dx", "dy", "error_m"), [*keys, "event_no"])
     for side in ("lo", "hi"):
-        near = near.join(reach.withColumnsRenamed({"rank": f"{side}_rank", "reach_ms": f"{side}_ms"}),
-                         [*keys, f"{side}_rank"])
-    throw = F.col("setpiece_type") == "throwin"
-    moves = near.select(*KEYS, "player_id", "match_time", "x", "y", "setpiece_type", "event_no", "out_ms",
-                        F.when(throw, F.col("out_ms")).otherwise(F.col("lo_ms")).alias("low"),
-                        F.when(throw, F.col("match_time") + rules.throw_after_ms).otherwise(F.col("hi_ms")).alias("high"))
-    isl = cut(_islands(cut(moves), blocks))
-    spans = isl.groupBy(*KEYS, "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    touched = range_join(tracking, spans, KEYS, "match_time", "low", "high", 10_000, "left")
-    untouched = touched.where(F.col("island").isNull()).select(*tracking.columns)
-    cols = ["match_id", "period", "player_id", "match_time", "x", "y"]
-    rows = touched.where(F.col("island").isNotNull()).withColumns({
-        "is_row": F.lit(True), "setpiece_type": F.lit(None).cast("string"), "event_no": F.lit(None).cast("long"),
-        "out_ms": F.lit(None).cast("double")}).drop("low", "high")
-    evs = isl.select(*cols, "island", "setpiece_type", F.col("event_no").cast("long"), F.col("out_ms").cast("double"),
-                     F.lit(False).alias("is_row"))
-    work = rows.withColumn("match_time", F.col("match_time").cast("double")).unionByName(
-        evs.withColumn("match_time", F.col("match_time").cast("double")), allowMissingColumns=True)
-    own = [f for f in work.schema if f.name in tracking.columns or f.name in ("setpiece_type", "event_no", "is_row")]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in own] + list(T.StructType.fromDDL(LOG)))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _replay(pdf, rules)[[f.name for f in schema]]
-
-    done = cut(work.groupBy(*KEYS, "island").applyInPandas(replay, schema))
-    log = done.where("NOT is_row").select(*KEYS, "event_no", "player_id", "match_time", "x", "y", "setpiece_type", *LOG_NAMES)
-    rows = done.where("is_row").withColumn("match_time", F.col("match_time").cast(tracking.schema["match_time"].dataType))
-    out = untouched.unionByName(rows.select(*tracking.columns))
-    return out.withColumns({c: clip(c, 0, 1) for c in ("x", "y", "ball_x", "ball_y")}), log
+        log = log.join(times.withColumnsRenamed({"rank": f"{side}_rank", "t": f"{side}_ms"}), [*keys, f"{side}_rank"], "left")
+    log = log.withColumns({"mode": mode, "throw": throw}).withColumns({
+        "start_ms": F.when(F.col("throw"), F.col("out_ms")).otherwise(F.col("lo_ms")), "hold_ms": F.when(F.col("throw"), hold),
+        "stop_ms": F.when(F.col("throw"), stop).otherwise(F.col("hi_ms"))})
+    return out, log.select(*KEYS, "event_no", "player_id", "match_time", F.col("tx").alias("x"), F.col("ty").alias("y"), "setpiece_type", *LOG_NAMES)
 
 
 def recalibrate(tracking: DataFrame, events: DataFrame, rules: AlignRules = AlignRules(),

@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from . import lloyd
 from .quantiles import attach_row
 
 FEATURES = ("verticality", "horizontality", "pass_rhythm", "duration_log", "events_log", "path_log", "mean_speed", "amplitude_m")
@@ -151,27 +153,28 @@ def load_model(path: str) -> PipelineModel | None:
 def kmeans_diagnostics(df: DataFrame, vector: str = "features", n_dims: int = 48, k_min: int = 2, k_max: int = 8,
                        seed: int = 42, restarts: int = 20) -> DataFrame:
     """Cost, silhouette (with squared Euclidean distance, so its best k can differ from that of the plain one) and smallest
-    cluster for every k; fewer than four rows give an empty table. Rows are scaled once for all k."""
+    cluster for every k; fewer than four rows give an empty table. Rows are scaled and written once; the fits of all k and restarts share
+    their passes."""
     spark = df.sparkSession
     schema = "k int, inertia double, silhouette double, min_cluster_size long"
     n = df.count()
     if n < 4:
         return spark.createDataFrame([], schema)
-    rows = []
-    scaled = standardise(df, vector, n_dims).persist()
-    stages, vectors, _ = _scaling(df, vector)
-    for k in range(k_min, min(k_max, n - 1) + 1):
-        fitted, cost = _best_fit(vectors, k, n, seed, restarts)
-        labelled = apply_model(scaled, PipelineModel([*stages, fitted]), vector)
-        sil = silhouette(labelled, "scaled", "cluster", n_dims).groupBy("cluster").agg(
-            F.count("*").alias("n"), F.sum("silhouette").alias("s"))
-        one = sil.agg(F.min("n").alias("low"), (F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("found")).first()
-        rows.append((k, cost, one["mean"] if one["found"] > 1 else None, one["low"]))
-    scaled.unpersist()
-    vectors.unpersist()
+    scaled = cut(standardise(df, vector, n_dims).select("scaled"))
+    ks = list(range(k_min, min(k_max, n - 1) + 1))
+    sample = lloyd.sample_rows(scaled, "scaled")
+    fits = lloyd.fit_many(scaled, "scaled", [lloyd.start(sample, k, seed + i) for k in ks for i in range(restarts)])
+    best = [min(fits[j * restarts:(j + 1) * restarts], key=lambda f: f.cost) for j in range(len(ks))]
+    means = lloyd.silhouettes(scaled, "scaled", best)
+    rows = [(k, f.cost, s, int(f.sizes[f.sizes > 0].min())) for k, f, s in zip(ks, best, means)]
     return spark.createDataFrame(rows, schema)
 
 
+def model_size(model: PipelineModel) -> int:
+    """Number of clusters of a stored model."""
+    return len(model.stages[-1].clusterCenters())
+
+
 def elbow_strength(diag: DataFrame, keys=()) -> DataFrame:
     """Distance of (k, inertia) to the line through the first and last k; 0 with fewer than three rows.
     One row per k, so the table is tiny whatever the data."""

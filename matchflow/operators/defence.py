@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import distance, mean_of, present
 from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH, mirror_fixed
@@ -55,43 +57,65 @@ class ControlRules:
     width: float = PITCH_WIDTH
 
 
-def _grid(rules: ControlRules) -> tuple[Column, list[int]]:
-    """(array of the grid's points, numbers of those in the danger zone)."""
+CHUNK_FRAMES = 512
+
+
+def _nearest(players: pa.ListArray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Squared distance from each grid point to the nearest player: (frames, x, y). Frames of as many players are worked out together, one
+    player at a time, so memory is that of the result."""
+    at = players.offsets.to_numpy()
+    held = players.values
+    px, py = (held.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py"))
+    many = np.diff(at)
+    out = np.empty((len(many), len(xs), len(ys)))
+    for n in np.unique(many).tolist():
+        frames = np.flatnonzero(many == n)
+        places = at[frames][:, None] + np.arange(n)
+        across, along = (px[places][:, :, None] - xs) ** 2, (py[places][:, :, None] - ys) ** 2
+        best = across[:, 0, :, None] + along[:, 0, None, :]
+        for k in range(1, n):
+            np.minimum(best, across[:, k, :, None] + along[:, k, None, :], out=best)
+        out[frames] = best
+    return out
+
+
+def _control(rules: ControlRules, keys: list[str]):
     xs, ys = np.linspace(0, rules.length, rules.grid_x), np.linspace(0, rules.width, rules.grid_y)
-    cells = [(float(x), float(y)) for y in ys for x in xs]
-    danger = [i for i, (x, y) in enumerate(cells) if x >= rules.length * rules.danger_x
-              and rules.width * rules.danger_y[0] <= y <= rules.width * rules.danger_y[1]]
-    return F.array(*[F.struct(F.lit(x).alias("gx"), F.lit(y).alias("gy")) for x, y in cells]), danger
+    zone = np.outer(xs >= rules.length * rules.danger_x, (ys >= rules.width * rules.danger_y[0]) & (ys <= rules.width * rules.danger_y[1]))
+    steep = rules.steepness / rules.max_speed
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK_FRAMES):
+                batch = whole.slice(start, CHUNK_FRAMES)
+                mine, theirs = (_nearest(pa.concat_arrays([batch.column(c)]), xs, ys) for c in ("mine", "theirs"))
+                p = 1 / (1 + np.exp(-steep * (np.sqrt(theirs) - np.sqrt(mine))))
+                danger = pa.array(p[:, zone].mean(1)) if zone.any() else pa.nulls(len(p), pa.float64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(p.mean((1, 2))), danger], [*keys, "control_own", "danger_own"])
+    return run
 
 
 def control_frames(rows: DataFrame, own: Column, keys=SEQ_KEYS, rules: ControlRules = ControlRules()) -> DataFrame:
     """Pitch control per (sequence, time). The players of a frame (two teams) are gathered into one row, frames with too
-    few players go, and the grid is worked out inside the row; no row is made per grid point."""
+    few players go, and the grid is worked out in Arrow batches of frames; no row is made per grid point."""
     keys = list(keys)
     second = F.when(F.col("period") == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
     speed, angle = F.coalesce("speed_smooth", F.lit(0.0)), F.coalesce("direction", F.lit(0.0))
     x = mirror_fixed("x_m", "period", rules.length) + speed * F.cos(angle) * second * rules.reaction_s
     y = mirror_fixed("y_m", "period", rules.width) + speed * F.sin(angle) * second * rules.reaction_s
     # rows of an unknown team count as rival
-    who = rows.select(*keys, "match_time", F.coalesce(own, F.lit(False)).alias("own"), F.struct(x.alias("px"), y.alias("py")).alias("at"))
+    who = rows.select(*keys, "match_time", F.coalesce(own, F.lit(False)).alias("own"), F.struct(x.cast("double").alias("px"), y.cast("double").alias("py")).alias("at"))
     # rows without a place count as players and reach nothing
     placed = F.col("at.px").isNotNull() & F.col("at.py").isNotNull()
     frames = who.groupBy(*keys, "match_time").agg(
         F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_rival"),
         F.collect_list(F.when(F.col("own") & placed, F.col("at"))).alias("mine"),
         F.collect_list(F.when(~F.col("own") & placed, F.col("at"))).alias("theirs"))
-    frames = frames.where((F.col("n_own") >= rules.min_players) & (F.col("n_rival") >= rules.min_players))
-    grid, danger = _grid(rules)
-
-    def nearest(players: str, g: Column) -> Column:
-        return F.array_min(F.transform(F.col(players), lambda p: (p["px"] - g["gx"]) * (p["px"] - g["gx"]) + (p["py"] - g["gy"]) * (p["py"] - g["gy"])))
-
-    steep = rules.steepness / rules.max_speed
-    p = F.transform(grid, lambda g: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-steep) * (F.sqrt(nearest("theirs", g)) - F.sqrt(nearest("mine", g))))))
-    probs = frames.where((F.size("mine") > 0) & (F.size("theirs") > 0)).select(*keys, "match_time", p.alias("p"))
-    zone = F.transform(F.array(*[F.lit(i) for i in danger]), lambda i: F.get("p", i)) if danger else F.array().cast("array<double>")
-    shares = probs.select(*keys, "match_time", mean_of("p").alias("control_own"), mean_of(zone).alias("danger_own"))
-    return shares.select(*keys, "match_time", "control_own", (1 - F.col("control_own")).alias("control_rival"), "danger_own",
+    frames = frames.where((F.col("n_own") >= rules.min_players) & (F.col("n_rival") >= rules.min_players) & (F.size("mine") > 0) & (F.size("theirs") > 0))
+    names = [*keys, "match_time"]
+    schema = T.StructType([*frames.select(*names).schema, T.StructField("control_own", T.DoubleType()), T.StructField("danger_own", T.DoubleType())])
+    shares = frames.select(*names, "mine", "theirs").mapInArrow(_control(rules, names), schema)
+    return shares.select(*names, "control_own", (1 - F.col("control_own")).alias("control_rival"), "danger_own",
                          (1 - F.col("danger_own")).alias("danger_rival"))
 
 

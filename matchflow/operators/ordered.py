@@ -8,6 +8,7 @@ partitioning the window already has.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "__block"
 ROWS_PER_BLOCK = 1 << 18
+DECAY = 30
 
 
 @dataclass(frozen=True)
@@ -119,6 +121,31 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], blocks: Blocks, *,
     return wide.select(*[c for c in wide.columns if c not in skip], *[e.alias(n) for n, e in final])
 
 
+def decayed_sum(df: DataFrame, keys: list[str], position: str, value: Column, alpha: float, name: str) -> DataFrame:
+    """Adds the linear recurrence v(k) = alpha * v(k - 1) + value(k) over whole-number positions within ``keys``; positions without a row count as 0.
+
+    Positions are cut into blocks in which alpha falls to 10^-DECAY. Inside a block the recurrence is a running sum of value / alpha^place times alpha^place,
+    whose terms neither overflow nor vanish; what a block hands on is one number, which the next blocks take with alpha^length, alpha^2 length, ... until it is
+    below what a double can hold. Nothing is collected, and a key of any length is split."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    length = max(1, int(DECAY / -math.log10(alpha)))
+    # alpha^(length * reach) is below the smallest double
+    reach = math.ceil(330 / (length * -math.log10(alpha)))
+    marked = df.withColumns({BLOCK: F.floor(F.col(position) / length).cast("long"), "__b": value})
+    marked = marked.withColumn("__p", (F.col(position) - F.col(BLOCK) * length).cast("double"))
+    base = [*keys, BLOCK]
+    so_far = Window.partitionBy(*base).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.sum(F.col("__b") * F.pow(F.lit(alpha), -F.col("__p"))).over(so_far) * F.pow(F.lit(alpha), "__p")
+    ends = marked.groupBy(*base).agg(F.sum(F.col("__b") * F.pow(F.lit(alpha), length - 1 - F.col("__p"))).alias("__e"))
+    handed = ends.select(*keys, BLOCK, "__e", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("__i")).select(
+        *keys, (F.col(BLOCK) + F.col("__i")).alias(BLOCK), (F.col("__e") * F.pow(F.lit(alpha), (F.col("__i") - 1) * length)).alias("__s"))
+    starts = handed.groupBy(*base).agg(F.sum("__s").alias("__s"))
+    whole = marked.withColumn("__in", inside).join(starts, base, "left")
+    total = F.col("__in") + F.coalesce("__s", F.lit(0.0)) * F.pow(F.lit(alpha), F.col("__p") + 1)
+    return whole.select(*df.columns, total.alias(name))
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows per key. Spark limits each task to ``n`` rows per key before the
     shuffle (window group limit), so a hot key costs no more than a cold one."""

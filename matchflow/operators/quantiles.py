@@ -1,7 +1,9 @@
 """Exact percentiles (linear interpolation) that never hold a group in one place.
 
-A bounded sketch finds, per group and percentile, a narrow value range around the wanted rank;
-only values inside it are counted one by one, everything below it is counted as one number.
+A percentile is one or two wanted places in a group's sorted values. The open value range that holds a place is narrowed in rounds: a
+sketch names some of its values as cuts, the rows on, between and beside the cuts are counted exactly, and the place falls either on a cut, whose
+value is the answer, or between two of them. The sketch only chooses the cuts; whatever it says, the counts are exact and the next range holds the
+place and fewer rows. Ranges of at most ``bound`` rows are sorted. A group of equal values is done after one round.
 """
 
 from __future__ import annotations
@@ -10,51 +12,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import num as finite
+from ..lineage import cut
 
 ACCURACY = 10_000
+BOUND = 10_000
+LATER_CUTS = 31
+
+
+def _spans(ranges: DataFrame, at: list[str]) -> DataFrame:
+    """The distinct ranges; several places may share one."""
+    return ranges.select(*at, "__lo", "__hi").distinct()
+
+
+def _inside(long: DataFrame, spans: DataFrame, at: list[str]) -> DataFrame:
+    return long.join(spans, at).where((F.col("__v") > F.col("__lo")) & (F.col("__v") < F.col("__hi")))
+
+
+def _narrowed(long: DataFrame, ranges: DataFrame, at: list[str], spots: list[float], accuracy: int) -> DataFrame:
+    """The wanted places with the narrower range, or the value, that holds them."""
+    span = [*at, "__lo", "__hi"]
+    sketch = _inside(long, _spans(ranges, at), at).groupBy(*span).agg(
+        F.sort_array(F.array_distinct(F.percentile_approx("__v", spots, accuracy))).alias("__cuts"))
+    sketch = cut(sketch)
+    # 0: below the first cut, 1: on it, 2: between it and the next, ...
+    region = 2 * F.size(F.filter("__cuts", lambda c: c < F.col("__v"))) + F.array_contains("__cuts", F.col("__v")).cast("int")
+    counts = _inside(long, sketch, at).groupBy(*span, region.alias("__r")).agg(F.count("*").alias("__k"))
+    # one row per region of a range
+    order = Window.partitionBy(*span).orderBy("__r")
+    counts = counts.withColumn("__end", F.sum("__k").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(sketch, span)
+    held = ranges.join(counts, span).where((F.col("__off") < F.col("__end")) & (F.col("__off") >= F.col("__end") - F.col("__k")))
+    on, left = F.col("__r") % 2 == 1, F.floor(F.col("__r") / 2).cast("int")
+    found = F.get("__cuts", left)
+    return held.select(*at, "__i", "__n", F.when(on, found).alias("__value"),
+                       F.when(on | (left == 0), F.col("__lo")).otherwise(F.get("__cuts", left - 1)).alias("__lo"),
+                       F.when(on, F.col("__hi")).otherwise(F.coalesce(found, "__hi")).alias("__hi"),
+                       (F.col("__off") - (F.col("__end") - F.col("__k"))).alias("__off"), F.col("__k").alias("__c"))
 
 
 def percentile_table(df: DataFrame, keys: list[str], columns: list[str], probs: list[float],
-                     accuracy: int = ACCURACY) -> DataFrame:
-    """One row per key with ``{column}_p{permille}`` for every column and probability.
-
-    Groups of up to ``accuracy`` rows are ranked whole; larger ones only near the wanted ranks.
-    A rank outside the located range stops the query instead of giving an inexact number.
-    """
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("m"), finite(c).alias("v"))
-                                               for c in columns])).alias("__s"))
-    long = long.select(*keys, F.col("__s.m").alias("__m"), F.col("__s.v").alias("__v")).where(F.col("__v").isNotNull())
+                     accuracy: int = ACCURACY, bound: int = BOUND) -> DataFrame:
+    """One row per key with ``{column}_p{permille}`` for every column and probability; NULL, NaN and infinite values are left out."""
+    at = [*keys, "__m"]
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), finite(c).alias("v"))
+                                               for i, c in enumerate(columns)])).alias("__s"))
+    long = cut(long.select(*keys, F.col("__s.m").alias("__m"), F.col("__s.v").cast("double").alias("__v")).where(F.col("__v").isNotNull()))
+    rank = [f(F.lit(float(p)) * (F.col("__n") - 1)) for p in probs for f in (F.floor, F.ceil)]
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), r.alias("r")) for i, r in enumerate(rank)]))
+    ranges = long.groupBy(*at).agg(F.count("*").alias("__n")).withColumn("__p", places).select(
+        *at, F.col("__p.i").alias("__i"), "__n", F.lit(None).cast("double").alias("__value"), F.lit(float("-inf")).alias("__lo"),
+        F.lit(float("inf")).alias("__hi"), F.col("__p.r").alias("__off"), F.col("__n").alias("__c"))
     eps = 4.0 / accuracy
-    spots = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
-    sketch = long.groupBy(*keys, "__m").agg(
-        F.count("*").alias("__n"), F.percentile_approx("__v", spots, accuracy).alias("__q"))
-    marked = long.join(sketch, [*keys, "__m"])
-    whole = F.col("__n") <= accuracy
-    options = []
-    for i, p in enumerate(probs):
-        lo, hi = F.element_at("__q", i + 1), F.element_at("__q", len(probs) + i + 1)
-        low_ok = whole | F.lit(p <= eps) | (F.col("__v") >= lo)
-        high_ok = whole | F.lit(p >= 1 - eps) | (F.col("__v") <= hi)
-        options.append(F.when(high_ok, F.struct(F.lit(i).alias("i"), F.when(low_ok, F.col("__v")).alias("v"))))
-    counted = (marked.select(*keys, "__m", "__n", F.explode(F.array_compact(F.array(*options))).alias("__o"))
-               .groupBy(*keys, "__m", "__n", F.col("__o.i").alias("__i"), F.col("__o.v").alias("__v"))
-               .agg(F.count("*").alias("__c")))
-    up_to = F.sum("__c").over(Window.partitionBy(*keys, "__m", "__i").orderBy(F.col("__v").asc_nulls_first())
-                              .rowsBetween(Window.unboundedPreceding, 0))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1)
-    ranked = counted.withColumn("__end", up_to).withColumn("__r", prob * (F.col("__n") - 1))
-    for name, rank in (("__a", F.floor("__r")), ("__b", F.ceil("__r"))):
-        ranked = ranked.withColumn(name, F.when((rank < F.col("__end")) & (rank >= F.col("__end") - F.col("__c")),
-                                                F.col("__v")))
-    picked = ranked.groupBy(*keys, "__m", "__i").agg(
-        F.max("__a").alias("__a"), F.max("__b").alias("__b"), F.max(F.col("__r") - F.floor("__r")).alias("__f"))
-    value = F.when(F.col("__a").isNull() | F.col("__b").isNull(),
-                   F.raise_error(F.lit("percentile rank outside its located range")).cast("double")).otherwise(
-        F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f"))
-    flat = picked.withColumn("__val", value)
-    wanted = [F.max(F.when((F.col("__m") == c) & (F.col("__i") == i), F.col("__val"))).alias(f"{c}_p{round(p * 1000)}")
-              for c in columns for i, p in enumerate(probs)]
-    return flat.groupBy(*keys).agg(*wanted)
+    spots = sorted({min(max(p + e, 0.0), 1.0) for p in probs for e in (-eps, eps)})
+    done = []
+    while True:
+        ranges = cut(ranges)
+        wide = ranges.where(F.col("__value").isNull() & (F.col("__c") > bound))
+        if wide.isEmpty():
+            break
+        done.append(ranges.where(F.col("__value").isNotNull() | (F.col("__c") <= bound)))
+        ranges = _narrowed(long, wide, at, spots, accuracy)
+        spots = [(k + 1) / (LATER_CUTS + 1) for k in range(LATER_CUTS)]
+    for one in done:
+        ranges = ranges.unionByName(one)
+    few = ranges.where("__value IS NULL")
+    span = [*at, "__lo", "__hi"]
+    sorted_ = _inside(long, _spans(few, at), at).groupBy(*span).agg(F.sort_array(F.collect_list("__v")).alias("__vs"))
+    read = few.join(sorted_, span).withColumn("__value", F.get("__vs", F.col("__off").cast("int"))).select(*at, "__i", "__n", "__value")
+    every = read.unionByName(ranges.where("__value IS NOT NULL").select(*at, "__i", "__n", "__value")) if done else read
+
+    def wanted(m: int, i: int):
+        a, b = (F.max(F.when((F.col("__m") == m) & (F.col("__i") == 2 * i + k), F.col("__value"))) for k in (0, 1))
+        place = F.lit(float(probs[i])) * (F.max(F.when(F.col("__m") == m, F.col("__n"))) - 1)
+        return a + (b - a) * (place - F.floor(place))
+
+    return every.groupBy(*keys).agg(*[wanted(m, i).alias(f"{c}_p{round(p * 1000)}") for m, c in enumerate(columns) for i, p in enumerate(probs)])
 
 
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:

@@ -135,9 +135,10 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
     """Follows each wanted sequence back over its predecessors: the latest one ending at or before the
     chain's start with a small gap, until the chain reaches far enough back.
 
-    The predecessor of every sequence is one as-of lookup; the chain is then walked step by step, one
-    equi join per step over the chains still open. Returns (keys, seq_id, chain_start, members) where
-    ``members`` lists the ``payload`` structs of the sequences added. Runs one small job per step."""
+    The predecessor of every sequence is one as-of lookup. Jumps of 1, 2, 4, ... predecessors are made by joining the jumps with themselves, as long as
+    any stays within the reach; each chain then takes the largest jumps that do, and one step more. The jumps taken are halved back into single steps to
+    list the members, so rounds grow with the logarithm of the longest chain. Returns (keys, seq_id, chain_start, members) where
+    ``members`` lists the ``payload`` structs of the sequences added."""
     keys = list(keys)
     # a sequence without length would be its own predecessor and never end the walk
     ended = seqs.where("end_ms > start_ms").select(*keys, "end_ms", F.col(seq_id).alias("prev_id"))
@@ -146,21 +147,35 @@ def chain_before(seqs: DataFrame, wanted: DataFrame, blocks: Blocks, keys=("matc
     body = seqs.select(*keys, F.col(seq_id).alias("prev_id"), F.col("start_ms").alias("prev_start"),
                        F.struct(*payload, F.col(seq_id)).alias("member"))
     links = cut(before.join(body, [*keys, "prev_id"]).select(
-        *keys, F.col(seq_id).alias("node"), "prev_id", "prev_start", "member"))
-    start = seqs.join(wanted, [*keys, seq_id], "left_semi").select(
-        *keys, seq_id, F.col(seq_id).alias("node"), F.col("start_ms").alias("origin"), F.col("start_ms").alias("chain_start"))
-    steps, open_ = [], start
-    while True:
-        nxt = open_.join(links, [*keys, "node"]).select(
-            *keys, seq_id, F.col("prev_id").alias("node"), "origin", F.col("prev_start").alias("chain_start"), "member")
-        nxt = cut(nxt)
-        if nxt.isEmpty():
-            break
-        steps.append(nxt)
-        open_ = nxt.where(F.col("origin") - F.col("chain_start") < rules.chain_reach_ms).drop("member")
-    walked = start.withColumn("member", F.lit(None).cast(links.schema["member"].dataType))
-    for s in steps:
-        walked = walked.unionByName(s)
+        *keys, F.col(seq_id).alias("node"), "start_ms", "prev_id", "prev_start", "member"))
+
+    def near(start, end):
+        return F.col(start) - F.col(end) < rules.chain_reach_ms
+
+    jumps = [cut(links.where(near("start_ms", "prev_start")).select(*keys, "node", "start_ms", F.col("prev_id").alias("to"), F.col("prev_start").alias("to_start")))]
+    while not jumps[-1].isEmpty():
+        on = jumps[-1].select(*keys, F.col("node").alias("to"), F.col("to").alias("further"), F.col("to_start").alias("further_start"))
+        twice = jumps[-1].join(on, [*keys, "to"]).where(near("start_ms", "further_start"))
+        jumps.append(cut(twice.select(*keys, "node", "start_ms", F.col("further").alias("to"), F.col("further_start").alias("to_start"))))
+    jumps = [j.drop("start_ms") for j in jumps[:-1]]
+    start = seqs.join(wanted, [*keys, seq_id], "left_semi").select(*keys, seq_id, F.col(seq_id).alias("node"), F.col("start_ms").alias("origin"))
+    taken, walk = [], start
+    for jump in reversed(jumps):
+        tried = cut(walk.join(jump, [*keys, "node"], "left"))
+        fits = F.coalesce(near("origin", "to_start"), F.lit(False))
+        taken.append(tried.where(fits).select(*keys, seq_id, "node"))
+        walk = tried.select(*keys, seq_id, F.when(fits, F.col("to")).otherwise(F.col("node")).alias("node"), "origin")
+    # a jump of 2^k from a node is one of 2^(k-1) from it and one of 2^(k-1) from where that ends
+    steps = walk.select(*keys, seq_id, "node")
+    whole = None
+    for k, some in zip(reversed(range(len(jumps))), taken):
+        whole = some if whole is None else whole.union(some)
+        if k:
+            half = whole.join(jumps[k - 1], [*keys, "node"]).select(*keys, seq_id, F.col("to").alias("node"))
+            whole = cut(whole.union(half))
+    steps = steps if whole is None else steps.union(whole)
+    added = steps.join(links, [*keys, "node"]).select(*keys, seq_id, F.col("prev_start").alias("chain_start"), "member")
+    walked = start.select(*keys, seq_id, F.col("origin").alias("chain_start"), F.lit(None).cast(links.schema["member"].dataType).alias("member")).union(added)
     return walked.groupBy(*keys, seq_id).agg(
         F.min("chain_start").alias("chain_start"),
         F.array_sort(F.collect_list("member")).alias("members"), (F.count("*") - 1).alias("n_added"))

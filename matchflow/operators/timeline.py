@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, flag, num
 from ..functions.geometry import LANE_NAMES, PITCH_LENGTH, PITCH_WIDTH, lane_y5
 from ..functions.labels import MINUTE_EDGES, MINUTE_LABELS, minute_bin
-from .ordered import first_rows
+from .ordered import decayed_sum
 from .quantiles import mode_table, percentile_table
 
 MATCH = ("match_id",)
@@ -43,22 +43,12 @@ def minute_signal(df: DataFrame, minute: Column, signal: Column, keys=MATCH) ->
 
 
 def decayed(signals: DataFrame, ends: DataFrame, keys=MATCH, alpha: float = MOMENTUM_ALPHA) -> DataFrame:
-    """Dense minute axis 0..last with m = alpha * m + (1 - alpha) * s from 0.
-
-    The signal table has one row per minute of a match; its axis is bounded by match length, so it is
-    folded in one array per match. ``ends``: keys, last_minute."""
+    """Dense minute axis 0..last with m = alpha * m + (1 - alpha) * s from 0. ``ends``: keys, last_minute."""
     k = list(keys)
-    packed = signals.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("minute", "signal"))).alias("m"))
-    axis = ends.join(packed, k, "left")
-    series = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_minute").cast("long")),
-                         lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    start = F.array().cast("array<double>")
-    fold = F.aggregate(F.col("s"), F.struct(F.lit(0.0).alias("v"), start.alias("out")), lambda acc, s: F.struct(
-        (F.lit(alpha) * acc["v"] + F.lit(1 - alpha) * s).alias("v"),
-        F.array_append(acc["out"], F.lit(alpha) * acc["v"] + F.lit(1 - alpha) * s).alias("out")))["out"]
-    out = axis.withColumn("s", series).withColumn("z", F.arrays_zip(F.col("s").alias("signal"), fold.alias("momentum")))
-    return out.select(*k, F.posexplode("z").alias("minute", "r")).select(
-        *k, "minute", F.col("r.signal").alias("signal"), clip("r.momentum", 0, 1).alias("momentum"))
+    axis = ends.select(*k, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_minute").cast("long"))).alias("minute"))
+    line = axis.join(signals, [*k, "minute"], "left").select(*k, "minute", F.coalesce("signal", F.lit(0.0)).alias("signal"))
+    out = decayed_sum(line, k, "minute", F.lit(1 - alpha) * F.col("signal"), alpha, "momentum")
+    return out.withColumn("momentum", clip("momentum", 0, 1))
 
 
 def momentum_timeline(seqs: DataFrame, keys=MATCH, alpha: float = MOMENTUM_ALPHA) -> DataFrame:

@@ -16,6 +16,15 @@ from ..streaming.incremental import run_incremental
 from .season import analyse_matches, published_tables
 
 FAILED = "failed"
+FAILED_ROW = "match_id long, path string, error string, at timestamp"
+
+
+class LandingFailed(RuntimeError):
+    """Some matches could not be analysed; ``matches`` holds their ids and errors."""
+
+    def __init__(self, matches: list[tuple[int, str]]):
+        super().__init__("; ".join(f"match {m}: {error}" for m, error in matches))
+        self.matches = matches
 
 
 def files_of(spark: SparkSession, folder: str, feed: str, matches: DataFrame) -> list[str]:
@@ -31,20 +40,32 @@ def season_tables(tracking: DataFrame, events: DataFrame, sequences: DataFrame,
     return published_tables(analyse_matches(tracking, events, sequences, **how))
 
 
+def failed_matches(spark: SparkSession, gold: str) -> DataFrame:
+    """Matches whose latest attempt failed: match_id, path, error, at."""
+    found = wr.read_output(spark, gold, FAILED)
+    return spark.createDataFrame([], FAILED_ROW) if found is None else found
+
+
 def process_landed(spark: SparkSession, landing: str, gold: str, checkpoint: str, *, per_batch: int | None = None,
-                   tables: Callable[..., dict[str, DataFrame]] = season_tables, **how) -> StreamingQuery:
-    """Analyses the matches whose tracking file is new and replaces their gold tables; only their files are opened.
+                   tables: Callable[..., dict[str, DataFrame]] = season_tables, matches: list[int] | None = None, force: bool = False,
+                   strict: bool = False, **how) -> StreamingQuery | None:
+    """Analyses the matches whose tracking file is new and those whose latest attempt failed, and publishes their tables; only their
+    files are opened. ``matches`` names the matches to analyse instead, ``force`` takes all landed ones, analysed before or not; the
+    stream of new files is then left as it is (None is returned).
+
+    All tables of a batch become visible at once (``writers.publish``). When a batch fails its matches are tried one by one, and those that fail again are
+    recorded in the table ``failed`` instead of ending the run; a later success clears the record. With ``strict`` the run ends in
+    ``LandingFailed`` when it is through and some of its matches have failed."""
+    failures: list[tuple[int, str]] = []
 
-    ``landing`` has the folders tracking, events and sequences. When a batch fails its matches are tried one by one, and those
-    that fail again are recorded in the table ``failed`` (match_id, error, at) instead of ending the run."""
     def run(todo: DataFrame) -> None:
         paths = [r["path"] for r in todo.select("path").orderBy("path").collect()]
         found = tables(rd.read_tracking(spark, paths), rd.read_events(spark, files_of(spark, f"{landing}/events", "events", todo)),
                        rd.read_sequences(spark, files_of(spark, f"{landing}/sequences", "sequences", todo)), **how)
-        wr.write_match_outputs(found, gold)
+        wr.publish({**found, FAILED: spark.createDataFrame([], FAILED_ROW)}, gold, todo)
 
     def process(todo: DataFrame) -> None:
-        todo = cut(todo)
+        todo = cut(todo.select("match_id", "path"))
         try:
             run(todo)
         except Exception as exc:  # a match that cannot be analysed must not hold up the others
@@ -53,7 +74,22 @@ def process_landed(spark: SparkSession, landing: str, gold: str, checkpoint: str
                 for i in ids:
                     process(todo.where(F.col("match_id") == i))
                 return
-            row = todo.select("match_id", F.lit(f"{type(exc).__name__}: {exc}"[:2000]).alias("error"), F.current_timestamp().alias("at"))
-            wr.write_match_outputs({FAILED: row}, gold)
+            told = f"{type(exc).__name__}: {exc}"[:2000]
+            failures.append((ids[0], told))
+            wr.publish({FAILED: todo.select("match_id", "path", F.lit(told).alias("error"), F.current_timestamp().alias("at"))}, gold, todo)
 
-    return run_incremental(spark, f"{landing}/tracking", checkpoint, process, per_batch=per_batch)
+    query = None
+    if matches is not None or force:
+        landed = rd.list_matches(spark, f"{landing}/tracking")
+        some = landed if matches is None else landed.where(F.col("match_id").isin(matches))
+        todo = some.groupBy("match_id").agg(F.max("path").alias("path"))
+        if not todo.isEmpty():
+            process(todo)
+    else:
+        again = failed_matches(spark, gold)
+        if not again.isEmpty():
+            process(again)
+        query = run_incremental(spark, f"{landing}/tracking", checkpoint, process, per_batch=per_batch)
+    if strict and failures:
+        raise LandingFailed(failures)
+    return query

@@ -69,6 +69,7 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
     features = keep(tj.tactical_features(seqs, tj.ball_amplitude(tagged)))
     frame = keep(cl.model_frame(traj, features))
     dims = 40 + len(cl.FEATURES)
+    model_k = None if model is None else cl.model_size(model)
     if model is None:
         if n_clusters is None:
             n_clusters = _choose_k(frame, dims, restarts)
@@ -85,9 +86,7 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
     mine = rows.where(F.col("team_id") == F.col("own_team"))
     profile = ix.idd_inputs(defence.defensive_profile(mine, blocks))
     control = defence.pitch_control(rows, F.col("team_id") == F.col("own_team"), blocks)
-    base = profile.join(control, SEQ, "left").join(xt, SEQ, "left").join(
-        summary.select(*SEQ, "cluster", "shot", "on_target", "goal", "xg", "cross", "loss", "x_start", "x_end", "y_start", "y_end",
-                       "shot_ms", "gap_ms", "assignment", "amplitude_m", "gain_x_m"), SEQ, "left")
+    base = index_inputs(profile, control, xt, summary)
     base = keep(base.withColumn("finish_score", threat.finish_score()))
     scored = keep(ix.ipo(ix.idd(base, MATCH), MATCH))
     indexed = ix.percentile_category(scored, MATCH, {"idd": "idd_category", "ipo": "ipo_category"})
@@ -95,11 +94,21 @@ def analyse_matches(raw_tracking: DataFrame, raw_events: DataFrame, provider: Da
     validation = ru.possession_validation(tagged, teams)
     detail_ = keep(detail.sequence_detail(indexed, seqs, validation))
     labels = ru.taxonomy_profile(summary, normalised_points(tagged, clusters))
-    totals = stage_totals(raw_tracking, tracking, raw_events, seqs, shots, summary, teams)
+    totals = stage_totals(raw_tracking, tracking, raw_events, seqs, shots, summary, teams, model_k)
     return SeasonResult(teams, tracking, events, shots, seqs, traj, features, clusters, indexed, detail_, labels, totals, model,
                         {"tagged": tagged, "summary": summary, "assigned": assigned, "ball": ball})
 
 
+SUMMARY = ("cluster", "shot", "on_target", "goal", "xg", "cross", "loss", "x_start", "x_end", "y_start", "y_end", "shot_ms", "gap_ms", "assignment",
+           "amplitude_m", "gain_x_m")
+
+
+def index_inputs(profile: DataFrame, control: DataFrame, xt: DataFrame, summary: DataFrame, keys=SEQ) -> DataFrame:
+    """What the indices need, one row per sequence with a defensive profile: its control, threat and summary where there are any."""
+    keys = list(keys)
+    return profile.join(control, keys, "left").join(xt, keys, "left").join(summary.select(*keys, *SUMMARY), keys, "left")
+
+
 def _choose_k(frame: DataFrame, dims: int, restarts: int) -> int:
     diag = cl.kmeans_diagnostics(frame, n_dims=dims, restarts=restarts)
     best = cl.select_k(cl.elbow_strength(diag), frame.count()).where("chosen").select("k").first()
@@ -115,15 +124,22 @@ def normalised_points(tagged: DataFrame, clusters: DataFrame, length: float = PI
         "ball_y_norm": F.when(first, F.col("ball_y_m")).otherwise(F.lit(width) - F.col("ball_y_m"))})
 
 
-def stage_totals(raw_tracking, tracking, raw_events, seqs, shots, summary, teams) -> DataFrame:
+# fixed values: where the clusters of a match come from
+STORED_MODEL, OWN_MODEL = "global", "partido_auto"
+
+
+def stage_totals(raw_tracking, tracking, raw_events, seqs, shots, summary, teams, model_k: int | None = None) -> DataFrame:
     """Rows per stage and match, with the team ids: sequences detected and kept (two ball points or more), kept ones
-    with a shot, and the clusters among the kept ones."""
+    with a shot, and the clusters among the kept ones. ``cluster_scope`` tells a stored model (of ``model_k`` clusters) from one fitted in
+    the run, whose size for a match is the number of its clusters."""
     on_target = shots.where("on_target = 1")
     kinds = summary.groupBy("match_id").agg(F.count_distinct("cluster").alias("typologies"))
     counts = ru.match_summary({
         "tracking_raw": raw_tracking, "tracking_bucketed": tracking, "events_raw": raw_events, "sequences_detected": seqs, "sequences": summary,
         "shots_rival": shots, "shots_on_target_rival": on_target, "shots_assigned": summary.where("shot = 1")})
-    return counts.join(kinds, "match_id", "left").fillna(0, ["typologies"]).join(teams, "match_id", "left")
+    out = counts.join(kinds, "match_id", "left").fillna(0, ["typologies"]).join(teams, "match_id", "left")
+    return out.withColumns({"cluster_scope": F.lit(OWN_MODEL if model_k is None else STORED_MODEL),
+                            "n_clusters_model": F.col("typologies") if model_k is None else F.lit(model_k).cast("long")})
 
 
 def published_tables(r: SeasonResult) -> dict[str, DataFrame]:

@@ -1,7 +1,9 @@
-"""Sinks: gold tables by match, nested CSV, the keyed result store."""
+"""Sinks: gold tables by match, published versions of them, nested CSV, the keyed result store."""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from ..schemas import PUBLISHED, PUBLISHED_ROLLUP
 
 KEYS = ["match_id", "team_id"]
+MANIFEST = "manifest"
 
 
 def published_names(df: DataFrame) -> DataFrame:
@@ -34,6 +37,38 @@ def write_match_outputs(tables: dict[str, DataFrame], folder: str, keys=("match_
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{folder}/{name}")
 
 
+def publish(tables: dict[str, DataFrame], folder: str, matches: DataFrame, keys=("match_id",)) -> str:
+    """New versions of all tables for the given matches, seen at once or not at all; returns the name of the version.
+
+    Every table is written under its version's name, which no reader looks at yet. The manifest (table, keys, run) is one small
+    file written last: when it is there, readers take all the tables' new rows, and a table without rows of a match has none. A
+    run that ends before leaves the former state."""
+    keys, run = list(keys), f"r{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        finite(df).hint("rebalance", *keys).write.partitionBy(*keys).parquet(f"{folder}/{name}/run={run}")
+    named = F.explode(F.array(*[F.lit(n) for n in tables]))
+    rows = matches.select(*keys).distinct().select(named.alias("table"), *keys, F.lit(run).alias("run"), F.lit(time.time_ns()).alias("published"))
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}/{MANIFEST}")
+    return run
+
+
+def current_versions(spark: SparkSession, folder: str, name: str, keys=("match_id",)) -> DataFrame | None:
+    """(keys, run): the latest version of each match of a table."""
+    manifest = read_table(spark, f"{folder}/{MANIFEST}")
+    if manifest is None:
+        return None
+    return manifest.where(F.col("table") == name).groupBy(*keys).agg(F.max_by("run", F.struct("published", "run")).alias("run"))
+
+
+def read_output(spark: SparkSession, folder: str, name: str, keys=("match_id",)) -> DataFrame | None:
+    """The published rows of a table; None when it has never had any. Only the folders of current versions are opened."""
+    now, rows = current_versions(spark, folder, name, keys), read_table(spark, f"{folder}/{name}")
+    if now is None or rows is None:
+        return None
+    typed = rows.withColumns({k: F.col(k).cast(now.schema[k].dataType) for k in keys})
+    return typed.join(now, ["run", *keys], "left_semi").drop("run")
+
+
 def write_nested_csv(df: DataFrame, folder: str) -> None:
     """CSV with nested columns as JSON text, UTF-8 with a byte order mark in the header."""
     nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]

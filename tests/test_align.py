@@ -71,25 +71,27 @@ def sequential(track: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
     return df
 
 
-@pytest.mark.parametrize("dense", [False, True])
-def test_recalibration(spark, dense):
+@pytest.mark.parametrize("dense, block_rows", [(False, 1 << 14), (True, 1 << 14), (True, 6)])
+def test_recalibration(spark, dense, block_rows):
+    """Blocks of six rows are shorter than a window: shifts reach over every border, whatever the order of the events."""
     track, events, _ = make_match(1, 99, seconds=40)
     keep = ["match_id", "period", "frame", "match_time", "player_id", "x", "y", "ball_x", "ball_y"]
     track = track[keep].drop_duplicates(["match_id", "period", "frame", "player_id"])
     rng = np.random.default_rng(4)
     ev = events.rename(columns={"period_order": "period", "event_time": "match_time"})[["match_id", "period", "player_id", "match_time", "x", "y"]]
-    ev = ev.sample(30 if dense else 4, random_state=3).sort_values(["period", "match_time"]).reset_index(drop=True)
+    ev = ev.sample(60 if dense else 4, replace=dense, random_state=3).sort_values(["period", "match_time"]).reset_index(drop=True)
     ev[["x", "y"]] = np.clip(ev[["x", "y"]] + rng.normal(0, 0.1, (len(ev), 2)), 0, 1)
     kinds = ["throwin", "goalkick", None, None] if dense else [None, "goalkick"]
     ev["setpiece_type"] = (kinds * len(ev))[:len(ev)]
     # longer stretches without a ball, so that throw-ins compete for them
     lost = (track.match_time % 9000).between(2000, 4000)
     track.loc[lost, ["ball_x", "ball_y"]] = np.nan
-    ev["event_no"] = np.arange(len(ev))
+    ev["event_no"] = np.arange(len(ev)) if block_rows > 6 else rng.permutation(len(ev))
     want = sequential(track, ev)
     df = spark.createDataFrame(track.astype({"match_time": "float64"}).replace({np.nan: None}))
     got = align.apply_recalibration(df, spark.createDataFrame(ev.astype({"match_time": "float64"}).astype(object).where(ev.notna(), None),
-                                    "match_id long, period long, player_id long, match_time double, x double, y double, setpiece_type string, event_no long")).toPandas()
+                                    "match_id long, period long, player_id long, match_time double, x double, y double, setpiece_type string, event_no long"),
+                                    block_rows=block_rows).toPandas()
     order = ["match_id", "period", "match_time", "frame", "player_id"]
     got, want = got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True)
     assert len(got) == len(want)
@@ -113,3 +115,74 @@ def test_tied_throw_ins_and_log(spark):
     log = align.apply_with_log(tracking, events.withColumn("event_no", F.col("player_id")))[1].orderBy("event_no").collect()
     assert [(r["event_no"], r["mode"], r["anchor_ms"], r["stop_ms"]) for r in log] == [(1, "throwin", 15000, 18000), (2, "throwin", 15000, 18000)]
     assert all(abs(r["dx"] - (0.9 - 0.2 - 0.01 * r["player_id"])) < 1e-9 and r["error_m"] > 60 for r in log)
+
+
+def plain_outs(t, known, asked, rules):
+    """Frame by frame: each throw-in looks at all frames so far and puts the ball back into those since its out time."""
+    t, open_ = np.asarray(t, float), ~np.asarray(known)
+    prev = np.r_[np.nan, t[:-1]]
+    outs = {}
+    for no, when, first in sorted(asked):
+        seen = np.flatnonzero(open_ & (t <= when))
+        runs = [r for r in np.split(seen, np.flatnonzero(np.diff(seen) != 1) + 1) if len(r) >= rules.null_run and not np.isnan(prev[r[0]])]
+        back = max(first, when - rules.throw_back_ms)
+        out = prev[runs[-1][0]] if runs else back
+        out = back if when - out < rules.throw_min_ms else out
+        open_ &= ~((t >= out) & (t <= when))
+        outs[no] = out
+    return outs
+
+
+@pytest.mark.parametrize("frames, throws, in_order", [(60_000, 10_000, True), (4_000, 1_500, False)])
+def test_throw_in_outs_of_one_period(spark, frames, throws, in_order):
+    rng = np.random.default_rng(7)
+    known = np.repeat(rng.random(frames) < 0.5, rng.integers(1, 9, frames))[:frames]
+    t = np.cumsum(rng.integers(40, 200, frames))
+    when = rng.integers(0, t[-1] + 500, throws)
+    if in_order:
+        when.sort()
+    asked = [(no, float(w), float(rng.choice([0, max(0, w - 1500)]))) for no, w in enumerate(when.tolist())]
+    import pandas as pd
+    line = spark.createDataFrame(pd.DataFrame({"match_id": 1, "period": 0, "frame": np.arange(frames), "match_time": t.astype(float),
+                                               "ball_x": np.where(known, 0.5, np.nan), "ball_y": 0.5}))
+    line = line.withColumn("ball_x", F.nanvl("ball_x", F.lit(None).cast("double")))
+    throwins = spark.createDataFrame([(1, 0, *a) for a in asked], "match_id long, period long, event_no long, match_time double, first_ms double")
+    rules = align.AlignRules()
+    got = {r["event_no"]: r["out_ms"] for r in align.ball_outs(line, throwins, rules).collect()}
+    assert got == plain_outs(t, known, asked, rules)
+
+
+@pytest.mark.parametrize("block_rows", [1 << 14, 9])
+def test_all_events_query(spark, block_rows):
+    """The registered query on every event of the stream, whole and in short blocks, against the sequential model."""
+    from matchflow.queries import q_outputs
+    sf = "/root/testdata/sf0.001"
+    t, events = q_outputs.dense_inputs(spark, sf)
+    track, ev = t.toPandas().astype({"match_time": "float64"}), events.toPandas()
+    ev = ev.sort_values(["match_id", "period", "event_no"])
+    want = sequential(track, ev).set_index(["match_id", "period", "frame"]).sort_index()
+    if block_rows > 9:
+        got = q_outputs.QUERIES["recalibrate_dense"](spark, sf).toPandas()
+        assert got["mode"].notna().sum() == len(ev)
+    else:
+        got = align.apply_recalibration(t, events, blocks=q_outputs.blocks(spark, sf), block_rows=block_rows).toPandas()
+    got = got.set_index(["match_id", "period", "frame"]).sort_index()
+    assert len(got) == len(want)
+    for c in ("x", "y", "ball_x", "ball_y"):
+        assert np.allclose(got[c].astype(float), want[c], equal_nan=True, atol=2e-6), c
+
+
+def test_throw_in_outs_query(spark):
+    from matchflow.queries import q_outputs
+    sf = "/root/testdata/sf0.001"
+    t, events = q_outputs.dense_inputs(spark, sf)
+    t, throws = q_outputs.lost_ball(t).toPandas(), events.where("setpiece_type = 'throwin'").toPandas()
+    rules = align.AlignRules(throw_back_ms=q_outputs.HOUR, throw_min_ms=q_outputs.HOUR // 2)
+    want = {}
+    for (m, p), line in t.sort_values(["match_time", "frame"]).groupby(["match_id", "period"]):
+        first = line.groupby("player_id").match_time.min()
+        mine = throws[(throws.match_id == m) & (throws.period == p)]
+        outs = plain_outs(line.match_time, line.ball_x.notna() & line.ball_y.notna(), [(r.event_no, r.match_time, first[r.player_id]) for r in mine.itertuples()], rules)
+        want |= {(m, p, no): out for no, out in outs.items()}
+    got = {(r[0], r[1], r[2]): r[3] for r in q_outputs.QUERIES["throw_in_outs"](spark, sf).collect()}
+    assert got == want and len(got) > 20
