@@ -63,9 +63,14 @@ def inertia(df: DataFrame, vector: str, cluster: str, n_dims: int) -> DataFrame:
     return c.select(cluster, "size", (F.col("size") * (F.col("mean_norm") - centre)).alias("inertia"))
 
 
+MOST_CENTRES = 10_000
+
+
 def _packed(centres: DataFrame, cluster: str) -> DataFrame:
-    """All centres in one row; k is a model parameter, so the row is small."""
-    return centres.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "centre", "size", "mean_norm")).alias("__cs"))
+    """All centres in one row; k is a model parameter, and more than ``MOST_CENTRES`` of them are refused."""
+    some = centres.limit(MOST_CENTRES + 1).agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "centre", "size", "mean_norm")).alias("__cs"))
+    many = F.concat(F.lit("more clusters than "), F.lit(MOST_CENTRES).cast("string"))
+    return some.select(F.when(F.size("__cs") > MOST_CENTRES, F.raise_error(many).cast(some.schema["__cs"].dataType)).otherwise(F.col("__cs")).alias("__cs"))
 
 
 def assign_nearest(df: DataFrame, vector: str, centres: DataFrame, cluster: str, name: str = "assigned") -> DataFrame:

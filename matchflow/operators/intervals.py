@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .ordered import Blocks, ordered
 
 
@@ -158,7 +159,8 @@ def best_covering(points: DataFrame, intervals: DataFrame, keys: list[str], time
 
     Between two neighbouring interval borders the answer is constant, so each point takes over the answer
     of the last border before it. Nothing lists (point, interval) pairs, so any overlap is safe."""
-    steps = covering_steps(intervals, keys, low, high, rank, columns)
+    # an ordered pass reads its input twice: the node tree is worked out once
+    steps = cut(covering_steps(intervals, keys, low, high, rank, columns))
     out = asof(points, steps, keys, time, "__b", ["__body"], blocks, prefix="__s_", tie=F.col("__b"))
     return out.select(*points.columns, *[F.col(f"__s___body.{c}").alias(f"{prefix}{c}") for c in columns])
 
@@ -170,7 +172,7 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], t
     iv = intervals.withColumn("__len", F.col(high) - F.col(low))
     cols = list(dict.fromkeys([*columns, tie, "__len"]))
     longest = F.struct(-F.col("__len"), F.col(tie))
-    steps = covering_steps(iv, keys, low, high, [F.col("__len"), -F.col(tie)], cols)
+    steps = cut(covering_steps(iv, keys, low, high, [F.col("__len"), -F.col(tie)], cols))
     both = asof_many(points, [
         Side(steps, "__b", ["__body"], prefix="__in_", tie=F.col("__b")),
         Side(iv, high, cols, strict=True, tie=longest, tolerance=tolerance, prefix="__pa_"),

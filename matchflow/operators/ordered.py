@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 BLOCK = "__block"
 ROWS_PER_BLOCK = 1 << 18
+MOST_CUTS = 4096
 DECAY = 30
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """How the order column is cut: every ``width`` units, or at fixed ``cuts``."""
+    """How the order column is cut: every ``width`` units, or at fixed ``cuts``, with ``parts`` of equal length between two of them."""
 
     width: float | None = None
     cuts: tuple = field(default=())
+    parts: int = 1
 
     @staticmethod
     def every(width: float) -> "Blocks":
@@ -36,14 +38,17 @@ class Blocks:
     def equal_depth(df: DataFrame, order: str, n: int | None = None) -> "Blocks":
         """Cuts that give every block about the same number of rows, whatever the density.
 
-        One pass over one column; the driver holds ``n`` numbers. ``n`` follows the rows, so that a block holds about
-        ``ROWS_PER_BLOCK`` of them however many there are, and is never below the session's parallelism.
+        One pass over one column; ``n`` follows the rows, so that a block holds about ``ROWS_PER_BLOCK`` of them however many there are, and is
+        never below the session's parallelism. The driver and the plans hold at most ``MOST_CUTS`` numbers: beyond that the range between
+        two neighbouring cuts, which all hold as many rows, is divided into parts of equal length.
         """
+        v = F.col(order).cast("double")
         if n is None:
             n = max(-(-df.count() // ROWS_PER_BLOCK), 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        probs = [i / n for i in range(1, n)]
-        found = df.select(F.col(order).cast("double").alias(order)).approxQuantile(order, probs, 1 / (4 * n))
-        return Blocks(cuts=tuple(sorted(set(found))))
+        coarse, parts = min(n, MOST_CUTS), -(-n // MOST_CUTS)
+        probs = [i / coarse for i in range(0 if parts > 1 else 1, coarse + (1 if parts > 1 else 0))]
+        found = df.select(v.alias(order)).approxQuantile(order, probs, 1 / (4 * coarse))
+        return Blocks(cuts=tuple(sorted(set(found))), parts=parts)
 
     def mark(self, df: DataFrame, order: str, name: str = BLOCK) -> DataFrame:
         if self.width:
@@ -54,6 +59,13 @@ class Blocks:
         src = name + "_v"
         marked = Bucketizer(splits=splits, inputCol=src, outputCol=name, handleInvalid="keep").transform(
             df.withColumn(src, F.col(order).cast("double")))
+        if self.parts > 1:
+            edges = F.array(*[F.lit(c) for c in (self.cuts[0], *self.cuts, self.cuts[-1])])
+            at = F.col(name).cast("int")
+            low, high = F.get(edges, at), F.get(edges, at + 1)
+            part = F.floor((F.col(src) - low) / F.when(high > low, high - low) * self.parts)
+            fine = F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(self.parts - 1))
+            return marked.withColumn(name, F.col(name).cast("long") * self.parts + fine).drop(src)
         return marked.withColumn(name, F.col(name).cast("long")).drop(src)
 
 

@@ -43,7 +43,7 @@ def season_tables(tracking: DataFrame, events: DataFrame, sequences: DataFrame,
 def failed_matches(spark: SparkSession, gold: str) -> DataFrame:
     """Matches whose latest attempt failed: match_id, path, error, at."""
     found = wr.read_output(spark, gold, FAILED)
-    return spark.createDataFrame([], FAILED_ROW) if found is None else found
+    return spark.createDataFrame([], FAILED_ROW) if found is None else found.select("match_id", "path", "error", "at")
 
 
 def process_landed(spark: SparkSession, landing: str, gold: str, checkpoint: str, *, per_batch: int | None = None,

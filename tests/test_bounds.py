@@ -46,6 +46,59 @@ def test_blocks_follow_rows(spark, monkeypatch):
     assert 80 <= len(Blocks.equal_depth(df, "id").cuts) <= 100
 
 
+def test_blocks_of_two_levels(spark, monkeypatch):
+    """Few cuts and parts between them: as many blocks, in order, and the same running sums."""
+    monkeypatch.setattr(od, "ROWS_PER_BLOCK", 50)
+    monkeypatch.setattr(od, "MOST_CUTS", 8)
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.expr("CASE WHEN id < 2500 THEN id / 100 ELSE id * 3 END").cast("double").alias("t"))
+    blocks = Blocks.equal_depth(df, "t")
+    assert len(blocks.cuts) <= 9 and blocks.parts == 13
+    marked = blocks.mark(df, "t").groupBy(od.BLOCK).agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).orderBy(od.BLOCK).collect()
+    assert 90 <= len(marked) <= 120 and max(r["n"] for r in marked) <= 400
+    assert all(x["b"] < y["a"] for x, y in zip(marked, marked[1:]))
+    out = od.ordered(df, ["k"], ["t"], blocks, running={"r": F.lit(1)}, lag={"p": F.col("t")}).orderBy("t").collect()
+    assert [r["r"] for r in out] == list(range(1, 5001)) and [r["p"] for r in out] == [None, *(r["t"] for r in out[:-1])]
+
+
+def test_most_centres(spark, monkeypatch):
+    from matchflow.operators import cluster as cl
+    monkeypatch.setattr(cl, "MOST_CENTRES", 3)
+    centres = spark.range(4).select("id", F.array(F.col("id").cast("double")).alias("centre"), F.lit(1).alias("size"), F.lit(0.0).alias("mean_norm"))
+    rows = spark.range(5).select(F.array(F.col("id").cast("double")).alias("v"))
+    assert {r["assigned"] for r in cl.assign_nearest(rows, "v", centres.limit(3), "id").collect()} == {0, 1, 2}
+    with pytest.raises(Exception, match="more clusters than 3"):
+        cl.assign_nearest(rows, "v", centres, "id").collect()
+
+
+def test_linear_recurrence(spark, monkeypatch):
+    """Blocks of a few positions, gaps, and a long axis: as a loop."""
+    for decay, alpha, last in ((0.5, 0.8, 200), (30, 0.3, 300), (30, 0.999, 3000)):
+        monkeypatch.setattr(od, "DECAY", decay)
+        rows = [(k, i, float((i * 7 + k) % 5)) for k in (1, 2) for i in range(last) if (i + k) % 13]
+        got = {(r["k"], r["i"]): r["v"] for r in od.decayed_sum(spark.createDataFrame(rows, "k long, i long, x double"), ["k"], "i", F.col("x"), alpha, "v").collect()}
+        held = {(k, i): x for k, i, x in rows}
+        for k in (1, 2):
+            v = 0.0
+            for i in range(last):
+                v = alpha * v + held.get((k, i), 0.0)
+                if (k, i) in held:
+                    assert got[k, i] == pytest.approx(v, rel=1e-11, abs=1e-12)
+
+
+def test_chain_of_ten_thousand(spark):
+    """Neighbours in time, each the predecessor of the next: rounds grow with the logarithm of the reach."""
+    n, reach = 10_000, 8000.0
+    seqs = spark.range(n).select(F.lit(1).alias("match_id"), F.lit(0).alias("period"), F.col("id").alias("cand_id"), (F.col("id") * 10.0).alias("start_ms"),
+                                 (F.col("id") * 10.0 + 9).alias("end_ms"))
+    rules = sg.SegmentRules(chain_gap_ms=5, chain_reach_ms=reach)
+    wanted = seqs.where("cand_id % 2500 = 2499").select("match_id", "period", "cand_id")
+    out = {r["cand_id"]: r for r in sg.chain_before(seqs, wanted, Blocks.every(1000), rules=rules).collect()}
+    assert set(out) == {2499, 4999, 7499, 9999}
+    for i, r in out.items():
+        assert (r["chain_start"], r["n_added"]) == ((i - 800) * 10.0, 800)
+        assert [m["cand_id"] for m in r["members"]] == list(range(i - 800, i))
+
+
 def test_typology_label(spark):
     df = spark.createDataFrame([("T2",), ("0",), ("3.0",), ("Contraataque",), (None,), ("",), ("nan",)], "c string")
     assert [r[0] for r in df.select(typology_label("c")).collect()] == ["Tipología 3", "Tipología 1", "Tipología 4", "Contraataque", "-", "-", "-"]
