@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Native: DataFrame functions only. The documents of each source are cut into blocks of ``block_docs`` (in hashed order). Time is
-counted in slots of one block, in periods of Q slots; a source has q of the Q slots, its target weight rounded to whole slots
-(largest remainders, one at least). Its block j of a period is released at floor(j Q / q) and due by
+counted in slots of one block, in periods of Q slots; a source has q of the Q slots. Given weights are taken as whole numbers q with Q their
+sum, exactly, up to Q = EXACT_SLOTS; larger sums, and the default, are rounded to SLOTS slots (largest remainders, one at least), which then are the target. Its block j of a period is released at floor(j Q / q) and due by
 ceil((j + 1) Q / q). Each slot goes to the released block with the earliest deadline (ties: the smaller source name).
 The shares fill the period exactly, so every block meets its window and no source is ever a whole block ahead of or behind its weight.
 At the end of a period all shares are whole, so one period's slots serve for all; a source that has run out leaves its
@@ -19,6 +19,9 @@ are ignored by ``schedule`` and kept by ``mixed``.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from .common import cut, scan
 
 BLOCK_DOCS = 16
 SLOTS = 1000
+EXACT_SLOTS = 1 << 15
 BUCKET_ROWS = 512
 CARRY_BUCKETS = 4096
 
@@ -42,22 +46,35 @@ PICKS = """aggregate(sequence(0, period - 1), named_struct('done', transform(sha
   a -> a.picks)"""
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers of the same ratios, without a common divisor; each counts as the decimal number it is written as."""
+    given = {name: Fraction(str(w)) for name, w in weights.items()}
+    if min(given.values()) <= 0:
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*(w.denominator for w in given.values()))
+    numbers = {name: int(w * scale) for name, w in given.items()}
+    common = math.gcd(*numbers.values())
+    return {name: n // common for name, n in numbers.items()}
+
+
 def plan(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, slots: int = SLOTS) -> DataFrame:
     """One row per source: __s, n (documents), q (slots a period), period, at (its slots in a period)."""
     counts = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count("*").alias("n"))
     if weights:
-        least = min(weights.values())
-        w = F.lit(float(least))
-        for name, weight in weights.items():
-            w = F.when(F.col("s") == name, F.lit(float(weight))).otherwise(w)
-        w = F.greatest(F.lit(1), F.floor(w * (1_000_000 / max(weights.values()))))
+        whole = whole_weights(weights)
+        w = F.lit(min(whole.values()))
+        for name, weight in whole.items():
+            w = F.when(F.col("s") == name, F.lit(weight)).otherwise(w)
     else:
         w = F.floor(F.sqrt("n") * 1000)
     one = counts.agg(F.array_sort(F.collect_list(F.struct("s", "n", w.cast("long").alias("w")))).alias("sources")).where(F.size("sources") > 0)
-    one = one.withColumn("period", F.greatest(F.lit(slots), 4 * F.size("sources"))).withColumn(
-        "total", F.aggregate("sources", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
+    one = one.withColumn("total", F.aggregate("sources", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
+    # weights of one's own that fit are the shares themselves: a period is as many slots as their sum
+    exact = F.lit(bool(weights)) & (F.col("total") <= EXACT_SLOTS)
+    one = one.withColumn("exact", exact).withColumn("period", F.when(exact, F.col("total")).otherwise(F.greatest(F.lit(slots), 4 * F.size("sources"))).cast("int"))
     one = one.withColumn("spare", F.expr("period - aggregate(sources, 0L, (a, x) -> a + 1 + x.w * (period - size(sources)) div total)"))
-    one = one.withColumn("shares", F.array_sort(F.expr(SHARES))).withColumn("picks", F.expr(PICKS))
+    one = one.withColumn("shares", F.when(F.col("exact"), F.expr("transform(sources, x -> named_struct('s', x.s, 'n', x.n, 'q', x.w))"))
+                         .otherwise(F.array_sort(F.expr(SHARES)))).withColumn("picks", F.expr(PICKS))
     rows = one.select("period", "picks", F.posexplode("shares").alias("i", "x"))
     at = F.filter(F.transform("picks", lambda p, t: F.when(p == F.col("i"), t)), lambda t: t.isNotNull())
     return cut(rows.select(F.col("x.s").alias("__s"), F.col("x.n").alias("n"), F.col("x.q").cast("long").alias("q"),
@@ -79,20 +96,20 @@ def schedule_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
     keyed = keyed.withColumn("__s", F.struct("__s"))  # a NULL name inside a struct is an ordinary key
     sizes = cut(keyed.groupBy("__s", "__b").agg(F.count("*").alias("__n")))
     ranked = ordered(sizes, ["__s"], ["__b"], Blocks.every(CARRY_BUCKETS), running={"__end": F.col("__n")})
-    named = by_source.withColumn("__s", F.struct("__s")).drop("n")
+    named = by_source.select(F.struct("__s").alias("__s"), F.col("q").alias("__q"), F.col("period").alias("__period"), F.col("at").alias("__at"))
     first = F.col("__end") - F.col("__n")
     low, high = F.floor(first / block_docs), F.floor((F.col("__end") - 1) / block_docs)
-    own = F.transform(F.sequence(low.cast("long"), high.cast("long")), lambda b: F.floor(b / F.col("q")) * F.col("period")
-                      + F.get(F.col("at"), (b % F.col("q")).cast("int")))
-    starts = ranked.join(named, "__s").select("__s", "__b", first.alias("__first"), "q", "period", own.alias("__own"))
+    own = F.transform(F.sequence(low.cast("long"), high.cast("long")), lambda b: F.floor(b / F.col("__q")) * F.col("__period")
+                      + F.get(F.col("__at"), (b % F.col("__q")).cast("int")))
+    starts = ranked.join(named, "__s").select("__s", "__b", first.alias("__first"), "__q", "__period", own.alias("__own"))
     order = Window.partitionBy("__s", "__b").orderBy(F.col(doc_id).asc_nulls_first())
     rank = F.col("__first") + F.col("__r") - 1
     placed = keyed.withColumn("__r", F.row_number().over(order)).join(starts, ["__s", "__b"])
     placed = placed.withColumn("__rank", rank).withColumn("__block", F.floor(F.col("__rank") / block_docs))
-    turn, lap = F.col("__block") % F.col("q"), F.floor(F.col("__block") / F.col("q")) * F.col("period")
+    turn, lap = F.col("__block") % F.col("__q"), F.floor(F.col("__block") / F.col("__q")) * F.col("__period")
     return placed.select(
-        *docs.columns, "__block", (lap + F.floor(turn * F.col("period") / F.col("q"))).alias("__release"),
-        (lap + F.ceil((turn + 1) * F.col("period") / F.col("q"))).alias("__deadline"),
+        *docs.columns, "__block", (lap + F.floor(turn * F.col("__period") / F.col("__q"))).alias("__release"),
+        (lap + F.ceil((turn + 1) * F.col("__period") / F.col("__q"))).alias("__deadline"),
         F.get("__own", (F.col("__block") - F.floor(F.col("__first") / block_docs)).cast("int")).alias("__slot"),
         (F.col("__rank") % block_docs).cast("int").alias("__place"))
 
