@@ -1,7 +1,7 @@
 """Chat formatting with relational operators: one formatted text per conversation and its loss mask.
 
-Rows are ordered inside their conversation, neighbouring turns of one role are merged into one frame, and the
-pieces are sorted as collected structs and concatenated; only Spark expressions are used.
+The turns of a conversation are collected as structs, sorted, and folded by array aggregation: a turn of the same role as the one before goes on
+in its frame, another one closes it and opens its own; the fold also lays the loss mask. Only Spark expressions are used.
 
 Template: ``[SYS]text[/SYS]``, ``[INST]text[/INST]``, ``<s>text</s>`` for system, user and assistant, and
 ``[ROLE:name]text[/ROLE:name]`` for any other role. A further turn of the same role continues the open frame
@@ -17,7 +17,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scan
@@ -49,23 +49,25 @@ def _mark(role: Column, sign: str) -> Column:
 
 
 def formatted(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, formatted, loss_mask), one row per conversation."""
+    """(conv, formatted, loss_mask), one row per conversation: its sorted turns folded into frames, pieces and mask."""
     r, x = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
-    slim = rows.select(F.col(conv).alias("c"), F.col(turn).alias("t"), r.alias("r"), x.alias("x"))
-    order = Window.partitionBy("c").orderBy(F.col("t").asc_nulls_first(), "r", "x")
-    near = slim.withColumns({"before": F.lag("r").over(order), "after": F.lead("r").over(order)})
-    head = F.when(F.col("before") == F.col("r"), _mark(F.col("r"), "+")).otherwise(_mark(F.col("r"), ""))
-    tail = F.when(F.col("after") == F.col("r"), F.lit("")).otherwise(_mark(F.col("r"), "/"))
-    parts = near.withColumns({"head": head, "body": escaped(F.col("x")), "tail": tail})
-    size = F.char_length("head") + F.char_length("body") + F.char_length("tail")
-    placed = parts.withColumn("end", F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("end") - F.char_length("tail") - F.char_length("body")
-    piece = F.struct("end", F.concat("head", "body", "tail").alias("piece"), (F.col("r") == LOSS_ROLE).alias("loss"),
-                     start.alias("start"), F.char_length("body").cast("long").alias("length"))
-    turns = placed.groupBy("c").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
-    mask = F.transform(F.filter("turns", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
-    return turns.select(F.col("c").alias(conv), F.array_join(F.transform("turns", lambda p: p["piece"]), "").alias("formatted"),
-                        mask.alias("loss_mask"))
+    said = F.struct(F.col(turn).alias("t"), r.alias("r"), x.alias("x"))
+    turns = rows.groupBy(F.col(conv).alias("c")).agg(F.array_sort(F.collect_list(said)).alias("turns"))
+    none = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("pieces"), F.lit(0).cast("long").alias("at"),
+                    F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))
+
+    def add(now: Column, t: Column) -> Column:
+        mark = (F.when(now["role"].isNull(), _mark(t["r"], "")).when(now["role"] == t["r"], _mark(t["r"], "+"))
+                .otherwise(F.concat(_mark(now["role"], "/"), _mark(t["r"], ""))))
+        body = escaped(t["x"])
+        start, length = now["at"] + F.char_length(mark), F.char_length(body).cast("long")
+        span = F.struct(start.alias("start"), length.alias("length"))
+        return F.struct(t["r"].alias("role"), F.array_append(now["pieces"], F.concat(mark, body)).alias("pieces"), (start + length).alias("at"),
+                        F.when(t["r"] == LOSS_ROLE, F.array_append(now["mask"], span)).otherwise(now["mask"]).alias("mask"))
+
+    done = turns.select("c", F.aggregate("turns", none, add).alias("f"))
+    return done.select(F.col("c").alias(conv), F.concat(F.array_join("f.pieces", ""), _mark(F.col("f.role"), "/")).alias("formatted"),
+                       F.col("f.mask").alias("loss_mask"))
 
 
 def read_back(text: Column) -> Column:
