@@ -62,10 +62,10 @@ def kept_runs(dropped: Column, n_lines: Column) -> Column:
 
 
 def _decided(docs: DataFrame, doc_id: str, text: str, **rules) -> DataFrame:
-    lost = dropped_lines(docs, doc_id, text, **rules)
+    lost = dropped_lines(docs, doc_id, text, **rules).withColumnRenamed("dropped", "__dropped")
     none = F.array().cast("array<int>")
     return (_keyed(docs, doc_id, text).join(lost, ROW, "left")
-            .withColumn("dropped", F.coalesce("dropped", none)))
+            .withColumn("__dropped", F.coalesce("__dropped", none)))
 
 
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
@@ -81,14 +81,14 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped``, ``keep`` and ``kept_text``: the bitmap applied to the text."""
-    own = docs.drop("n_lines", "n_dropped", "keep", "kept_text", "dropped")
+    own = docs.drop("n_lines", "n_dropped", "keep", "kept_text")
     rows = _decided(own, doc_id, text, **rules).withColumn("__lines", _lines(F.col(text)))
     n = F.size("__lines")
-    rows = rows.withColumn("keep", kept_runs(F.col("dropped"), n))
+    rows = rows.withColumn("keep", kept_runs(F.col("__dropped"), n))
     kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(F.col("__lines"), r["first"] + 1, r["length"]))), "\n")
     whole = F.coalesce(F.col(text), F.lit(""))
-    return rows.select(*own.columns, n.cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "keep",
-                       F.when(F.size("dropped") == 0, whole).otherwise(kept).alias("kept_text"))
+    return rows.select(*own.columns, n.cast("long").alias("n_lines"), F.size("__dropped").cast("long").alias("n_dropped"), "keep",
+                       F.when(F.size("__dropped") == 0, whole).otherwise(kept).alias("kept_text"))
 
 
 def op8(spark, sf):
