@@ -17,7 +17,9 @@ no rows out. Extra columns stay; a column named ``spans`` is replaced.
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,7 @@ from .common import scan, small_batches
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *KINDS]
 FIT_DOCS = 2000
+FIT_CHARS = 20_000
 SURPLUS = 8
 ROUNDS = 30
 DAMPING = 0.5
@@ -108,33 +111,43 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     return found, areas
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in taken)
+class Taken:
+    """Spans of a text, asked whether any overlaps another one: by binary search over the starts and the furthest end so far."""
+
+    def __init__(self, found: list[tuple[int, int]]):
+        self.starts = [a for a, _ in sorted(found)]
+        self.reach = list(itertools.accumulate((b for _, b in sorted(found)), max))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.reach[i - 1] > a
+
+
+def _edge(c: str) -> bool:
+    return c.isspace() or c in "<>()[]{},;:\"'"
 
 
 def nodes_of(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, label, key) of a text's nodes by position; label -1 for tokens that no base span covers."""
     found, areas = base_spans(text)
     nodes = [(a, b, LABELS.index(k), _key(text[a:b])) for k, a, b in found]
-    taken = sorted((a, b) for _, a, b in found)
-    low = 0
+    taken = Taken([(a, b) for _, a, b in found])
     for at, end in areas:
-        while low < len(taken) and taken[low][1] <= at:
-            low += 1
-        high = low
-        while high < len(taken) and taken[high][0] < end:
-            high += 1
-        near = taken[low:high]
         for m in TOKEN.finditer(text, at, end):
-            if sum("0" <= c <= "9" for c in m.group()) >= 7 and not (near and _overlaps(near, m.start(), m.end())):
+            if sum("0" <= c <= "9" for c in m.group()) >= 7 and not taken.overlaps(m.start(), m.end()):
                 nodes.append((m.start(), m.end(), -1, _key(m.group())))
-    at = text.find("@")
+    at, seen, first, m = text.find("@"), -1, -1, None
     while at >= 0:
         left = at
-        while left > 0 and not (text[left - 1].isspace() or text[left - 1] in "<>()[]{},;:\"'"):
+        while left > 0 and left - 1 != seen and not _edge(text[left - 1]):
             left -= 1
-        m = AT_TOKEN.match(text, left)
-        if m and m.end() - left > 5 and not any(x < m.end() and left < y for x, y in taken):
+        # no edge since the last sign: the token starts where that one's does
+        if left > 0 and left - 1 == seen:
+            left = first
+        if left != first:
+            m = AT_TOKEN.match(text, left)
+        seen, first = at, left
+        if m and m.end() - left > 5 and not taken.overlaps(left, m.end()):
             nodes.append((left, m.end(), -1, _key(m.group())))
         at = text.find("@", max(at + 1, m.end() if m else 0))
     return sorted(nodes)
@@ -301,8 +314,8 @@ def find(texts: list[str], w: Weights) -> list[list[dict]]:
     return [spans.listed(f, KINDS) if f else [] for f in out]
 
 
-def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = FIT_DOCS) -> Weights:
-    """Weights from at most ``limit`` documents: of a share of all ids by hash that holds some times ``limit``, those
+def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = FIT_DOCS, chars: int = FIT_CHARS) -> Weights:
+    """Weights from at most ``limit`` documents and ``chars`` code points of each: of a share of all ids by hash that holds some times ``limit``, those
     with the smallest hash; so the tasks send on a bounded number of rows, however many they are."""
     share = max(1, docs.count() // (SURPLUS * limit))
     h = F.xxhash64(doc_id)
@@ -311,7 +324,8 @@ def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: i
     ids = [r[0] for r in picked.collect()]
     if not ids:
         return prior()
-    rows = docs.where(F.col(doc_id).isin(ids)).select(text).limit(limit).collect()
+    rows = docs.where(F.col(doc_id).isin(ids)).select(F.substring(text, 1, chars).alias("t"), h.alias("h"), F.xxhash64(text).alias("v"))
+    rows = rows.orderBy("h", "v").limit(limit).collect()
     return fit(graph_of([r[0] for r in rows if r[0]]))
 
 
