@@ -33,6 +33,7 @@ from .common import scan, small_batches
 
 UNKNOWN = "und"
 FIT_DOCS = 300
+MOST_LABELS = 128
 SURPLUS = 4
 FIT_CHARS = 3000
 TABLE = 1 << 18
@@ -95,9 +96,23 @@ def _normal(a: np.ndarray, axes) -> np.ndarray:
 
 def marginals(logp: np.ndarray, lengths: np.ndarray, steps: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Label distributions of the words of many chains (one after the other), by forward-backward."""
+    return messages(logp, lengths, steps, block)[0]
+
+
+def pair_marginals(p: np.ndarray, ahead: np.ndarray, steps: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Joint label distributions of the words ``second`` and those before them: forward message x step x what the word and all after it say,
+    which is its distribution without the forward message."""
+    a = np.exp(steps - steps.max())
+    before = ahead[second - 1]
+    rest = p[second] / np.maximum(before @ a, 1e-300)
+    return before[:, :, None] * a * rest[:, None, :]
+
+
+def messages(logp: np.ndarray, lengths: np.ndarray, steps: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(label distributions, forward messages) of the words of many chains."""
     n, labels = logp.shape
     if not n:
-        return np.zeros((0, labels))
+        return np.zeros((0, labels)), np.zeros((0, labels))
     e = np.exp(logp - logp.max(1, keepdims=True)).astype(np.float64) + 1e-30
     a = np.exp(steps - steps.max())
     blocks = -(-lengths // block)
@@ -141,12 +156,13 @@ def marginals(logp: np.ndarray, lengths: np.ndarray, steps: np.ndarray, block: i
         v = np.where(real[:, k], _normal(moved * grid[:, k], 1), v)
         ahead[:, k] = v
     v = right
+    forward = ahead[row, col]
     for k in range(block - 1, -1, -1):
         ahead[:, k] = _normal(ahead[:, k] * v, 1)
         back = (grid[:, k] * v) @ a.T
         if k:
             v = np.where(real[:, k], _normal(back, 1), v)
-    return ahead[row, col]
+    return ahead[row, col], forward
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.5, batch: int = 40, seed: int = 1) -> Model | None:
@@ -173,7 +189,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.5,
             place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
             unique = list(place)
             at = np.array([place[w] for w in flat])
-            p = marginals(model.scores(unique)[at], lengths, model.steps)
+            p, ahead = messages(model.scores(unique)[at], lengths, model.steps)
             miss = np.eye(n)[gold] - p
             per_word = np.zeros((len(unique), n))
             np.add.at(per_word, at, miss)
@@ -184,14 +200,13 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.5,
             np.add.at(total, back, grad)
             g_table[used] += total ** 2
             model.table[used] += rate * total / np.sqrt(g_table[used])
-            # transitions: observed pairs against pairs of independent neighbours under the marginals
+            # transitions: observed pairs against expected ones
             start = np.zeros(len(flat), bool)
             start[np.cumsum(lengths) - lengths] = True
             nxt = np.flatnonzero(~start)
             seen = np.zeros((n, n))
             np.add.at(seen, (gold[nxt - 1], gold[nxt]), 1)
-            pair = p[nxt - 1][:, :, None] * np.exp(model.steps)[None] * p[nxt][:, None, :]
-            step = (seen - _normal(pair, (1, 2)).sum(0)).astype(np.float32)
+            step = (seen - pair_marginals(p, ahead, model.steps, nxt).sum(0)).astype(np.float32)
             g_steps += step ** 2
             model.steps += rate * step / np.sqrt(g_steps)
     return model
@@ -251,7 +266,10 @@ def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     able = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     h = F.xxhash64(F.lit(7), doc_id)
     # of each language a share of the ids by hash that holds some times ``limit``: tasks send on a bounded number of rows
-    shares = [F.lit(v) for r in able.groupBy(lang).count().collect() for v in (r[0], max(1, r[1] // (SURPLUS * limit)))]
+    counts = able.groupBy(lang).count().limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages; a model has a table column for each")
+    shares = [F.lit(v) for r in counts for v in (r[0], max(1, r[1] // (SURPLUS * limit)))]
     if not shares:
         return None
     some = able.where(F.pmod(h, F.element_at(F.create_map(*shares), F.col(lang))) == 0)
@@ -300,9 +318,8 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 def op7(spark, sf):
     docs = scan(spark, sf, "documents")
-    model = fitted(docs)
-    return identified(docs.select("doc_id", "text"), model=model or Model([UNKNOWN], np.zeros((TABLE, 1), np.float32), np.zeros((1, 1), np.float32))) \
-        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "switches")
+    found = small_batches(docs.select("doc_id", "text")).withColumn("l", languages(F.col("text"), fitted(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("l.lang").alias("lang_pred"), "l.score", "l.switches")
 
 
 QUERIES = {"op7_lang_id": op7}
