@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of ``docs``. Only decisions of the operators remove rows:
 
 * ``language_id`` removes texts without a letter and texts in which no language has ``LEAST_SHARE`` of the words; its model learns from
-  the labelled documents that are not held out.
+  the labelled documents that are not held out. Without any such document nothing can be learned, and all documents stay.
 * ``exact_dedup`` keeps the row with the largest id of equal texts (A-Z lower-cased).
 * ``near_dedup`` keeps the row with the smallest id of each class of near copies.
 * ``mix_sources`` keeps every row and writes them in the order of the Pfair schedule, so any run of whole blocks holds the target
@@ -20,12 +20,16 @@ from matchflow.lineage import cut
 from matchflow.llm import bpe, exact_dedup, lang_crf, near_dedup, pfair_mix
 
 LEAST_SHARE = 0.35
+FOUND = "__language"
 
 
 def language_id(spark, docs, sf_dir):
-    found = lang_crf.identified(docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("__row")))
-    fits = (F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return found.where(fits).select("__row.*")
+    model = lang_crf.fitted(docs)
+    if model is None:  # nothing to learn from: nothing is known about any text
+        return docs
+    found = lang_crf.small_batches(docs).withColumn(FOUND, lang_crf.languages(F.col("text"), model))
+    fits = (F.col(f"{FOUND}.lang") != lang_crf.UNKNOWN) & (F.col(f"{FOUND}.score") >= LEAST_SHARE)
+    return found.where(fits).select(*docs.columns)
 
 
 def exact(spark, docs, sf_dir):
