@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,9 +11,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import checkpoint_folder, cut
 
-__all__ = ["ascii_lower", "cut", "rows_of", "scan", "slices", "small_batches"]
+__all__ = ["Steps", "ascii_lower", "cut", "rows_of", "scan", "slices", "small_batches"]
 
 BATCH_BYTES = 8 << 20
 
@@ -54,3 +55,43 @@ def rows_of(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFra
     once = Window.partitionBy(doc_id, "__v").orderBy("__v")
     found = rows.join(names, same, "left_semi").withColumn("__n", F.row_number().over(once))
     return found.where("__n = 1").select(*docs.columns)
+
+
+class Steps:
+    """Written steps of one operator, removed from the checkpoint folder once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/steps-{uuid.uuid4().hex}"
+        self.passing: list[str] = []
+
+    def _written(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a step that ``clear`` removes."""
+        out, path = self._written(df)
+        self.passing.append(path)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a step that stays until ``remove``."""
+        return self._written(df)[0]
+
+    def made(self) -> list[str]:
+        return list(self.passing)
+
+    def clear(self, paths: list[str] | None = None) -> None:
+        """Removes the given steps, or all but the kept ones."""
+        for path in self.passing[:] if paths is None else paths:
+            self._delete(path)
+            self.passing.remove(path)
+
+    def remove(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

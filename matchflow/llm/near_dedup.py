@@ -10,7 +10,8 @@ texts of similarity 0.8 together with probability 0.9996. Equal sets are one nod
 
 * every group is compared with its hub, the node that shares most bands with others (groups of one family share one hub);
 * groups of up to SMALL nodes are also compared pair by pair, but for pairs that both are linked to the hub;
-* larger groups are regrouped without their hub. Each text is cut to its head: its shingles that the hub lacks, then those of the hub,
+* larger groups are regrouped without their hub. Texts that are linked to the hub and so near to it that, by the triangle inequality, no text that is not linked
+  there can be 0.8 like them, go. Each other text is cut to its head: its shingles that the hub lacks, then those of the hub,
   the rarer first in each part, until less than 0.8 of its weight is left. Two texts of similarity 0.8 have a common shingle in their
   heads (what is left of either is too little), so groups of one shingle each miss no link, whatever the texts share with the hub. A group
   by a shingle of the hub is needed for two texts that have no common shingle outside the hub; one of these then has at most
@@ -37,24 +38,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, scan, slices, small_batches
+from .common import Steps, cut, rows_of, scan, slices, small_batches
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 15, 4
 SAMPLES = BANDS * ROWS
-SMALL = 32
+SMALL = 16
 # agreements of 60 samples: 0.8 gives 48 +- 3.1, fewer than 34 once in 200,000; 24 stands for a similarity of 0.4
 LIKELY, ALIKE = 34, 24
 DF_BITS = 18
+NESTED = 4
 IDF_GAIN = 0.05
 # two texts without a common shingle outside their hub: one has at most this share of its weight there
 FEW_MORE = (1 - SIMILARITY) / (1 + SIMILARITY)
-NESTED = 4
 VARIATES = 1 << 14
 TEXT_BYTES = 1 << 20
 WORD = re.compile(r"\w+")
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), ord("_"), *range(128, 256)]] = True
+GRID, GRID_LEVELS = 64, 64
 FACTOR = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -68,13 +72,29 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts, number of words of each text). Words are found in one array of bytes; each distinct one is hashed once."""
+    lowered = []
+    for t in texts:
+        t = (t or "").lower()
+        if not t.isascii() and not all(c.isascii() or c.isalnum() for c in set(t)):
+            t = " ".join(WORD.findall(t))
+        lowered.append(t.encode("utf-8", "surrogatepass") + b" ")
+    data = np.frombuffer(b"".join(lowered), np.uint8)
+    inside = WORD_BYTES[data]
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    edges = np.r_[0, np.cumsum([len(b) for b in lowered])].astype(np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    offsets = np.r_[np.cumsum(inside)[starts] - 1, inside.sum()].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    named = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return named[words.indices.to_numpy()], np.diff(np.searchsorted(starts, edges))
+
+
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingles of each text in order, their counts, number of shingles of each text)."""
-    listed = [WORD.findall((t or "").lower()) for t in texts]
-    flat = [w for ws in listed for w in ws]
-    named = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(flat)}
-    h = np.fromiter(map(named.__getitem__, flat), np.uint64, len(flat))
-    size = np.array([len(ws) for ws in listed], np.int64)
+    h, size = _words(texts)
     doc = np.repeat(np.arange(len(texts)), size)
     total = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
@@ -92,10 +112,13 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
             few.append(value)
         shingles = np.concatenate([shingles, _mixed(np.array(few, np.uint64))])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((shingles, owner))
-    shingles, owner = shingles[order], owner[order]
+        order = np.argsort(owner, kind="stable")
+        shingles, owner = shingles[order], owner[order]
     if not len(shingles):
         return shingles, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    for low, high in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        shingles[low:high].sort()
     first = np.flatnonzero(np.r_[True, (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])])
     counts = np.diff(np.r_[first, len(shingles)])
     return shingles[first], counts, np.bincount(owner[first], minlength=len(texts))
@@ -136,33 +159,45 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 class Sampler:
     """ICWS in logarithms: the smallest value of a sample names the sampled (shingle, level).
 
-    The variates come from a table, so shingles of one slot have one value; the smaller hash of shingle and sample settles it,
-    and a sample holds the shingle besides the value: long texts agree no more often than they are alike.
+    The variates of a shingle come from a table by its hash. Log-weights are rounded to 1 / GRID (the exact similarity is not); the values of all slots at
+    the lowest GRID_LEVELS weights are worked out once, larger weights as they come. A value and 32 bits of the shingle's own hash are one
+    64-bit key, so one minimum settles shingles of one slot, and a sample names its shingle: long texts agree no more often than they are alike.
     """
 
     def __init__(self, samples: int = SAMPLES, seed: int = 5):
         rng = np.random.default_rng(seed)
-        r = rng.gamma(2, 1, VARIATES) + 1e-3
-        beta = rng.random(VARIATES)
-        log_c = np.log(rng.gamma(2, 1, VARIATES))
-        self.r, self.inverse, self.beta = (x.astype(np.float32) for x in (r, 1 / r, beta))
-        self.first = (log_c + r * beta - r).astype(np.float32)
+        self.r = rng.gamma(2, 1, VARIATES) + 1e-3
+        self.beta = rng.random(VARIATES)
+        self.log_c = np.log(rng.gamma(2, 1, VARIATES))
         self.odd = rng.integers(1, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = np.uint64(64 - int(np.log2(VARIATES)))
+        low = np.repeat(np.arange(GRID_LEVELS), VARIATES)
+        self.table = self._keys(low, np.tile(np.arange(VARIATES), GRID_LEVELS))
+
+    def _keys(self, level: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The values of weights exp(level / GRID), as unsigned numbers of the same order in the upper 32 bits."""
+        r = self.r[slot]
+        value = (self.log_c[slot] + r * self.beta[slot] - r - r * np.floor(level / GRID / r + self.beta[slot])).astype(np.float32)
+        bits = value.view(np.uint32)
+        ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+        return ordered.astype(np.uint64) << np.uint64(32)
 
     def samples(self, shingles: np.ndarray, log_weights: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Samples (texts, K) of the sets; texts without shingles must be left out."""
         start = np.cumsum(n) - n
+        level = np.rint(log_weights * GRID).astype(np.int64)
+        high = np.flatnonzero(level >= GRID_LEVELS)
+        base = np.where(level < GRID_LEVELS, level, 0) * VARIATES
         out = np.empty((len(n), len(self.odd)), np.uint64)
         for k, odd in enumerate(self.odd):
-            at = (shingles * odd >> self.shift).astype(np.int32)
-            level = np.floor(log_weights * self.inverse[at] + self.beta[at])
-            value = self.first[at] - self.r[at] * level
-            least = np.minimum.reduceat(value, start)
-            held = np.flatnonzero(value == np.repeat(least, n))
-            named = np.minimum.reduceat(_mixed(shingles[held] ^ odd), np.searchsorted(held, start))
-            out[:, k] = _mixed(named + least.view(np.uint32).astype(np.uint64) * np.uint64(FACTOR))
-        return out
+            product = shingles * odd
+            slot = (product >> self.shift).view(np.int64)
+            key = self.table[base + slot]
+            if len(high):
+                key[high] = self._keys(level[high], slot[high])
+            key |= product & np.uint64(0xFFFFFFFF)
+            out[:, k] = np.minimum.reduceat(key, start)
+        return _mixed(out)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -262,7 +297,7 @@ def _compared(idf: np.ndarray):
     return run
 
 
-def _hubs(held: DataFrame, nested: int) -> DataFrame:
+def _hubs(held: DataFrame, nested: int, cut) -> DataFrame:
     """(key, hub) of groups: the node with the most shared bands; in the first groups, the hub of a group that holds that node, if
     it shares more, so the groups of one family, each with another part of it, have one hub; in later ones, a node not linked yet."""
     own = held.groupBy("key").agg(F.max(F.struct("open", "score", (-F.col("node")).alias("neg"))).alias("top"))
@@ -275,11 +310,13 @@ def _hubs(held: DataFrame, nested: int) -> DataFrame:
     return hubs.select("key", (-F.col("top.neg")).alias("hub"))
 
 
-def _near(groups: DataFrame, score: DataFrame, nested: int) -> DataFrame:
-    """(key, whole, a, hub): the members of every group next to its hub; whole: to be compared pair by pair."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+def _near(groups: DataFrame, score: DataFrame, nested: int, cut) -> DataFrame:
+    """(key, whole, a, hub): the members of every group next to its hub; whole: to be compared pair by pair. Of groups with the same members
+    (as a rule all those that one family's common shingles make) one is left; two combined hashes of the members tell them apart."""
+    same = groups.groupBy("key").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"m{seed}") for seed in (1, 2)])
+    sizes = same.where("c > 1").groupBy("c", "m1", "m2").agg(F.min("key").alias("key")).select("key", "c")
     held = cut(groups.join(sizes, "key").join(score, "node"))
-    return cut(held.join(_hubs(held, nested), "key").where("node <> hub").select(
+    return cut(held.join(_hubs(held, nested, cut), "key").where("node <> hub").select(
         "key", ((F.col("c") <= SMALL) | F.lit(nested >= NESTED)).alias("whole"), F.col("node").alias("a"), "hub"))
 
 
@@ -290,7 +327,7 @@ def _agreements(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(1).astype(np.int32))], ["a", "b", "agree"])
 
 
-def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, marks: DataFrame, cut) -> DataFrame:
     """Distinct pairs (a, b) with the number of samples that agree."""
     left = marks.select(F.col("node").alias("a"), F.col("sign").alias("x"))
     right = marks.select(F.col("node").alias("b"), F.col("sign").alias("y"))
@@ -306,7 +343,7 @@ def _among(near: DataFrame, settled: str) -> DataFrame:
     return some.join(open_, "key", "left_semi").join(other, "key").where((F.col("a") < F.col("b")) & ~(F.col(settled) & F.col("too"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, cut) -> DataFrame:
     """Pairs (a, b, large) with their similarity and, if large, the head of a next to b."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
@@ -314,9 +351,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
                .mapInArrow(_compared(idf), "a long, b long, sim double, more array<long>, own int, few boolean"))
 
 
-def _judged(near: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _judged(near: DataFrame, marks: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
     """(pairs of texts and hubs to be compared, near with a flag: like the hub by the samples)."""
-    agreeing = _agreeing(near.select("a", F.col("hub").alias("b")), marks)
+    agreeing = _agreeing(near.select("a", F.col("hub").alias("b")), marks, cut)
     like = agreeing.select("a", F.col("b").alias("hub"), (F.col("agree") >= ALIKE).alias("like"))
     near = cut(near.join(like, ["a", "hub"]))
     # a text meets its hub in many groups; those of large groups are all compared
@@ -324,65 +361,82 @@ def _judged(near: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars.where("large OR like").select("a", F.col("hub").alias("b"), "large"), near
 
 
-def _to_read(near: DataFrame, marks: DataFrame) -> DataFrame:
+def _to_read(near: DataFrame, marks: DataFrame, cut) -> DataFrame:
     """Nodes whose shingles are needed: those like their hub, likely pairs of small groups, and the rest of large groups."""
-    likely = _agreeing(_among(near, "like"), marks).where(F.col("agree") >= LIKELY)
+    likely = _agreeing(_among(near, "like"), marks, cut).where(F.col("agree") >= LIKELY)
     starred = near.where("like").select(F.explode(F.array("a", "hub")).alias("node"))
     rest = near.where(~F.col("whole")).select(F.explode(F.array("a", "hub")).alias("node"))
     return cut(starred.union(likely.select(F.explode(F.array("a", "b")).alias("node"))).union(rest).distinct())
 
 
-def _links(near: DataFrame, stars: DataFrame, score: DataFrame, marks: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Verified links (a, b): near and stars of the first groups, then of those made from large groups until none are left."""
-    links, nested = None, 0
+def _open_rest(judged: DataFrame) -> DataFrame:
+    """(hub, a, linked) of large groups that can still hold links: a text not linked to a hub, or one near enough to it.
+
+    1 - similarity is a distance. Two texts of similarity 0.8 differ by at most 0.2 in their distance to the hub, so a linked text that is more than 0.2 nearer to
+    the hub than every text not linked there has no link to any of them."""
+    large = judged.where("NOT whole").groupBy("hub", "a").agg(F.max("sim").alias("sim"))
+    large = large.withColumn("linked", F.col("sim") >= SIMILARITY)
+    nearest = large.where(~F.col("linked")).groupBy("hub").agg(F.max("sim").alias("nearest"))
+    return large.join(nearest, "hub").where(~F.col("linked") | (F.col("sim") <= F.col("nearest") + (1 - SIMILARITY) + 1e-9)).select("hub", "a", "linked")
+
+
+def _links(near: DataFrame, stars: DataFrame, score: DataFrame, marks: DataFrame, sets: DataFrame, idf: np.ndarray, steps: Steps) -> DataFrame:
+    """Verified links (a, b): near and stars of the first groups, then of those made from large groups until none are left. A round's steps
+    are removed when the next round's groups are written."""
+    links, nested, cut = None, 0, steps
     while True:
-        done = _verified(stars, sets, idf)
+        done = _verified(stars, sets, idf, cut)
         now = done.where(F.col("sim") >= SIMILARITY).select("a", "b")
+        linked = done.select("a", F.col("b").alias("hub"), "sim")
+        judged = cut(near.join(linked, ["a", "hub"], "left").select(
+            "key", "whole", "a", "hub", "sim", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")))
+        pairs = _agreeing(_among(judged, "linked"), marks, cut).where(F.col("agree") >= LIKELY).withColumn("large", F.lit(False))
+        now = steps.keep(now.union(_verified(pairs, sets, idf, cut).where(F.col("sim") >= SIMILARITY).select("a", "b")))
         links = now if links is None else links.union(now)
-        linked = done.select("a", F.col("b").alias("hub"), (F.col("sim") >= SIMILARITY).alias("linked"))
-        judged = cut(near.join(linked, ["a", "hub"], "left").select("key", "whole", "a", "hub", F.coalesce("linked", F.lit(False)).alias("linked")))
-        pairs = _agreeing(_among(judged, "linked"), marks).where(F.col("agree") >= LIKELY).withColumn("large", F.lit(False))
-        links = links.union(_verified(pairs, sets, idf).where(F.col("sim") >= SIMILARITY).select("a", "b"))
-        # all linked to the hub: nothing to find
-        large = judged.where(~F.col("whole")).select("hub", "a", "linked").distinct()
-        unsettled = large.where(~F.col("linked")).select("hub").distinct()
-        listed = done.select("a", F.col("b").alias("hub"), F.posexplode("more").alias("pos", "s"), "own", "few")
-        again = cut(large.join(unsettled, "hub", "left_semi").join(listed, ["a", "hub"]).select(
-            F.xxhash64("hub", "s").alias("key"), F.col("a").alias("node"), (~F.col("linked")).alias("open"),
-            ((F.col("pos") < F.col("own")) | F.col("few")).alias("needed")))
+        heads = _open_rest(judged).join(done.select("a", F.col("b").alias("hub"), "more", "own", "few"), ["a", "hub"])
+        listed = heads.select("hub", "a", "linked", F.posexplode("more").alias("pos", "s"), "own", "few")
+        again = cut(listed.select(F.xxhash64("hub", "s").alias("key"), F.col("a").alias("node"), (~F.col("linked")).alias("open"),
+                                  ((F.col("pos") < F.col("own")) | F.col("few")).alias("needed")))
         going = again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open"), F.max("needed").alias("needed"))
         groups = cut(again.drop("needed").join(going.where("c > 1 AND open AND needed").select("key"), "key"))
         if groups.isEmpty():
+            steps.clear()
             return links
         nested += 1
-        near = _near(groups, score, nested)
-        stars, near = _judged(near, marks)
+        before = steps.made()
+        near = _near(groups, score, nested, cut)
+        stars, near = _judged(near, marks, cut)
+        steps.clear(before)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``class_id``, ``class_size``, ``kept`` and ``v``, the xxhash64 of its text."""
     slim = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("v"))
     idf = inverse_frequencies(slim)
-    rows = cut(slim.mapInArrow(_nodes(idf), NODES))
+    steps = Steps(docs.sparkSession)
+    rows = steps.keep(slim.mapInArrow(_nodes(idf), NODES))
     worded = rows.where("n > 0")
-    nodes = cut(worded.groupBy("f1", "f2").agg(F.min(F.struct("row", "id", "v", "bands", "sign")).alias("m"))
-                .select("f1", "f2", F.col("m.row").alias("node"), "m.id", "m.v", "m.bands", "m.sign"))
+    nodes = steps.keep(worded.groupBy("f1", "f2").agg(F.min(F.struct("row", "id", "v", "bands", "sign")).alias("m"))
+                       .select("f1", "f2", F.col("m.row").alias("node"), "m.id", "m.v", "m.bands", "m.sign"))
     listed = nodes.select("node", F.explode("bands").alias("key"))
-    met = cut(listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    groups = cut(listed.join(met, "key"))
-    score = cut(groups.groupBy("node").agg(F.sum("c").alias("score")))
+    met = steps(listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    groups = steps(listed.join(met, "key"))
+    score = steps.keep(groups.groupBy("node").agg(F.sum("c").alias("score")))
     marks = nodes.select("node", "sign")
-    stars, near = _judged(_near(groups.select("key", "node", F.lit(False).alias("open")), score, 0), marks)
-    wanted = cut(nodes.join(_to_read(near, marks), "node").select("node", F.col("id").alias("i"), F.col("v").alias("w")))
+    before = steps.made()
+    stars, near = _judged(_near(groups.select("key", "node", F.lit(False).alias("open")), score, 0, steps), marks, steps)
+    steps.clear(before)
+    wanted = steps(nodes.join(_to_read(near, marks, steps), "node").select("node", F.col("id").alias("i"), F.col("v").alias("w")))
     # one plan at every size, whether or not the wanted names could be broadcast
     texts = slim.join(wanted.hint("merge"), slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")))
     once = Window.partitionBy("id", "v").orderBy("node")
     texts = texts.withColumn("k", F.row_number().over(once)).where("k = 1").select("node", "text")
-    sets = cut(texts.mapInArrow(_sets, SETS))
-    links = _links(near, stars, score, marks, sets, idf)
+    sets = steps.keep(texts.mapInArrow(_sets, SETS))
+    links = _links(near, stars, score, marks, sets, idf, steps)
     named = worded.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("row", "id", "v", "node")
     named = named.join(components(links), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
     every = cut(named.select("row", "id", "v", "g").union(rows.where("n = 0").select("row", "id", "v", (-1 - F.col("row")).alias("g"))))
+    steps.remove()
     groups = cut(every.groupBy("g").agg(F.count("*").alias("class_size"), F.min(F.struct("id", "row")).alias("first")))
     return every.join(groups, "g").select(F.col("id").alias(doc_id), F.col("first.id").alias("class_id"), "class_size",
                                           (F.col("row") == F.col("first.row")).alias("kept"), "v")
