@@ -1,7 +1,8 @@
 """As-of, nearest and point-in-interval joins without cross products.
 
 ``asof``            union + one ordered pass: linear in both sides;
-``range_join``      equi join on time buckets, for results that list every (point, interval) pair;
+``range_join``      equi join on time buckets, for results that list every (point, interval) pair; with ``first`` one as-of lookup;
+``range_totals``    first and last point, sums and maxima of every interval, from blocks of blocks of points: no pairs;
 ``best_covering``   the one best interval over each point: overlaps are settled on the interval
                     side with a binary tree of time nodes, points then do one as-of lookup;
 ``nearest_interval``, ``exists_within`` are built from those.
@@ -83,11 +84,28 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return out.where(F.col(f"{prefix}time").isNotNull()) if how == "inner" else out
 
 
+def _known(*names: str) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, low: str, high: str,
-               bucket: float, how: str = "inner") -> DataFrame:
+               bucket: float, how: str = "inner", *, first: str | None = None, blocks: Blocks | None = None) -> DataFrame:
     """All (point, interval) pairs with low <= time <= high. Intervals are listed in every time
     bucket they touch, so the join is an equi join on (keys, bucket); adaptive execution splits
-    a bucket that is still too large. Interval columns must not clash with point columns."""
+    a bucket that is still too large. Interval columns must not clash with point columns.
+
+    With ``first`` (the column that orders points of equal time) only the pair of each interval with its first point: one
+    ordered pass on ``blocks``, linear however many points an interval holds."""
+    if first is not None:
+        if how != "inner" or blocks is None:
+            raise ValueError("first needs an inner join and blocks")
+        rows = points.where(_known(*keys)).select(*keys, F.col(time).alias("__at"), F.struct(*points.columns).alias("__row"))
+        held = intervals.where(_known(*keys) & (F.col(low) <= F.col(high)))
+        found = asof(held, rows, keys, low, "__at", ["__row"], blocks, direction="forward", tie=F.struct(f"__row.{first}"), prefix="__p_", how="inner")
+        return found.where(F.col("__p_time") <= F.col(high)).select("__p___row.*", *[c for c in intervals.columns if c not in keys])
     step = F.lit(float(bucket))
     spread = intervals.where(F.col(low) <= F.col(high)).withColumn(
         "__bucket", F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))))

@@ -163,7 +163,8 @@ def _first_pass(spark, sf):
     t = tracking(spark, sf).selectExpr(
         "match_id", "period", "match_time", "frame AS event_id", "array(CASE WHEN event_type = 'view' THEN 'pass' ELSE event_type END) AS event_types",
         "x", "y", "ball_x AS to_x", "ball_y AS to_y", "period = 0 AS attacks_high")
-    hit = sg.range_join(t, intervals(spark, sf), ["match_id", "period"], "match_time", "start_ms", "end_ms", HOUR)
+    hit = sg.range_join(t, intervals(spark, sf), ["match_id", "period"], "match_time", "start_ms", "end_ms", HOUR,
+                        first="event_id", blocks=blocks(spark, sf))
     out = sg.first_pass(hit, ["seq_id"])
     return out.select("seq_id", F.col("first_types")[0].alias("kind"), F.col("first_pass").cast("int").alias("first_pass"), r6("pass_m"), r6("pass_gain_m"))
 
