@@ -118,6 +118,71 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], time: s
     return out.select("p.*", *[F.col(f"i.{c}") for c in intervals.columns if c not in keys]).drop("__bucket")
 
 
+FOLD = 64
+
+
+def range_totals(points: DataFrame, intervals: DataFrame, keys: list[str], ids: list[str], time: str, low: str, high: str, order: list[str],
+                 body: list[str], counts: dict[str, Column], sums: dict[str, Column], tops: dict[str, Column], blocks: Blocks) -> DataFrame:
+    """Per (keys, ids) of the intervals that hold points: ``body`` of the first and the last point by (time, ``order``) as structs ``first`` and
+    ``last``, and the ``counts`` (whole numbers), ``sums`` (doubles; neither may be NULL) and ``tops`` (maxima) of the points with
+    low <= time <= high. Rows of one id count together.
+
+    Points and edges go through one ordered pass, which numbers the points and gives each interval its first and last number. Runs of ``FOLD``
+    numbers are gathered in one row, with their totals as a point of the next level. An interval takes from a level the parts of the
+    two runs it begins and ends in, and what lies between from the next level, so its work grows with the logarithm of the points it holds.
+    Where it lies in one run or two neighbours, its doubles are added point by point in order."""
+    spans = intervals.where(_known(*keys) & (F.col(low) <= F.col(high))).groupBy(*keys, *ids, low, high).agg(F.count("*").alias("__times"))
+    sides = [F.struct(F.col(c).cast("double").alias("__t"), F.lit(o).alias("__o")) for c, o in ((low, 0), (high, 2))]
+    edges = spans.select(*keys, F.struct(*ids, low, high, "__times").alias("__span"), F.explode(F.array(*sides)).alias("__e")).select(*keys, "__span", "__e.*")
+    held = points.where(_known(*keys, time)).select(
+        *keys, F.col(time).cast("double").alias("__t"), F.lit(1).alias("__o"), F.struct(*order).alias("__by"), F.struct(*body).alias("__body"),
+        F.struct(*[c.alias(n) for n, c in {**counts, **sums, **tops}.items()]).alias("__v"))
+    line = ordered(held.unionByName(edges, allowMissingColumns=True), keys, ["__t", "__o", "__by"], blocks, running={"__count": (F.col("__o") == 1).cast("long")})
+    line = cut(line.select(*keys, "__span", "__o", "__body", "__v", (F.col("__count") - 1).alias("__rank")))
+    asked = line.where("__o <> 1").groupBy(*keys, "__span").agg(
+        F.max(F.when(F.col("__o") == 0, F.col("__rank") + 1)).alias("__lo"), F.max(F.when(F.col("__o") == 2, F.col("__rank"))).alias("__hi"))
+    asked = cut(asked.where("__lo <= __hi"))
+    rows = line.where("__o = 1").select(*keys, "__rank", "__body", "__v")
+    most = rows.agg(F.max("__rank")).first()[0] or 0
+    bits = FOLD.bit_length() - 1
+    run, first_run, last_run = (F.call_function("shiftright", F.col(c), F.lit(bits)) for c in ("__rank", "__lo", "__hi"))
+    merged = F.struct(*[F.sum(f"__v.{n}").alias(n) for n in (*counts, *sums)], *[F.max(f"__v.{n}").alias(n) for n in tops])
+
+    def added(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+    def added(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    parts = None
+    while True:
+        runs = rows.groupBy(*keys, run.alias("__run")).agg(F.collect_list(F.struct("__rank", "__body", "__v")).alias("__in"), merged.alias("__v"))
+        visits = asked.select("*", F.explode(F.array_distinct(F.array(first_run, last_run))).alias("__run"))
+        got = visits.join(runs.drop("__v"), [*keys, "__run"]).withColumn("__in", F.array_sort(F.filter(
+            "__in", lambda r: (r["__rank"] >= F.col("__lo")) & (r["__rank"] <= F.col("__hi")))))
+        totals = [F.aggregate(F.col(f"__in.__v.{n}"), F.lit(0).cast("long"), lambda a, v: a + v).alias(n) for n in counts]
+        totals += [F.array_max(F.col(f"__in.__v.{n}")).alias(n) for n in tops]
+        # the second of two neighbours hands on its numbers, to be added to the first one's
+        follows = (F.col("__run") > first_run) & (last_run == first_run + 1)
+        totals += [F.when(follows, F.col(f"__in.__v.{n}")).otherwise(F.array(added(f"__in.__v.{n}"))).alias(n) for n in sums]
+        ends = [F.struct(F.element_at("__in", i)["__rank"].alias("r"), F.element_at("__in", i)["__body"].alias("b")).alias(n) for n, i in (("first", 1), ("last", -1))]
+        part = got.select(*keys, "__span", F.col("__run"), *(ends if parts is None else []), *totals)
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+        most >>= bits
+        if not most:
+            break
+        rows = cut(runs.select(*keys, F.col("__run").alias("__rank"), F.lit(None).cast("boolean").alias("__body"), "__v"))
+        asked = asked.select(*keys, "__span", (first_run + 1).alias("__lo"), (last_run - 1).alias("__hi")).where("__lo <= __hi")
+    whole = parts.groupBy(*keys, "__span").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(n).alias(n) for n in counts], *[F.max(n).alias(n) for n in tops],
+        F.array_sort(F.collect_list(F.struct("__run", *sums))).alias("__s"))
+    times = F.col("__span.__times")
+    return whole.groupBy(*keys, *[F.col(f"__span.{c}").alias(c) for c in ids]).agg(
+        F.min("first")["b"].alias("first"), F.max("last")["b"].alias("last"), *[F.sum(F.col(n) * times).alias(n) for n in counts],
+        *[F.sum(added(F.flatten(F.col(f"__s.{n}"))) * times).alias(n) for n in sums], *[F.max(n).alias(n) for n in tops])
+
+
 def exists_within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
                   window: float, blocks: Blocks, name: str) -> DataFrame:
     """Adds a flag: some right row of the key lies within +-window of the left row."""

@@ -16,7 +16,7 @@ from ..functions.geometry import PITCH_LENGTH, PITCH_WIDTH
 from ..functions.jsontext import has_event
 from ..lineage import cut
 from .events import attack_direction, mirror_by_direction
-from .intervals import Side, asof, asof_many, best_covering, range_join
+from .intervals import Side, asof, asof_many, best_covering, range_join, range_totals
 from .ordered import Blocks, ordered
 from .tracking import TRACKING_BLOCKS
 
@@ -245,17 +245,15 @@ def sequence_events_summary(ev: DataFrame, keys, rules: SegmentRules = SegmentRu
 # ----------------------------------------------------------------------------------- path I
 
 def sequence_metrics(seqs: DataFrame, frames: DataFrame, keys=("match_id", "period"), seq_id: str = "cand_id",
-                     rules: SegmentRules = SegmentRules()) -> DataFrame:
+                     rules: SegmentRules = SegmentRules(), blocks: Blocks = TRACKING_BLOCKS) -> DataFrame:
     """Ball geometry of every interval over the frames inside it that show the ball."""
     ball = frames.where(F.col("ball_x_m").isNotNull() & F.col("ball_y_m").isNotNull())
     columns = ["ball_x_m", "ball_y_m", "ball_x_norm", "ball_y_norm"]
-    pairs = range_join(ball.select(*keys, "frame", "match_time", "ball_speed", *columns),
-                       seqs.select(*keys, seq_id, "start_ms", "end_ms"), list(keys), "match_time", "start_ms", "end_ms",
-                       rules.bucket_ms)
-    order, body = F.struct("match_time", "frame"), F.struct("frame", *columns)
-    agg = pairs.groupBy(*keys, seq_id).agg(
-        F.min_by(body, order).alias("a"), F.max_by(body, order).alias("z"), F.max("ball_x_norm").alias("x_max_norm"),
-        F.avg("ball_speed").alias("mean_speed"), F.count("*").alias("n_frames"))
+    speed = F.col("ball_speed").cast("double")
+    totals = range_totals(ball, seqs, list(keys), [seq_id], "match_time", "start_ms", "end_ms", ["frame"], ["match_time", "frame", *columns],
+                          {"n_frames": F.lit(1).cast("long"), "__known": speed.isNotNull().cast("long")}, {"__speed": F.coalesce(speed, F.lit(0.0))},
+                          {"x_max_norm": F.col("ball_x_norm")}, blocks)
+    agg = totals.withColumnsRenamed({"first": "a", "last": "z"}).withColumn("mean_speed", F.try_divide("__speed", "__known"))
     return agg.where("n_frames >= 2").select(
         *keys, seq_id, F.col("a.frame").alias("start_frame"), F.col("z.frame").alias("end_frame"),
         *[F.col(f"a.{c}").alias(f"{c}_start") for c in columns], *[F.col(f"z.{c}").alias(f"{c}_end") for c in columns],
@@ -360,7 +358,7 @@ def from_provider(seqs: DataFrame, frames: DataFrame, events: DataFrame, teams:
         directions.select("match_id").distinct().withColumn("__k", F.lit(True)), "match_id", "left").select(
         "match_id", "cand_id", F.coalesce("attacks_high", F.col("__k"), F.col("period") == 0).alias("attacks_high"))
     summary = sequence_events_summary(found.join(high, ["match_id", "cand_id"]), ["match_id", "cand_id"], rules)
-    full = (both.join(sequence_metrics(both, frames, rules=rules), SEQ).join(summary, ["match_id", "cand_id"], "left")
+    full = (both.join(sequence_metrics(both, frames, rules=rules, blocks=blocks), SEQ).join(summary, ["match_id", "cand_id"], "left")
             .withColumns({"duration_s": (F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0),
                           "provider_s": (F.col("end_provider_ms") - F.col("start_provider_ms")) / F.lit(1000.0)}))
     full = preferred_metrics(full).withColumn("__v", classify_sequence(rules))

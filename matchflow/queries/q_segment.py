@@ -142,7 +142,7 @@ SELECT seq_id AS cand_id, count(*) AS n, round(sum(value), 3) AS total, max(fram
 
 
 def _seq_metrics(spark, sf):
-    out = sg.sequence_metrics(intervals(spark, sf), _frames(spark, sf), seq_id="seq_id", rules=RULES)
+    out = sg.sequence_metrics(intervals(spark, sf), _frames(spark, sf), seq_id="seq_id", rules=RULES, blocks=blocks(spark, sf))
     return out.select("seq_id", "start_frame", "end_frame", r6("path_m"), r6("gain_m"), r6("x_max_norm"), r6("mean_speed"), "n_frames")
 
 
