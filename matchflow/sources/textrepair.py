@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 MARKS = "[ÃÂâ\u008d\u0081�]"
 ENCODINGS = ("cp1252", "latin1")
 PASSES = 3
+BATCH_BYTES = 8 << 20
 
 
 def _undo(text: str) -> str | None:
@@ -38,6 +39,7 @@ def repair_text(s: pd.Series) -> pd.Series:
 
 
 def repair_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Repairs the given string columns, or all of them."""
+    """Repairs the given string columns, or all of them. Batches are limited by bytes as well as by rows, so that long texts cannot fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     names = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: repair_text(F.col(c)) for c in names})

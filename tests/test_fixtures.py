@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -271,6 +272,20 @@ def test_repair_text(spark):
     assert [r.t for r in df.orderBy("i").collect()] == [*good, None, "y"]
 
 
+def test_repair_batches_are_bounded(spark, monkeypatch):
+    """300 texts of 200 KB: 60 MB in one batch by rows alone."""
+    from matchflow.sources import textrepair
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    largest = F.pandas_udf(lambda s: pd.Series([int(s.str.len().sum())] * len(s)), "long")
+    monkeypatch.setattr(textrepair, "repair_text", largest)
+    rows = spark.range(300).coalesce(1).select("id", F.repeat(F.lit("Ãx"), 100_000).alias("t"))
+    try:
+        got = textrepair.repair_columns(rows, ["t"]).agg(F.max("t"), F.count("*")).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert got[1] == 300 and got[0] <= textrepair.BATCH_BYTES
+
+
 def test_catalogue_texts(spark):
     from matchflow.sources import catalogue as cat
     df = spark.createDataFrame([("C.D. Real de la Sierra Norte",), ("de la",), ("",)], "n string")
