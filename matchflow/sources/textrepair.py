@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ def _undo(text: str) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def repair_text(s: pd.Series) -> pd.Series:
+    # earlier batches are held by cycles of objects too few to start a collection by themselves
+    gc.collect()
     out = s.copy()
     todo = s.notna() & s.str.contains(MARKS, regex=True, na=False)
     # one pass more than PASSES: the last one also runs on text that stayed marked
