@@ -48,6 +48,7 @@ BALL_BLEND = {"anchor": 0.90, "before": 0.35, "after": 0.20, "setpiece": 0.98}
 
 KEYS = ["match_id", "period"]
 BLOCK_RANKS = 1 << 14
+REPLAY_ROWS = 1 << 16
 
 
 def match_events(events: DataFrame, tracking: DataFrame, rules: AlignRules = AlignRules(),
@@ -233,37 +234,55 @@ MOVED = "x double, y double, dx double, dy double, error_m double, moved boolean
 
 
 def _replay(ops: pd.DataFrame, rules: AlignRules) -> pd.DataFrame:
-    """Applies the events that touch the rows of one player's block, in order. A row of ``ops`` is a (track row, event) pair; events of other blocks come
-    with the shift found there (NaN: left alone, as far as known). Adds the place after each event, and for the block's own events their shift."""
-    ops = ops.sort_values(["event_no", "rank"], kind="stable").reset_index(drop=True)
-    ranks, at = np.unique(ops["rank"].to_numpy(), return_inverse=True)
-    here = np.full((len(ranks), 2), np.nan)
+    """Applies the events that touch the rows of each player's block, in order. A row of ``ops`` is a (track row, event) pair; events of other blocks come
+    with the shift found there (NaN: left alone, as far as known). Adds the place after each event, and for the block's own events their shift.
+    Blocks do not wait for each other: the first events of all of them are applied at once, then the second ones, and so on."""
+    unit = ops.groupby([*KEYS, "player_id", "block"], sort=False, dropna=False).ngroup().to_numpy()
+    number, rank = ops["event_no"].to_numpy(), ops["rank"].to_numpy()
+    order = np.lexsort((rank, number, unit))
+    other = np.diff(unit[order], prepend=-1) != 0
+    fresh = other | (np.diff(number[order], prepend=number[order][:1]) != 0)
+    event = np.cumsum(fresh) - 1
+    turn = event - np.maximum.accumulate(np.where(other, event, 0))
+    later = np.argsort(turn, kind="stable")
+    order, turn, event = order[later], turn[later], event[later]
+    ops, unit, rank = ops.iloc[order].reset_index(drop=True), unit[order], rank[order]
+    n = len(ops)
+    # the row that speaks for each event, its first one
+    first = np.maximum.accumulate(np.where(np.diff(event, prepend=-1) != 0, np.arange(n), 0))
+    sorted_ = np.lexsort((rank, unit))
+    at = np.empty(n, np.int64)
+    at[sorted_] = np.cumsum((np.diff(unit[sorted_], prepend=-1) != 0) | (np.diff(rank[sorted_], prepend=0) != 0)) - 1
+    here = np.full((n, 2), np.nan)
     here[at] = ops[["x0", "y0"]].to_numpy(float)
-    weight, anchor, own = ops["w"].to_numpy(float), ops["a_rank"].to_numpy(), ops["own"].to_numpy(bool)
-    throw, goal, given = ops["throw"].to_numpy(bool), ops[["tx", "ty"]].to_numpy(float), ops[["gx", "gy"]].to_numpy(float)
-    shown = ops["shown"].to_numpy(bool)
+    own, throw, shown = (ops[c].to_numpy(bool)[first] for c in ("own", "throw", "shown"))
+    goal, given = ops[["tx", "ty"]].to_numpy(float)[first], ops[["gx", "gy"]].to_numpy(float)[first]
+    # the place of the anchor row, which each event of the block's own touches
+    anchors = np.flatnonzero(rank == ops["a_rank"].to_numpy()[first])
+    anchor = np.zeros(n, np.int64)
+    anchor[first[anchors]] = at[anchors]
+    anchor = anchor[first]
+    weight = ops["w"].to_numpy(float)[:, None]
     span = np.array([rules.length, rules.width])
-    n = len(ops)
     after, shift, error, moved = np.full((n, 2), np.nan), np.full((n, 2), np.nan), np.full(n, np.nan), np.zeros(n, bool)
-    edges = np.r_[np.flatnonzero(np.r_[True, np.diff(ops["event_no"].to_numpy()) != 0]), n] if n else [0]
+    edges = np.r_[np.flatnonzero(np.diff(turn, prepend=-1) != 0), n] if n else [0]
     for lo, hi in zip(edges[:-1], edges[1:]):
-        rows, w = at[lo:hi], weight[lo:hi, None]
-        if own[lo]:
-            d = goal[lo] - here[np.searchsorted(ranks, anchor[lo])]
-            shift[lo:hi], error[lo:hi] = d, np.hypot(*(d * span))
-            goes = throw[lo] or not error[lo] <= rules.skip_m
-        else:
-            d, goes = given[lo], throw[lo] or shown[lo]
-        if goes:
-            here[rows] = (1 - w) * here[rows] + w * goal[lo] if throw[lo] else here[rows] + w * d
-            moved[lo:hi] = True
+        rows, w, mine, thrown = at[lo:hi], weight[lo:hi], own[lo:hi], throw[lo:hi]
+        found = goal[lo:hi] - here[anchor[lo:hi]]
+        far = np.hypot(*(found * span).T)
+        shift[lo:hi], error[lo:hi] = np.where(mine[:, None], found, np.nan), np.where(mine, far, np.nan)
+        goes = thrown | np.where(mine, ~(far <= rules.skip_m), shown[lo:hi])
+        d = np.where(mine[:, None], found, given[lo:hi])
+        to = np.where(thrown[:, None], (1 - w) * here[rows] + w * goal[lo:hi], here[rows] + w * d)
+        here[rows] = np.where(goes[:, None], to, here[rows])
+        moved[lo:hi] = goes
         after[lo:hi] = here[rows]
     return ops.assign(x=after[:, 0], y=after[:, 1], dx=shift[:, 0], dy=shift[:, 1], error_m=error, moved=moved)
 
 
 def _settled(ops: DataFrame, rules: AlignRules) -> DataFrame:
-    """``ops`` with the place after each event. Each (player, block) is one task's work; a block starts without the shifts of events
-    anchored in its neighbours. Shifts that reach over a border are passed on and the blocks that get another one than before are done again, until
+    """``ops`` with the place after each event. Each (player, block) is worked out alone, about ``REPLAY_ROWS`` rows of whole blocks in one
+    call; a block starts without the shifts of events anchored in its neighbours. Shifts that reach over a border are passed on and the blocks that get another one than before are done again, until
     none changes. An event is right once those before it are, so this ends; it takes one round more than there are borders in the longest chain
     of touching events, and where no window reaches over a border a single one."""
     player = [*KEYS, "player_id"]
@@ -273,8 +292,10 @@ def _settled(ops: DataFrame, rules: AlignRules) -> DataFrame:
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         return _replay(pdf, rules)[[f.name for f in schema]]
 
+    parts = -(-ops.count() // REPLAY_ROWS) or 1
+    part = F.pmod(F.xxhash64(*player, "block"), F.lit(parts)).alias("__part")
     none = {"gx": F.lit(None).cast("double"), "gy": F.lit(None).cast("double"), "shown": F.lit(False)}
-    done = cut(ops.withColumns(none).groupBy(*player, "block").applyInPandas(replay, schema))
+    done = cut(ops.withColumns(none).groupBy(part).applyInPandas(replay, schema))
     over = cut(ops.where("NOT own AND NOT throw").select(*player, "block", "event_no").distinct())
     if over.isEmpty():
         return done
@@ -292,7 +313,7 @@ def _settled(ops: DataFrame, rules: AlignRules) -> DataFrame:
             return done
         known = now
         again = ops.join(stale, [*player, "block"], "left_semi").join(now, [*player, "event_no"], "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
-        again = again.groupBy(*player, "block").applyInPandas(replay, schema)
+        again = again.groupBy(part).applyInPandas(replay, schema)
         done = cut(done.join(stale, [*player, "block"], "left_anti").unionByName(again))
 
 

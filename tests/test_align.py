@@ -186,3 +186,44 @@ def test_throw_in_outs_query(spark):
         want |= {(m, p, no): out for no, out in outs.items()}
     got = {(r[0], r[1], r[2]): r[3] for r in q_outputs.QUERIES["throw_in_outs"](spark, sf).collect()}
     assert got == want and len(got) > 20
+
+
+def test_replay_of_many_players_in_one_call(spark):
+    """Blocks of many players go to Python together: the same places as each block alone, and no call for each player."""
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    rows = []
+    for player in range(12):
+        base = rng.random((30, 2))
+        for no in rng.permutation(9)[:rng.integers(1, 9)].tolist():
+            a, throw, goal = int(rng.integers(0, 30)), bool(rng.random() < 0.3), rng.random(2)
+            own = bool(rng.random() < 0.8)
+            rows += [(1, 0, player, 0, no, r, a if own else 99, own, throw, rng.random(), *goal, *base[r], 0.1, -0.1, not own) for r in range(max(0, a - 4), min(30, a + 5))]
+    ops = pd.DataFrame(rows, columns="match_id period player_id block event_no rank a_rank own throw w tx ty x0 y0 gx gy shown".split()).sample(frac=1, random_state=1)
+    place = ["match_id", "period", "player_id", "block", "event_no", "rank"]
+    alone = pd.concat([align._replay(g, align.AlignRules()) for _, g in ops.groupby("player_id")]).sort_values(place).reset_index(drop=True)
+    pd.testing.assert_frame_equal(align._replay(ops, align.AlignRules()).sort_values(place).reset_index(drop=True), alone, check_exact=True)
+    # one event by hand: (the goal less the anchor's place) times the weight
+    one = ops[ops.own & ~ops.throw]
+    one = one[(one.player_id == one.player_id.iloc[0]) & (one.event_no == one.event_no.iloc[0])].sort_values("rank")
+    at = one[one["rank"] == one.a_rank].iloc[0]
+    got = align._replay(one, align.AlignRules()).sort_values("rank")
+    assert np.allclose(got.x, one.x0 + one.w * (at.tx - at.x0)) and np.allclose(got.y, one.y0 + one.w * (at.ty - at.y0)) and got.moved.all()
+
+
+def test_calls_of_replay_follow_rows_not_players(spark, tmp_path, monkeypatch):
+    seen, plain = str(tmp_path), align._replay
+
+    def counted(ops, rules):
+        import uuid
+        open(f"{seen}/{uuid.uuid4().hex}", "w").close()
+        return plain(ops, rules)
+
+    monkeypatch.setattr(align, "_replay", counted)
+    tracking = spark.range(2000).selectExpr("1L AS match_id", "0L AS period", "id % 200 AS player_id", "id AS frame", "CAST(id * 40 AS DOUBLE) AS match_time",
+                                            "0.2D AS x", "0.3D AS y", "0.5D AS ball_x", "0.5D AS ball_y")
+    events = tracking.where("frame >= 1000 AND frame < 1200").selectExpr("match_id", "period", "player_id", "match_time", "0.4D AS x", "0.3D AS y",
+                                                                         "CAST(NULL AS STRING) AS setpiece_type", "frame AS event_no")
+    out = align.apply_recalibration(tracking, events).where("frame >= 1000 AND frame < 1200")
+    assert out.where("abs(x - 0.4) < 1e-9").count() == 200
+    assert 0 < len(list(tmp_path.iterdir())) <= 4
