@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -106,32 +108,42 @@ def silhouette(df: DataFrame, vector: str, cluster: str, n_dims: int, name: str
 
 # ------------------------------------------------------------------------------------- k-means
 
+# rows of a partition: fewer are not worth a task of their own, more are split whatever the number of cores
+PART_ROWS = (1 << 12, 1 << 17)
+
 def fit_pipeline(df: DataFrame, k: int, vector: str = "features", seed: int = 42, restarts: int = 20) -> tuple[PipelineModel, float]:
-    """Scaling plus the best of ``restarts`` k-means fits (lowest cost); returns model and cost."""
+    """Scaling plus the best of ``restarts`` k-means fits (lowest cost); returns model and cost. All restarts share their passes."""
     stages, scaled, n = _scaling(df, vector)
     best, cost = _best_fit(scaled, k, n, seed, restarts)
-    scaled.unpersist()
     return PipelineModel([*stages, best]), cost
 
 
 def _scaling(df: DataFrame, vector: str) -> tuple[list, DataFrame, int]:
-    """(scaling stages, the scaled rows kept in memory, their number)."""
+    """(scaling stages, the scaled rows dealt for many passes, their number)."""
     rows = df.withColumn("__raw", array_to_vector(F.col(vector).cast("array<double>")))
     n = rows.count()
     scaler = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True).fit(rows)
     factor = sqrt(n / (n - 1)) if n > 1 else 1.0  # sample deviation to population deviation
     stretch = ElementwiseProduct(scalingVec=[factor] * len(scaler.mean), inputCol="__z", outputCol="__scaled")
-    return [scaler, stretch], stretch.transform(scaler.transform(rows)).select("__scaled").persist(), n
+    scaled = stretch.transform(scaler.transform(rows)).select(vector_to_array("__scaled").alias("__scaled"))
+    # a small file is one partition: dealt anew, a pass keeps all cores busy
+    parts = max(min(-(-n // PART_ROWS[0]), df.sparkSession.sparkContext.defaultParallelism), -(-n // PART_ROWS[1]), 1)
+    return [scaler, stretch], scaled.repartition(parts), n
 
 
 def _best_fit(scaled: DataFrame, k: int, n: int, seed: int, restarts: int) -> tuple[KMeansModel, float]:
-    best, cost = None, None
-    for i in range(restarts):
-        model = KMeans(k=min(k, n), seed=seed + i, featuresCol="__scaled", predictionCol="cluster", maxIter=300,
-                       tol=1e-4).fit(scaled)
-        if cost is None or model.summary.trainingCost < cost:
-            best, cost = model, model.summary.trainingCost
-    return best, float(cost)
+    blocks = lloyd.blocks_of(scaled, "__scaled")
+    first = lloyd.starts(blocks, min(k, n), [seed + i for i in range(restarts)])
+    best = min(lloyd.fit_blocks(blocks, first), key=lambda f: f.cost)
+    blocks.unpersist()
+    return _as_model(scaled.sparkSession, best.centres), float(best.cost)
+
+
+def _as_model(spark: SparkSession, centres: np.ndarray) -> KMeansModel:
+    """Spark's model with these centres: a fit on the centres themselves, all of which are drawn as starts, moves none."""
+    apart = np.unique(centres, axis=0)
+    rows = spark.createDataFrame([(Vectors.dense(c),) for c in apart], ["__scaled"])
+    return KMeans(k=max(2, len(apart)), initMode="random", featuresCol="__scaled", predictionCol="cluster", maxIter=1).fit(rows)
 
 
 def apply_model(df: DataFrame, model: PipelineModel, vector: str = "features", fill: float = 0.0) -> DataFrame:

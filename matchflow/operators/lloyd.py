@@ -1,10 +1,11 @@
 """k-means of many models at once: every k and restart moves its centres in the same pass over the rows.
 
-A pass compares each batch of rows with the centres of all models still moving, and hands on one row per (model, cluster): number of
-rows, their sum, their squared norms and distances. So an iteration is one aggregation whatever the number of models, and what reaches the driver is
-as large as the centres. Models are worked through in groups of at most ``CENTRE_NUMBERS`` numbers, which bounds what tasks are sent.
+Rows are packed once into kept blocks of numbers. A pass compares each block with the centres of all models still moving, and adds up by a tree, per (model,
+cluster), the number of rows, their sum, their squared norms and distances. So an iteration is one short job whatever the number of models, and what reaches the
+driver is as large as the centres. Models are worked through in groups of at most ``CENTRE_NUMBERS`` numbers, which bounds what tasks are sent.
 
-Starts are drawn by k-means++ from at most ``SEED_ROWS`` rows (those with the smallest hashes, so the same on every run); all rows take part in every pass.
+Starts are drawn by k-means++, either from at most ``SEED_ROWS`` rows (``start``: those with the smallest hashes, so the same on every run) or from all rows
+(``starts``: one pass a centre, for all models at once); all rows take part in every pass.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED_ROWS = 4096
 CENTRE_NUMBERS = 4 << 20
 BATCH_ROWS = 2048
-STATS = "model int, cluster int, n long, cost double, norm double, sums array<double>"
 
 
 @dataclass
@@ -52,6 +53,57 @@ def start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return sample[chosen]
 
 
+def blocks_of(rows: DataFrame, vector: str) -> RDD:
+    """The rows as kept blocks of numbers, dealt as the rows are; to be unpersisted by the caller."""
+    def pack(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                column = whole.column(0).slice(at, BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([len(column)], pa.int32()), pa.array([column.flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["n", "v"])
+
+    packed = rows.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(pack, "n int, v binary").rdd
+    return packed.map(lambda r: np.frombuffer(r["v"]).reshape(r["n"], -1)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def starts(blocks: RDD, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """k-means++ over all rows, a model for each seed: a pass draws the next centre of every model. The row with the smallest
+    -ln(u) / squared distance is drawn, u following from the row's numbers and the seed, so a draw does not depend on how rows are dealt; equal
+    rows count once. A model gets fewer than k centres when no row lies apart from those drawn."""
+    models: dict[int, list] = {m: [] for m in range(len(seeds))}
+    growing = list(models)
+    while growing and len(models[growing[0]]) < k:
+        found = blocks.mapPartitions(_draws({m: np.array(models[m]) for m in growing}, seeds)).treeReduce(
+            lambda a, b: {m: min(x for x in (a.get(m), b.get(m)) if x) for m in a.keys() | b.keys()})
+        for m, (_, v) in found.items():
+            models[m].append(v)
+        growing = sorted(found)
+    return [np.array(c, float) for c in models.values()]
+
+
+def _uniform(x: np.ndarray, seed: int) -> np.ndarray:
+    """A number between 0 and 1 for each row, from its numbers and the seed."""
+    odd = np.random.default_rng(seed).integers(1, 1 << 63, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = ((np.ascontiguousarray(x) + 0.0).view(np.uint64) * odd).sum(1, dtype=np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def _draws(models: dict[int, np.ndarray], seeds: list[int]):
+    def run(blocks):
+        best = {}
+        for x in blocks:
+            for m, centres in models.items():
+                near = np.min([((x - c) ** 2).sum(1) for c in centres], 0) if len(centres) else np.ones(len(x))
+                apart = np.flatnonzero(near > 0)
+                if len(apart):
+                    race = -np.log1p(-_uniform(x[apart], seeds[m] * 1_000_003 + len(centres))) / near[apart]
+                    i = int(race.argmin())
+                    best[m] = min(best.get(m, (np.inf, ())), (float(race[i]), tuple(x[apart[i]].tolist())))
+        yield best
+    return run
+
+
 def _batches(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[np.ndarray]:
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH_ROWS):
@@ -71,13 +123,11 @@ def _labels(x: np.ndarray, centres: list[np.ndarray]) -> Iterator[tuple[np.ndarr
         lo += len(c)
 
 
-def _moved(numbers: list[int], centres: list[np.ndarray]):
-    dims = centres[0].shape[1]
-
-    def run(batches):
+def _moved(centres: list[np.ndarray]):
+    def run(blocks):
         n, cost, norm = ([np.zeros(len(c)) for c in centres] for _ in range(3))
         sums = [np.zeros(c.shape) for c in centres]
-        for x in _batches(batches, dims):
+        for x in blocks:
             length = (x ** 2).sum(1)
             for m, (label, far) in enumerate(_labels(x, centres)):
                 k = len(centres[m])
@@ -85,33 +135,32 @@ def _moved(numbers: list[int], centres: list[np.ndarray]):
                 cost[m] += np.bincount(label, far, k)
                 norm[m] += np.bincount(label, length, k)
                 sums[m] += (label == np.arange(k)[:, None]).astype(float) @ x
-        rows = [(numbers[m], j, int(n[m][j]), cost[m][j], norm[m][j], sums[m][j].tolist()) for m, c in enumerate(centres) for j in range(len(c)) if n[m][j]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
-        columns = list(zip(*rows)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["model", "cluster", "n", "cost", "norm", "sums"])
+        yield [np.concatenate(a) for a in (n, cost, norm, sums)]
     return run
 
 
-def _pass(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, Fitted]:
+def _pass(blocks: RDD, models: dict[int, np.ndarray]) -> dict[int, Fitted]:
     """One pass over all rows with the centres of all models."""
-    centres = list(models.values())
-    dims = centres[0].shape[1]
-    parts = rows.mapInArrow(_moved(list(models), centres), STATS)
-    got = parts.groupBy("model", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("norm").alias("norm"),
-                                                F.array(*[F.sum(F.col("sums")[i]) for i in range(dims)]).alias("sums")).collect()
-    out = {m: Fitted(c, np.zeros(len(c), np.int64), c.copy(), np.zeros(len(c)), 0.0) for m, c in models.items()}
-    for r in sorted(got, key=lambda r: (r["model"], r["cluster"])):
-        one, j = out[r["model"]], r["cluster"]
-        one.sizes[j], one.norms[j] = r["n"], r["norm"] / r["n"]
-        one.means[j] = np.array(r["sums"]) / r["n"]
-        one.cost += r["cost"]
+    n, cost, norm, sums = blocks.mapPartitions(_moved(list(models.values()))).treeReduce(lambda a, b: [x + y for x, y in zip(a, b)])
+    out, lo = {}, 0
+    for m, c in models.items():
+        mine = slice(lo, lo := lo + len(c))
+        many = np.maximum(n[mine], 1)
+        means = np.where(n[mine, None] > 0, sums[mine] / many[:, None], c)
+        out[m] = Fitted(c, n[mine].astype(np.int64), means, norm[mine] / many, float(cost[mine].sum()))
     return out
 
 
 def fit_many(rows: DataFrame, vector: str, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[Fitted]:
-    """All models from their starts to where no centre moves by more than ``tol``. ``rows`` should be a written or kept table: it is
-    read once an iteration. A cluster that loses its rows keeps its centre."""
-    slim = rows.select(F.col(vector).cast("array<double>").alias("v"))
+    """All models from their starts to where no centre moves by more than ``tol``. A cluster that loses its rows keeps its centre."""
+    blocks = blocks_of(rows, vector)
+    fits = fit_blocks(blocks, starts, max_iter, tol)
+    blocks.unpersist()
+    return fits
+
+
+def fit_blocks(blocks: RDD, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[Fitted]:
+    """``fit_many`` on kept blocks, which are read once an iteration."""
     done: dict[int, Fitted] = {}
     group: dict[int, np.ndarray] = {}
     for number, first in enumerate(starts):
@@ -120,14 +169,14 @@ def fit_many(rows: DataFrame, vector: str, starts: list[np.ndarray], max_iter: i
             continue
         moving, still = dict(group), {}
         for _ in range(max_iter):
-            passed = _pass(slim, moving)
+            passed = _pass(blocks, moving)
             for m, f in passed.items():
                 if ((f.means - f.centres) ** 2).sum(1).max() <= tol * tol:
                     still[m] = f.means
             moving = {m: f.means for m, f in passed.items() if m not in still}
             if not moving:
                 break
-        done.update(_pass(slim, {**still, **moving}))
+        done.update(_pass(blocks, {**still, **moving}))
         group = {}
     return [done[m] for m in range(len(starts))]
 

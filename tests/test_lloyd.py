@@ -93,3 +93,26 @@ def test_global_clusters(spark):
     assert cl.model_size(model) == 2
     kinds = {(r["seq_id"] % 2, r["cluster"], r["n_clusters"]) for r in assigned.collect()}
     assert len(kinds) == 2 and {n for *_, n in kinds} == {2}
+
+
+def test_restarts_share_their_passes(spark, table, points):
+    """Ten restarts run hardly more jobs than two, and the stored model holds the best of them."""
+    sc, jobs = spark.sparkContext, []
+    for restarts in (2, 10):
+        sc.setJobGroup(f"restarts-{restarts}", "")
+        model, cost = cl.fit_pipeline(table, 4, "v", restarts=restarts)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"restarts-{restarts}")))
+    sc.setJobGroup("tests", "")
+    assert jobs[1] < 2.5 * jobs[0]
+    z = (points - points.mean(0)) / points.std(0)
+    centres = np.array([c for c in model.stages[-1].clusterCenters()])
+    assert len(centres) == 4 and ((z[:, None] - centres) ** 2).sum(2).min(1).sum() == pytest.approx(cost, rel=1e-9)
+    assert cost == pytest.approx(min(plain_fit(z, lloyd.start(z, 4, s))[1] for s in range(10)), rel=1e-6)
+
+
+def test_starts_of_all_rows(spark, table, points):
+    """Starts are rows of the table that lie apart, the same however the rows are dealt; equal rows give one."""
+    found = [lloyd.starts(lloyd.blocks_of(t, "v"), 4, [1, 2, 3]) for t in (table, table.repartition(2))]
+    for a, b in zip(*found):
+        assert np.array_equal(a, b) and len(np.unique(a, axis=0)) == 4 and all((points == r).all(1).any() for r in a)
+    assert [len(s) for s in lloyd.starts(lloyd.blocks_of(spark.createDataFrame([([1.0, 1.0],)] * 6, "v array<double>"), "v"), 3, [0])] == [1]
