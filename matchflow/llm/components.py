@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut=cut) -> DataFrame:
     """(node, label) of all nodes of the links (a, b); label is the smallest node of the component.
 
     Each round takes the smallest label among neighbours, then the label of that label, so long chains shrink

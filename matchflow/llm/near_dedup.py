@@ -9,15 +9,17 @@ ICWS draws 60 consistent samples of each set (random variates come from a table
 texts of similarity 0.8 together with probability 0.9996. Equal sets are one node, so exact copies are never paired. Candidates:
 
 * every group is compared with its hub, the node that shares most bands with others (groups of one family share one hub);
-* groups of up to SMALL nodes are also compared pair by pair, but for pairs that both are linked to the hub;
+* groups of up to SMALL nodes are also compared pair by pair, but for pairs that are known to be of one class by the links with hubs so far;
 * larger groups are regrouped without their hub. Texts that are linked to the hub and so near to it that, by the triangle inequality, no text that is not linked
   there can be 0.8 like them, go. Each other text is cut to its head: its shingles that the hub lacks, then those of the hub,
   the rarer first in each part, until less than 0.8 of its weight is left. Two texts of similarity 0.8 have a common shingle in their
-  heads (what is left of either is too little), so groups of one shingle each miss no link, whatever the texts share with the hub. A group
-  by a shingle of the hub is needed for two texts that have no common shingle outside the hub; one of these then has at most
-  1/9 of its weight there, so groups without such a text are left out.
+  heads (what is left of either is too little). Groups of one shingle that the hub lacks hold all such texts that have one in common. Two texts
+  without any differ in all that the hub lacks of them: one has at most 1/9 of its weight there, the other at most 1/4. Such texts are grouped by what they
+  change in the hub (see ``changes``), or, far from it, by the rest of their heads; groups without a text of 1/9 are left out. Groups whose texts are known to
+  be of one class are left out, too.
 
-This goes on until no group with an unlinked text is left; after NESTED regroupings all pairs of a group are compared. Candidates are
+This goes on until no group is left that can hold a link of two classes. From the regrouping NESTED on, the size up to which pairs are compared is
+4 * SMALL and doubles each time, so that it ends whatever the texts. Candidates are
 verified by the exact weighted Jaccard similarity (0.8 or more); classes are the connected components of the links. In small groups
 samples that agree are counted first, so that the shingles of hopeless pairs are not read.
 
@@ -54,6 +56,10 @@ IDF_GAIN = 0.05
 # two texts without a common shingle outside their hub: one has at most this share of its weight there
 FEW_MORE = (1 - SIMILARITY) / (1 + SIMILARITY)
 VARIATES = 1 << 14
+# two such texts both lack at most this share of their weight at the hub
+LACKED = (1 - SIMILARITY) / (1 + SIMILARITY) * (1 + 1 / SIMILARITY)
+# from this similarity to their hub on, such texts are grouped by what they change in it
+CHANGED = 0.3
 TEXT_BYTES = 1 << 20
 WORD = re.compile(r"\w+")
 WORD_BYTES = np.zeros(256, bool)
@@ -278,22 +284,62 @@ def head(a: np.ndarray, wa: np.ndarray, hub: np.ndarray, idf: np.ndarray) -> tup
     return a[kept], int((~known[kept]).sum()), bool(wa[~known].sum() <= FEW_MORE * (1 + 1e-9) * total)
 
 
+def changes(a: np.ndarray, wa: np.ndarray, hub: np.ndarray, wh: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """(listed changes that a text makes to the shingles of a hub, those in front that meet the changes of texts not linked to the hub).
+
+    A change is a shingle of the hub with less weight or (inverted) with more; d is the weight of all changes and of what the hub lacks. Two texts a, b of
+    similarity 0.8 have d(a) + d(b) - 2 * common <= (A + B) / 9, so common >= (e(a) + e(b)) / 2 with e = d - A / 9. A text has e > H / 9 if it is not linked
+    to the hub, at least -H / 9 in any case, and at least e(a) - 2.5 / 9 * A if it is like a. In an order made for the hub, rare changes first, each text
+    lists changes until those left weigh less than must be common. So two texts alike, one of them not linked, without a common shingle outside the hub
+    have a listed change in common."""
+    at = np.minimum(np.searchsorted(hub, a), len(hub) - 1)
+    known = hub[at] == a
+    weight = -wh
+    weight[at[known]] += wa[known]
+    # a shingle is missing in those texts of the hub's family that do not hold it; shares of all texts tell about how many that are
+    share = np.exp((1 - idf[_bucket(hub)].astype(np.float64)) / IDF_GAIN)
+    family = np.quantile(share, 0.75)
+    order = np.lexsort((hub, np.where(weight > 0, share, np.maximum(1.1 * family - share, 0.05 * family))))
+    order = order[weight[order] != 0]
+    size = np.abs(weight[order])
+    left = size.sum() - np.cumsum(size) + size
+    total, most = wa.sum(), wh.sum() / 9
+    e, error = size.sum() + wa[~known].sum() - total / 9, 1e-9 * (total + most)
+    front, every = (int((left >= (e + max(least, e - 2.5 / 9 * total)) / 2 - error).sum()) for least in (most, -most))
+    named = np.where(weight > 0, ~hub, hub)[order]
+    return (named[:every], front) if e > most else (named[:front], 0)
+
+
+def _listed(a: np.ndarray, wa: np.ndarray, hub: np.ndarray, wh: np.ndarray, idf: np.ndarray, sim: float) -> tuple[np.ndarray, int, int, int, bool]:
+    """(what is listed of a text next to a hub, how many of it are shingles that the hub lacks, how many more are changes, how many of these are in front,
+    whether the hub lacks little); after the changes, the rest of the head. Two texts alike without a common shingle outside the hub both have changes or
+    both the rest of a head, by the triangle inequality."""
+    shingles, own, few = head(a, wa, hub, idf)
+    more, front, rest = a[:0], 0, a[:0]
+    if wa[~np.isin(a, hub, True)].sum() <= LACKED * (1 + 1e-9) * wa.sum():
+        if sim >= CHANGED - 1e-9:
+            more, front = changes(a, wa, hub, wh, idf)
+        if sim <= CHANGED + 1 - SIMILARITY + 1e-9:
+            rest = shingles[own:]
+    return np.concatenate([shingles[:own], more, rest]), own, len(more), front, few
+
+
 def _compared(idf: np.ndarray):
-    """(a, b, sim, more, own, few) of each pair; more, own, few: the head of a next to its hub b, if it is asked for."""
+    """(a, b, sim, more, own, changed, front, few) of each pair; from more on: what ``_listed`` has of a next to its hub b, if it is asked for."""
     def run(batches):
         for batch in batches:
             got = batch.to_pydict()
-            sims, more, owns, fews = [], [], [], []
+            sims, lists = [], []
             for sa, ca, sb, cb, large in zip(got["sa"], got["ca"], got["sb"], got["cb"], got["large"]):
                 a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 wa, wb = _weights(a, ca, idf), _weights(b, cb, idf)
                 sims.append(weighted_jaccard(a, wa, b, wb))
-                listed, own, few = head(a, wa, b, idf) if large else (a[:0], 0, False)
-                more.append(listed.view(np.int64))
-                owns.append(own)
-                fews.append(few)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), pa.array(more, pa.list_(pa.int64())),
-                                              pa.array(owns, pa.int32()), pa.array(fews, pa.bool_())], ["a", "b", "sim", "more", "own", "few"])
+                lists.append(_listed(a, wa, b, wb, idf, sims[-1]) if large else (a[:0], 0, 0, 0, False))
+            more, own, changed, front, few = zip(*lists) if lists else ([],) * 5
+            yield pa.RecordBatch.from_arrays([
+                batch.column("a"), batch.column("b"), pa.array(sims, pa.float64()), pa.array([m.view(np.int64) for m in more], pa.list_(pa.int64())),
+                pa.array(own, pa.int32()), pa.array(changed, pa.int32()), pa.array(front, pa.int32()), pa.array(few, pa.bool_())],
+                ["a", "b", "sim", "more", "own", "changed", "front", "few"])
     return run
 
 
@@ -316,8 +362,9 @@ def _near(groups: DataFrame, score: DataFrame, nested: int, cut) -> DataFrame:
     same = groups.groupBy("key").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"m{seed}") for seed in (1, 2)])
     sizes = same.where("c > 1").groupBy("c", "m1", "m2").agg(F.min("key").alias("key")).select("key", "c")
     held = cut(groups.join(sizes, "key").join(score, "node"))
+    limit = SMALL if nested < NESTED else SMALL << (nested - NESTED + 2)
     return cut(held.join(_hubs(held, nested, cut), "key").where("node <> hub").select(
-        "key", ((F.col("c") <= SMALL) | F.lit(nested >= NESTED)).alias("whole"), F.col("node").alias("a"), "hub"))
+        "key", (F.col("c") <= limit).alias("whole"), F.col("node").alias("a"), "hub"))
 
 
 def _agreements(batches):
@@ -335,20 +382,20 @@ def _agreeing(pairs: DataFrame, marks: DataFrame, cut) -> DataFrame:
                .mapInArrow(_agreements, "a long, b long, agree int"))
 
 
-def _among(near: DataFrame, settled: str) -> DataFrame:
-    """Pairs a < b of the groups to be compared pair by pair, but for those whose texts are both ``settled`` with the hub."""
-    some = near.where("whole").select("key", "a", settled)
-    other = some.select("key", F.col("a").alias("b"), F.col(settled).alias("too"))
-    open_ = some.groupBy("key").agg(F.count("*").alias("n"), F.min(settled).alias("all")).where("n > 1 AND NOT all").select("key")
-    return some.join(open_, "key", "left_semi").join(other, "key").where((F.col("a") < F.col("b")) & ~(F.col(settled) & F.col("too"))).select("a", "b")
+def _among(near: DataFrame) -> DataFrame:
+    """Pairs a < b of the groups to be compared pair by pair, but for those of one ``part``, which are known to be of one class or will be compared anyway."""
+    some = near.where("whole").select("key", "a", "part")
+    other = some.select("key", F.col("a").alias("b"), F.col("part").alias("too"))
+    open_ = some.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return some.join(open_, "key", "left_semi").join(other, "key").where("a < b AND part <> too").select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, cut) -> DataFrame:
-    """Pairs (a, b, large) with their similarity and, if large, the head of a next to b."""
+    """Pairs (a, b, large) with their similarity and, if large, what is listed of a next to b."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
     return cut(pairs.select("a", "b", "large").join(left, "a").join(right, "b").select("a", "b", "large", "sa", "ca", "sb", "cb")
-               .mapInArrow(_compared(idf), "a long, b long, sim double, more array<long>, own int, few boolean"))
+               .mapInArrow(_compared(idf), "a long, b long, sim double, more array<long>, own int, changed int, front int, few boolean"))
 
 
 def _judged(near: DataFrame, marks: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
@@ -363,21 +410,35 @@ def _judged(near: DataFrame, marks: DataFrame, cut) -> tuple[DataFrame, DataFram
 
 def _to_read(near: DataFrame, marks: DataFrame, cut) -> DataFrame:
     """Nodes whose shingles are needed: those like their hub, likely pairs of small groups, and the rest of large groups."""
-    likely = _agreeing(_among(near, "like"), marks, cut).where(F.col("agree") >= LIKELY)
+    sides = near.select("key", "whole", "a", F.when(F.col("like"), -1).otherwise(F.col("a")).alias("part"))
+    likely = _agreeing(_among(sides), marks, cut).where(F.col("agree") >= LIKELY)
     starred = near.where("like").select(F.explode(F.array("a", "hub")).alias("node"))
     rest = near.where(~F.col("whole")).select(F.explode(F.array("a", "hub")).alias("node"))
     return cut(starred.union(likely.select(F.explode(F.array("a", "b")).alias("node"))).union(rest).distinct())
 
 
 def _open_rest(judged: DataFrame) -> DataFrame:
-    """(hub, a, linked) of large groups that can still hold links: a text not linked to a hub, or one near enough to it.
+    """(hub, a, part, linked) of large groups that can still hold links: a text not linked to a hub, or one near enough to it.
 
     1 - similarity is a distance. Two texts of similarity 0.8 differ by at most 0.2 in their distance to the hub, so a linked text that is more than 0.2 nearer to
     the hub than every text not linked there has no link to any of them."""
-    large = judged.where("NOT whole").groupBy("hub", "a").agg(F.max("sim").alias("sim"))
+    large = judged.where("NOT whole").groupBy("hub", "a").agg(F.max("sim").alias("sim"), F.max("part").alias("part"))
     large = large.withColumn("linked", F.col("sim") >= SIMILARITY)
     nearest = large.where(~F.col("linked")).groupBy("hub").agg(F.max("sim").alias("nearest"))
-    return large.join(nearest, "hub").where(~F.col("linked") | (F.col("sim") <= F.col("nearest") + (1 - SIMILARITY) + 1e-9)).select("hub", "a", "linked")
+    return large.join(nearest, "hub").where(~F.col("linked") | (F.col("sim") <= F.col("nearest") + (1 - SIMILARITY) + 1e-9)).select("hub", "a", "part", "linked")
+
+
+def _regrouped(rest: DataFrame) -> DataFrame:
+    """(key, node, open) of the groups of one shingle or change next to one hub that can hold a link of two parts."""
+    listed = rest.select("hub", "a", "part", "linked", "own", "changed", "front", "few", F.posexplode("more").alias("pos", "s"))
+    kind = F.when(F.col("pos") < F.col("own"), "own").when(F.col("pos") < F.col("own") + F.col("changed"), "change").otherwise("rest")
+    rows = listed.select(F.xxhash64("hub", "s", kind).alias("key"), F.col("a").alias("node"), "part", (~F.col("linked")).alias("open"), kind.alias("kind"),
+                         "few", (F.col("pos") < F.col("own") + F.col("front")).alias("front"))
+    going = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count_if(~F.col("open")).alias("near"),
+                                    F.count_if("open").alias("far"), F.count_if("front").alias("fronts"), F.max("few").alias("any_few"))
+    held = rows.join(going.where("low < high AND far > 0"), "key").where("kind = 'own' OR any_few")
+    # changes: two texts not linked to the hub meet by those in front, one that is linked and one that is not by any
+    return held.where("kind <> 'change' OR near > 0 OR (fronts > 1 AND front)").select("key", "node", "open")
 
 
 def _links(near: DataFrame, stars: DataFrame, score: DataFrame, marks: DataFrame, sets: DataFrame, idf: np.ndarray, steps: Steps) -> DataFrame:
@@ -386,19 +447,15 @@ def _links(near: DataFrame, stars: DataFrame, score: DataFrame, marks: DataFrame
     links, nested, cut = None, 0, steps
     while True:
         done = _verified(stars, sets, idf, cut)
-        now = done.where(F.col("sim") >= SIMILARITY).select("a", "b")
+        starred = steps.keep(done.where(F.col("sim") >= SIMILARITY).select("a", "b"))
+        links = starred if links is None else links.union(starred)
+        parts = components(links, cut)
         linked = done.select("a", F.col("b").alias("hub"), "sim")
-        judged = cut(near.join(linked, ["a", "hub"], "left").select(
-            "key", "whole", "a", "hub", "sim", F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False)).alias("linked")))
-        pairs = _agreeing(_among(judged, "linked"), marks, cut).where(F.col("agree") >= LIKELY).withColumn("large", F.lit(False))
-        now = steps.keep(now.union(_verified(pairs, sets, idf, cut).where(F.col("sim") >= SIMILARITY).select("a", "b")))
-        links = now if links is None else links.union(now)
-        heads = _open_rest(judged).join(done.select("a", F.col("b").alias("hub"), "more", "own", "few"), ["a", "hub"])
-        listed = heads.select("hub", "a", "linked", F.posexplode("more").alias("pos", "s"), "own", "few")
-        again = cut(listed.select(F.xxhash64("hub", "s").alias("key"), F.col("a").alias("node"), (~F.col("linked")).alias("open"),
-                                  ((F.col("pos") < F.col("own")) | F.col("few")).alias("needed")))
-        going = again.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("open"), F.max("needed").alias("needed"))
-        groups = cut(again.drop("needed").join(going.where("c > 1 AND open AND needed").select("key"), "key"))
+        judged = near.join(linked, ["a", "hub"], "left").join(parts.withColumnRenamed("node", "a"), "a", "left")
+        judged = cut(judged.select("key", "whole", "a", "hub", "sim", F.coalesce("label", "a").alias("part")))
+        pairs = _agreeing(_among(judged), marks, cut).where(F.col("agree") >= LIKELY).withColumn("large", F.lit(False))
+        links = links.union(steps.keep(_verified(pairs, sets, idf, cut).where(F.col("sim") >= SIMILARITY).select("a", "b")))
+        groups = cut(_regrouped(_open_rest(judged).join(done.drop("sim").withColumnRenamed("b", "hub"), ["a", "hub"])))
         if groups.isEmpty():
             steps.clear()
             return links
@@ -434,7 +491,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sets = steps.keep(texts.mapInArrow(_sets, SETS))
     links = _links(near, stars, score, marks, sets, idf, steps)
     named = worded.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("row", "id", "v", "node")
-    named = named.join(components(links), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
+    named = named.join(components(links, steps), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
     every = cut(named.select("row", "id", "v", "g").union(rows.where("n = 0").select("row", "id", "v", (-1 - F.col("row")).alias("g"))))
     steps.remove()
     groups = cut(every.groupBy("g").agg(F.count("*").alias("class_size"), F.min(F.struct("id", "row")).alias("first")))

@@ -98,3 +98,55 @@ def test_heads_of_texts_alike_meet():
         (ha, own_a, few_a), (hb, own_b, few_b) = (near_dedup.head(x, w, hub, idf) for x, w in sets[:2])
         assert set(ha[:own_a].tolist()) & set(hb[:own_b].tolist()) or set(ha.tolist()) & set(hb.tolist()) and (few_a or few_b)
     assert alike > 100
+
+
+def test_listed_of_texts_alike_meet():
+    """Whatever the hub: two texts of similarity 0.8, not both linked to it, have in common a listed shingle it lacks, a change, or a rest of the head."""
+    rng = np.random.default_rng(10)
+    idf = near_dedup.idf_of(rng.integers(1, 1000, 1 << near_dedup.DF_BITS), 1000)
+    met = {"own": 0, "change": 0, "rest": 0}
+    for _ in range(20000):
+        pool, counts = np.sort(rng.integers(0, 1 << 62, 60, dtype=np.uint64)), rng.integers(1, 3, 60)
+        core = rng.random(60) > rng.random() * 0.3
+        part = core & (rng.random(60) > rng.random() * rng.choice([0.2, 0.8]))
+        sets = []
+        for low in (part, part, core):
+            own = (low ^ (rng.random(60) < rng.random() * 0.12)) | (np.arange(60) == 7)
+            sets.append((pool[own], idf[near_dedup._bucket(pool[own])].astype(float) * (counts[own] + (rng.random(own.sum()) < 0.03))))
+        (a, wa), (b, wb), (hub, wh) = sets
+        sims = [near_dedup.weighted_jaccard(x, w, hub, wh) for x, w in sets[:2]]
+        if near_dedup.weighted_jaccard(a, wa, b, wb) < near_dedup.SIMILARITY or min(sims) >= near_dedup.SIMILARITY:
+            continue
+        kinds = []
+        for (x, w), sim in zip(sets, sims):
+            more, own, changed, front, few = near_dedup._listed(x, w, hub, wh, idf, sim)
+            near = sim >= near_dedup.SIMILARITY
+            kinds.append({"own": set(more[:own].tolist()), "change": set(more[own:own + changed].tolist()), "front": set(more[own:own + front].tolist()),
+                          "rest": set(more[own + changed:].tolist()), "few": few, "near": near})
+        x, y = kinds
+        changes = x["change"] & y["change"] if x["near"] or y["near"] else x["front"] & y["front"]
+        few = x["few"] or y["few"]
+        found = {"own": x["own"] & y["own"], "change": few and changes, "rest": few and x["rest"] & y["rest"]}
+        assert any(found.values())
+        for kind, common in found.items():
+            met[kind] += bool(common) and not found["own"]
+    assert met["change"] > 50 and met["rest"] > 5
+
+
+def test_pairs_of_one_part_are_not_made(spark):
+    """Pairs of texts that are known to be of one class are not listed, in groups of any mixture."""
+    rows = [("k", True, a, 0 if a < 9 else a) for a in range(10)] + [("l", True, a, 0) for a in range(9)] + [("m", False, a, a) for a in range(9)]
+    near = spark.createDataFrame(rows, "key string, whole boolean, a long, part long")
+    assert sorted(map(tuple, near_dedup._among(near).collect())) == [(a, 9) for a in range(9)]
+
+
+def test_groups_that_can_hold_no_link_are_left_out(spark):
+    """Groups of one part, of linked texts, of changes without a text of which the hub lacks little, or in which only one text has the change in front."""
+    rows = [(a, a, False, [1, 2, 3, 4, 5], 1, 3, 2 if a else 1, a == 0) for a in range(3)]  # 1: own, 2: front of all, 3: front of two, 4: of none, 5: rest
+    rows += [(a, 9, False, [11, 12], 1, 1, 1, True) for a in (3, 4)] + [(a, a, True, [21], 0, 1, 0, True) for a in (5, 6)]
+    rows += [(a, a, False, [31, 32], 1, 1, 1, False) for a in (7, 8)]
+    rest = spark.createDataFrame([(100, *r) for r in rows], "hub long, a long, part long, linked boolean, more array<long>, own int, changed int, front int, few boolean")
+    found = {}
+    for r in near_dedup._regrouped(rest).collect():
+        found.setdefault(r["key"], set()).add(r["node"])
+    assert sorted(map(sorted, found.values())) == [[0, 1, 2], [0, 1, 2], [0, 1, 2], [1, 2], [7, 8]]
