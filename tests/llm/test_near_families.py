@@ -150,3 +150,75 @@ def test_groups_that_can_hold_no_link_are_left_out(spark):
     for r in near_dedup._regrouped(rest).collect():
         found.setdefault(r["key"], set()).add(r["node"])
     assert sorted(map(sorted, found.values())) == [[0, 1, 2], [0, 1, 2], [0, 1, 2], [1, 2], [7, 8]]
+
+
+def excerpts(seed):
+    rnd = random.Random(seed)
+    base = words(rnd, 184)
+    docs = [base[:180] + words(rnd, 4) for _ in range(60)]
+    docs += [base[:m] + words(rnd, 4) for m in (95, 103) for _ in range(25)]
+    docs += [base[:104] + words(rnd, rnd.randint(7, 10)) for _ in range(30)]
+    return [" ".join(d) for d in docs]
+
+
+def test_a_family_is_compared_without_regrouping(spark, monkeypatch):
+    """Copies without their original: no lists of shingles are grouped, and no pair of a large group is a row."""
+    rnd = random.Random(12)
+    base = words(rnd, 120)
+    docs = []
+    for _ in range(80):
+        docs.append(list(base))
+        for at in rnd.sample(range(120), 2):
+            docs[-1][at] = words(rnd, 1)[0]
+    texts = [" ".join(d) for d in docs] + excerpts(13)
+    pairs = []
+
+    def counted(near):
+        out = among(near)
+        pairs.append(out.count())
+        return out
+
+    among = near_dedup._among
+    monkeypatch.setattr(near_dedup, "_among", counted)
+    monkeypatch.setattr(near_dedup, "_regrouped", None)
+    assert found_classes(spark, texts) == plain_classes(texts)
+    assert max(pairs) < 10 * len(texts)
+
+
+def test_blocks_and_regrouping_find_the_same(spark, monkeypatch):
+    """A family of many blocks, and one of more blocks than are compared, against all pairs."""
+    texts = excerpts(14)
+    want = plain_classes(texts)
+    assert 1 < len(set(want.values())) < 10
+    monkeypatch.setattr(near_dedup, "BLOCK", 3000)
+    assert found_classes(spark, texts) == want
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", 0)
+    assert found_classes(spark, texts) == want
+
+
+def test_joining_links_join_as_all_links():
+    """Few links, of texts alike, with the classes of all pairs; between two blocks, those of the pairs of different blocks and of the hub."""
+    rng = np.random.default_rng(15)
+    idf = near_dedup.idf_of(rng.integers(1, 1000, 1 << near_dedup.DF_BITS), 1000)
+    sampler, several = near_dedup.Sampler(), 0
+    for _ in range(40):
+        pool, counts = np.sort(rng.integers(0, 1 << 62, 80, dtype=np.uint64)), rng.integers(1, 3, 80)
+        cores = [rng.random(80) > rng.random() * 0.5 for _ in range(3)]
+        kept = [cores[rng.integers(3)] ^ (rng.random(80) < rng.random() * 0.12) for _ in range(25)]
+        sets = [pool[k | (np.arange(80) == 3)] for k in kept]
+        weights = [idf[near_dedup._bucket(a)].astype(float) * counts[np.searchsorted(pool, a)] for a in sets]
+        marks = near_dedup.signs(np.concatenate([sampler.samples(a, np.log(w).astype(np.float32), np.array([len(a)])) for a, w in zip(sets, weights)]))
+        blocks = rng.integers(0, 2, len(sets))
+        for block in (None, blocks):
+            classes, fewest = ({i: {i} for i in range(len(sets))} for _ in range(2))
+            links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if block is None or 7 in (i, j) or block[i] != block[j]]
+            links = [(i, j) for i, j in links if near_dedup.weighted_jaccard(sets[i], weights[i], sets[j], weights[j]) >= near_dedup.SIMILARITY]
+            found = near_dedup.joining_links(sets, weights, marks, 7, block)
+            assert {tuple(sorted(p)) for p in found} <= set(links) and len(found) < len(sets)
+            for into, some in ((classes, links), (fewest, found)):
+                for i, j in some:
+                    both = into[i] | into[j]
+                    into.update(dict.fromkeys(both, both))
+            assert classes == fewest
+            several += 1 < len({min(c) for c in classes.values()}) < len(sets)
+    assert several > 20
