@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan, small_batches
+from .common import scan, small_batches, tidy
 
 # the word pattern for texts whose characters beyond ASCII are all letters; first characters tell the choices apart
 PLAIN_WORDS = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\t-\r ]|_)+")
@@ -207,7 +207,7 @@ def encode(text: Column, path: str) -> Column:
             flat = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat, pa.int32()))
 
-    return F.arrow_udf(ids, "array<int>")(text)
+    return F.arrow_udf(tidy(ids), "array<int>")(text)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -225,7 +225,7 @@ def decode(ids: Column, path: str) -> Column:
                     out.append(" ".join(tokens[i] for i in (row.as_py() or []) if i is not None and 0 <= i < len(tokens)))
             yield pa.array(out, pa.string())
 
-    return F.arrow_udf(texts, "string")(ids)
+    return F.arrow_udf(tidy(texts), "string")(ids)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_folder, cut
 
-__all__ = ["Steps", "ascii_lower", "cut", "rows_of", "scan", "slices", "small_batches"]
+__all__ = ["Steps", "ascii_lower", "cut", "rows_of", "scan", "slices", "small_batches", "tidy"]
 
 BATCH_BYTES = 8 << 20
 
@@ -47,6 +48,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def tidy(run: Callable) -> Callable:
+    """The same function of batches; when a task is done with it, its worker gives the memory that is free by then back to the system. Spark keeps workers for
+    later stages, so that what they hold would lie beside the memory of all stages to come."""
+    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library: free memory stays with the worker
+            pass
+
+    return whole
+
+
 def rows_of(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows of ``docs`` that ``kept`` (id, and v, the xxhash64 of the text) names, one of each, all columns."""
     names = kept.select(F.col(doc_id).alias("__k"), F.col("v").alias("__kv"))

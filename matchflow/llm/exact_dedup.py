@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, scan, slices, small_batches
+from .common import cut, rows_of, scan, slices, small_batches, tidy
 
 BLOCK_BYTES = 4096
 FINGERPRINT_BITS = 128
@@ -88,10 +88,10 @@ def block_names(slim: DataFrame, size: int = BLOCK_BYTES, bits: int = FINGERPRIN
     """(parts, names): the blocks of each row with their fingerprints, and fingerprint -> integer name."""
     salt = 0
     while True:
-        names = cut(_named(slim.select("text").mapInArrow(_blocks(size, bits, salt), BLOCKS).distinct(), ["block"])
+        names = cut(_named(slim.select("text").mapInArrow(tidy(_blocks(size, bits, salt)), BLOCKS).distinct(), ["block"])
                     .select("f1", "f2", "name"))
         if names.groupBy("f1", "f2").count().where("count > 1").isEmpty():
-            return cut(slim.mapInArrow(_parts(size, bits, salt), PARTS)), names
+            return cut(slim.mapInArrow(tidy(_parts(size, bits, salt)), PARTS)), names
         bits, salt = min(128, 2 * bits), salt + 1
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scan, small_batches
+from .common import scan, small_batches, tidy
 
 UNKNOWN = "und"
 FIT_DOCS = 300
@@ -304,7 +304,7 @@ def languages(text: Column, model: Model | None) -> Column:
                 out += labeller.documents(part) if part else []
             yield pa.array(out, kind)
 
-    return F.arrow_udf(run, RESULT)(text)
+    return F.arrow_udf(tidy(run), RESULT)(text)
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, cut, rows_of, scan, slices, small_batches
+from .common import Steps, cut, rows_of, scan, slices, small_batches, tidy
 from .components import components
 
 SHINGLE = 5
@@ -156,7 +156,7 @@ def _frequencies(batches):
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """idf of each bucket over all texts; the table has a fixed size whatever the corpus."""
-    table = (texts.select("text").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow())
+    table = (texts.select("text").mapInArrow(tidy(_frequencies), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow())
     df = np.zeros(1 << DF_BITS, np.int64)
     bucket, count = table.column("bucket").to_numpy(), table.column("df").to_numpy()
     n = int(count[bucket == -1].sum())
@@ -469,7 +469,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, cut) -> DataFr
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
     return cut(pairs.select("a", "b", "large").join(left, "a").join(right, "b").select("a", "b", "large", "sa", "ca", "sb", "cb")
-               .mapInArrow(_compared(idf), "a long, b long, sim double, more array<long>, own int, changed int, front int, few boolean"))
+               .mapInArrow(tidy(_compared(idf)), "a long, b long, sim double, more array<long>, own int, changed int, front int, few boolean"))
 
 
 def _judged(near: DataFrame, marks: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
@@ -552,7 +552,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("v"))
     idf = inverse_frequencies(slim)
     steps = Steps(docs.sparkSession)
-    rows = steps.keep(slim.mapInArrow(_nodes(idf), NODES))
+    rows = steps.keep(slim.mapInArrow(tidy(_nodes(idf)), NODES))
     worded = rows.where("n > 0")
     nodes = steps.keep(worded.groupBy("f1", "f2").agg(F.min(F.struct("row", "id", "v", "n", "bands", "sign")).alias("m"))
                        .select("f1", "f2", F.col("m.row").alias("node"), "m.id", "m.v", "m.n", "m.bands", "m.sign"))
@@ -569,7 +569,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     texts = slim.join(wanted.hint("merge"), slim["id"].eqNullSafe(F.col("i")) & slim["v"].eqNullSafe(F.col("w")))
     once = Window.partitionBy("id", "v").orderBy("node")
     texts = texts.withColumn("k", F.row_number().over(once)).where("k = 1").select("node", "sign", "text")
-    sets = steps.keep(texts.mapInArrow(_sets, SETS))
+    sets = steps.keep(texts.mapInArrow(tidy(_sets), SETS))
     links = _links(near, stars, score, marks, sets, idf, steps)
     named = worded.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("row", "id", "v", "node")
     named = named.join(components(links, steps), "node", "left").select("row", "id", "v", F.coalesce("label", "node").alias("g"))
